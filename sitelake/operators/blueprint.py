@@ -43,20 +43,22 @@ register_widget("testimonials", widget_testimonials)
 
 
 def with_asset_paths(pages: DataFrame, assets: DataFrame | None, site: Column) -> DataFrame:
-    """Add `asset_paths`: absolute image and icon URL to stored path, for URLs this page refers to.
+    """Add `asset_paths`: reference as written on this page to the stored path of the downloaded asset.
 
-    Only references travel through the join; page bodies stay where they are until the small map comes back.
+    Only references travel through the join; page bodies stay where they are until the small map comes
+    back. References without an asset are absent, so a path is never invented.
     """
     empty = F.create_map().cast("map<string,string>")
     if assets is None:
         return pages.withColumn("asset_paths", empty)
-    refs = F.filter("elements", lambda e: ((e["tag"] == "img") & E.attr(e, "src").isNotNull()) | ((e["tag"] == "link") & E.attr(e, "href").isNotNull()))
-    targets = F.array_distinct(F.transform(refs, lambda e: urls.resolve_url(F.col("url"), F.coalesce(E.attr(e, "src"), E.attr(e, "href")))))
-    wanted = pages.select("page_id", site.alias("site"), F.explode(targets).alias("original_url"))
-    # Last record wins for a repeated URL; the map holds one entry per URL.
+    refs = F.array_distinct(F.filter(F.transform("elements", S.reference), lambda r: r.isNotNull()))
+    wanted = pages.select("page_id", "url", site.alias("site"), F.explode(refs).alias("ref")).select(
+        "page_id", "ref", "site", urls.resolve_url("url", "ref").alias("original_url")
+    )
+    # Last record wins for a repeated URL; the map holds one entry per reference of the page.
     stored = assets.groupBy("site", "original_url").agg(F.max_by("storage_path", "seq").alias("storage_path"))
     found = wanted.join(stored, ["site", "original_url"]).groupBy("page_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("original_url", "storage_path"))).alias("_paths")
+        F.map_from_entries(F.collect_list(F.struct("ref", "storage_path"))).alias("_paths")
     )
     return pages.join(found, "page_id", "left").withColumn("asset_paths", F.coalesce("_paths", empty)).drop("_paths")
 
@@ -128,7 +130,7 @@ def page_blueprints(pages: DataFrame, assets: DataFrame | None = None, gallery:
 def all_images() -> Column:
     """Every resolved image once per stored path, first alt kept."""
     images = F.transform(F.filter("elements", E.by_tag("img")), lambda e: F.struct(
-        F.try_element_at(F.col("asset_paths"), urls.resolve_url(F.col("url"), E.attr(e, "src"))).alias("path"), E.attr_or_empty(e, "alt").alias("alt")))
+        S.stored_path(e).alias("path"), E.attr_or_empty(e, "alt").alias("alt")))
     found = F.filter(images, lambda i: i["path"].isNotNull())
     paths = F.transform(found, lambda i: i["path"])
     return F.filter(found, lambda i, n: F.array_position(paths, i["path"]) == n + 1)
@@ -144,18 +146,14 @@ def favicon() -> Column:
 
     ranked = F.transform(icons, lambda e: F.struct(
         (-area(E.attr_or_empty(e, "sizes"))).alias("rank"), e["node_no"].alias("node_no"),
-        F.try_element_at(F.col("asset_paths"), urls.resolve_url(F.col("url"), E.attr(e, "href"))).alias("path")))
+        S.stored_path(e).alias("path")))
     return F.array_min(F.filter(ranked, lambda r: r["path"].isNotNull()))["path"]
 
 
 def logo() -> Column:
     """Image that calls itself a logo, else the first header or navigation image; only if stored."""
-
-    def path(e: Column) -> Column:
-        return F.try_element_at(F.col("asset_paths"), urls.resolve_url(F.col("url"), E.attr(e, "src")))
-
     images = F.filter("elements", E.by_tag("img"))
     named = F.filter(images, lambda e: F.lower(F.concat_ws(" ", *[E.attr_or_empty(e, a) for a in ("alt", "class", "id", "src")])).contains("logo"))
-    named_path = F.try_element_at(F.filter(F.transform(named, path), lambda p: p.isNotNull()), F.lit(1))
+    named_path = F.try_element_at(F.filter(F.transform(named, S.stored_path), lambda p: p.isNotNull()), F.lit(1))
     top = F.coalesce(E.first_element(F.col("elements"), E.by_tag("header")), E.first_element(F.col("elements"), E.by_tag("nav")))
-    return F.coalesce(named_path, path(E.first_element(E.descendants(top), E.by_tag("img"))))
+    return F.coalesce(named_path, S.stored_path(E.first_element(E.descendants(top), E.by_tag("img"))))

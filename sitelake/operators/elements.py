@@ -128,10 +128,15 @@ def site_name_guess() -> Column:
     )
 
 
-def visible_text() -> Column:
-    """Whole-document text without scripts, styles and templates, whitespace collapsed, middle clipped."""
+def collapsed_text() -> Column:
+    """Whole-document text without scripts, styles and templates, whitespace collapsed."""
     runs = F.transform(F.filter("texts", lambda t: t["hidden"].isNull()), lambda t: t["text"])
-    return X.clip_middle(X.collapse_whitespace(F.array_join(runs, " ")))
+    return X.collapse_whitespace(F.array_join(runs, " "))
+
+
+def visible_text() -> Column:
+    """The same with the middle of long pages clipped."""
+    return X.clip_middle(collapsed_text())
 
 
 def anchors(scope: Column) -> Column:

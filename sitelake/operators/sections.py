@@ -57,12 +57,22 @@ def _links(block_elements: Column) -> Column:
     )
 
 
+def reference(element: Column) -> Column:
+    """Asset reference of an image or link element as written; null for other elements and empty values."""
+    raw = F.when(element["tag"] == "img", E.attr(element, "src")).when(element["tag"] == "link", E.attr(element, "href"))
+    return F.when(raw != "", raw)
+
+
+def stored_path(element: Column) -> Column:
+    return F.try_element_at(F.col("asset_paths"), reference(element))
+
+
 def _images(block_elements: Column) -> Column:
     return F.transform(
         F.filter(block_elements, E.by_tag("img")),
         lambda e: F.struct(
             E.attr_or_empty(e, "alt").alias("alt"),
-            F.try_element_at(F.col("asset_paths"), urls.resolve_url(F.col("url"), E.attr(e, "src"))).alias("path"),
+            stored_path(e).alias("path"),
         ),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,19 +35,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="sitelake-checkpoint-")
-    sc.setCheckpointDir(folder)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    folder = tempfile.mkdtemp(prefix="sitelake-checkpoint-")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to the shared checkpoint folder so loops survive executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared checkpoint folder and read back, so loops survive executor loss.
+
+    A written table is computed once and carries its size, which lets small steps broadcast on their own.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/sitelake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
