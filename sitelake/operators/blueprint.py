@@ -63,13 +63,17 @@ def with_asset_paths(pages: DataFrame, assets: DataFrame | None, site: Column) -
     return pages.join(found, "page_id", "left").withColumn("asset_paths", F.coalesce("_paths", empty)).drop("_paths")
 
 
-def _scope_sections(blocks: str, gallery: bool) -> dict[str, Column]:
+def _with_scope_sections(df: DataFrame, blocks: str, prefix: str, gallery: bool) -> DataFrame:
+    """Add `prefix + key` for every section built from the keyed blocks of one scope."""
     b = F.col(blocks)
-    columns = {"about": S.about(b), "cta_section": S.call_to_action(b), "contact": S.contact(b)}
-    columns.update({key: S.distinct_items(S.list_items(b, key), key) for key in LIST_SECTIONS})
-    columns["gallery_portfolio"] = S.gallery(b, gallery)
-    columns["additional_sections"] = S.additional_sections(b)
-    return columns
+    single = {f"{prefix}about": S.about(b), f"{prefix}cta_section": S.call_to_action(b), f"{prefix}contact": S.contact(b),
+              f"{prefix}additional_sections": S.additional_sections(b)}
+    lists = {f"{prefix}{key}": (S.list_items(b, key), S.item_identity(key)) for key in LIST_SECTIONS}
+    lists[f"{prefix}gallery_portfolio"] = (S.gallery(b, gallery), lambda i: i["image"])
+    return E.keep_first(E.computed_once(df, single), lists)
+
+
+SECTION_KEYS = ("about", "cta_section", "contact", *LIST_SECTIONS, "gallery_portfolio", "additional_sections")
 
 
 def is_empty_section(key: str, section: Column) -> Column:
@@ -103,37 +107,32 @@ def page_blueprints(pages: DataFrame, assets: DataFrame | None = None, gallery:
         "footer_body", F.filter("footer_blocks", lambda b: b["block_no"] > 0)
     )
     foot = S.with_absorbed(foot, "footer_body", "footer_keyed")
-    first = {f"_m_{k}": c for k, c in _scope_sections("body_keyed", gallery).items()}
-    second = {f"_f_{k}": c for k, c in _scope_sections("footer_keyed", gallery).items()}
+    both = _with_scope_sections(_with_scope_sections(foot, "body_keyed", "_m_", gallery), "footer_keyed", "_f_", gallery)
     extras = {"_hero": S.hero(), "_footer": E.footer(), "navigation": E.navigation(), "_fallback": E.contact_fallback_text()}
-    widgets = {f"_w_{k}": F.concat(*[w() for w in fns]) for k, fns in WIDGETS.items()}
-    wide = foot.withColumns({**first, **second, **extras, **widgets})
-    keys = [k[3:] for k in first]
-    primary = {k: F.col(f"_m_{k}") for k in keys}
+    wide = with_all_images(E.computed_once(both, extras))
+    wide = E.keep_first(wide, {f"_w_{k}": (F.concat(*[w() for w in fns]), S.item_identity(k)) for k, fns in WIDGETS.items()})
+    primary = {k: F.col(f"_m_{k}") for k in SECTION_KEYS}
     for key in WIDGETS:
-        primary[key] = F.when(F.size(primary[key]) == 0, S.distinct_items(F.col(f"_w_{key}"), key)).otherwise(primary[key])
-    merged = wide.withColumns({f"_s_{k}": c for k, c in fill_empty(primary, {k: F.col(f"_f_{k}") for k in keys}).items()})
+        primary[key] = F.when(F.size(primary[key]) == 0, F.col(f"_w_{key}")).otherwise(primary[key])
+    merged = E.computed_once(wide, {f"_s_{k}": c for k, c in fill_empty(primary, {k: F.col(f"_f_{k}") for k in SECTION_KEYS}).items()})
     reach = F.col("_s_contact")
     filled = reach.withField("email", F.when(reach["email"] == "", X.first_email("_fallback")).otherwise(reach["email"])).withField(
         "phone", F.when(reach["phone"] == "", X.first_phone("_fallback")).otherwise(reach["phone"])
     )
     sections = F.struct(
         F.col("_hero").alias("hero"), F.col("_footer").alias("footer"),
-        *[(filled if k == "contact" else F.col(f"_s_{k}")).alias(k) for k in keys],
+        *[(filled if k == "contact" else F.col(f"_s_{k}")).alias(k) for k in SECTION_KEYS],
     )
     return merged.select(
-        "page_id", "url", sections.alias("sections"), all_images().alias("all_images"), "navigation",
+        "page_id", "url", sections.alias("sections"), "all_images", "navigation",
         E.site_name_guess().alias("site_name_guess"), E.css_text().alias("css_text"), favicon().alias("favicon"), logo().alias("logo"),
     )
 
 
-def all_images() -> Column:
-    """Every resolved image once per stored path, first alt kept."""
-    images = F.transform(F.filter("elements", E.by_tag("img")), lambda e: F.struct(
-        S.stored_path(e).alias("path"), E.attr_or_empty(e, "alt").alias("alt")))
-    found = F.filter(images, lambda i: i["path"].isNotNull())
-    paths = F.transform(found, lambda i: i["path"])
-    return F.filter(found, lambda i, n: F.array_position(paths, i["path"]) == n + 1)
+def with_all_images(pages: DataFrame) -> DataFrame:
+    """Add `all_images`: every resolved image once per stored path, first alt kept."""
+    images = F.transform(F.filter("elements", E.by_tag("img")), lambda e: F.struct(S.stored_path(e).alias("path"), E.attr_or_empty(e, "alt").alias("alt")))
+    return E.keep_first(pages, {"all_images": (F.filter(images, lambda i: i["path"].isNotNull()), lambda i: i["path"])})
 
 
 def favicon() -> Column:
@@ -157,3 +156,165 @@ def logo() -> Column:
     named_path = F.try_element_at(F.filter(F.transform(named, S.stored_path), lambda p: p.isNotNull()), F.lit(1))
     top = F.coalesce(E.first_element(F.col("elements"), E.by_tag("header")), E.first_element(F.col("elements"), E.by_tag("nav")))
     return F.coalesce(named_path, S.stored_path(E.first_element(E.descendants(top), E.by_tag("img"))))
+
+
+def _list(values: Column, render: Callable[[Column], Column]) -> Column:
+    return F.transform(values, render)
+
+
+def _line(condition: Column, text: Column) -> Column:
+    """One line when the condition holds, none otherwise."""
+    return F.when(condition, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
+def _cat(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def covered_digest() -> Column:
+    """Plain-text lines of everything captured on a page, in a fixed order."""
+    s, nav = F.col("sections"), F.col("navigation")
+    hero, about, cta, foot, contact = s["hero"], s["about"], s["cta_section"], s["footer"], s["contact"]
+
+    def labels(links: Column) -> Column:
+        return F.array_join(F.transform(links, lambda a: a["label"]), ", ")
+
+    has_contact = (contact["email"] != "") | (contact["phone"] != "") | (contact["address"] != "")
+    lines = F.concat(
+        _line(F.size(nav) > 0, _cat("Nav links: ", labels(nav))),
+        _line(hero["headline"] != "", _cat("Hero headline: ", hero["headline"])),
+        _line(hero["subheadline"] != "", _cat("Hero subheadline: ", hero["subheadline"])),
+        _line(about["body"] != "", _cat("About: ", about["body"])),
+        _list(s["services_features"], lambda i: _cat("Service: ", i["title"], " -- ", i["description"])),
+        _list(s["faq"], lambda i: _cat("FAQ: ", i["question"], " -- ", i["answer"])),
+        _line((cta["body"] != "") | (cta["heading"] != ""), _cat("CTA: ", cta["heading"], " ", cta["body"])),
+        _line(foot["copyright_text"] != "", _cat("Footer copyright: ", foot["copyright_text"])),
+        _line(F.size(foot["links"]) > 0, _cat("Footer links: ", labels(foot["links"]))),
+        _list(s["testimonials"], lambda i: _cat("Testimonial: ", i["quote"], " -- ", i["author"])),
+        _list(s["team"], lambda i: _cat("Team: ", i["name"], " -- ", i["bio"])),
+        _list(s["pricing"], lambda i: _cat("Pricing: ", i["plan"], " ", i["price"], " ", F.array_join(i["features"], ", "))),
+        _list(s["stats_social_proof"], lambda i: _cat("Stat: ", i["number"], " ", i["label"])),
+        _list(s["credentials_awards"], lambda i: _cat("Credential: ", i["name"])),
+        _line(has_contact, _cat("Contact: ", contact["email"], " ", contact["phone"], " ", contact["address"], " ", contact["hours"])),
+        _list(s["blog_news"], lambda i: _cat("Blog: ", i["title"], " -- ", i["excerpt"])),
+        _list(s["additional_sections"], lambda i: _cat("Additional (", i["key"], "): ", i["title"], " -- ", i["body"], " ", F.array_join(i["items"], " "))),
+    )
+    return F.when(F.size(lines) == 0, "(nothing captured yet for this page)").otherwise(F.array_join(lines, "\n"))
+
+
+def page_summary() -> Column:
+    """Short summary of a page, used when its siblings are reviewed."""
+    s = F.col("sections")
+    lines = F.concat(
+        F.array(_cat("Page: ", F.col("url"))),
+        _line(s["hero"]["headline"] != "", _cat("Hero: ", s["hero"]["headline"])),
+        _line(s["about"]["body"] != "", _cat("About: ", F.left(s["about"]["body"], F.lit(200)))),
+        F.array(_cat("Contact info found: ", F.when((s["contact"]["email"] != "") | (s["contact"]["phone"] != ""), "yes").otherwise("no"))),
+    )
+    return F.array_join(lines, "\n")
+
+
+def _section(title: str, has: Column, *lines: Column) -> Column:
+    body = F.concat(F.array(F.lit(f"### {title}")), *lines, F.array(F.lit("")))
+    return F.when(has, body).otherwise(F.array().cast("array<string>"))
+
+
+def _optional(value: Column, *parts: Column | str) -> Column:
+    return F.when(value != "", _cat(*parts)).otherwise("")
+
+
+def section_lines(s: Column) -> Column:
+    """Markdown lines of one page's sections."""
+    hero, about, cta, foot, c = s["hero"], s["about"], s["cta_section"], s["footer"], s["contact"]
+
+    def many(key: str, title: str, render: Callable[[Column], Column]) -> Column:
+        return _section(title, F.size(s[key]) > 0, F.transform(s[key], render))
+
+    return F.concat(
+        _section("Hero", (hero["headline"] != "") | (hero["subheadline"] != ""),
+                 _line(hero["headline"] != "", _cat("Headline: ", hero["headline"])),
+                 _line(hero["subheadline"] != "", _cat("Subheading: ", hero["subheadline"])),
+                 _line(hero["cta_text"] != "", _cat("CTA: ", hero["cta_text"], " (", hero["cta_href"], ")"))),
+        _section("About", (about["heading"] != "") | (about["body"] != ""),
+                 _line(about["heading"] != "", _cat("**", about["heading"], "**")), _line(about["body"] != "", about["body"])),
+        many("services_features", "Services / Features", lambda i: _cat("- **", i["title"], "**", _optional(i["description"], ": ", i["description"]))),
+        many("faq", "FAQ", lambda i: _cat("- **", i["question"], "** ", i["answer"])),
+        _section("Call To Action", (cta["heading"] != "") | (cta["body"] != ""),
+                 _line(cta["heading"] != "", _cat("**", cta["heading"], "**")), _line(cta["body"] != "", cta["body"]),
+                 _line(cta["cta_text"] != "", _cat("CTA: ", cta["cta_text"], " (", cta["cta_href"], ")"))),
+        many("testimonials", "Testimonials", lambda i: _cat('- "', i["quote"], '"', _optional(i["author"], " -- ", i["author"]))),
+        many("team", "Team", lambda i: _cat("- **", i["name"], "**", _optional(i["role"], " (", i["role"], ")"), _optional(i["bio"], ": ", i["bio"]))),
+        many("pricing", "Pricing", lambda i: _cat("- **", i["plan"], "**", _optional(i["price"], " (", i["price"], ")"), ": ", F.array_join(i["features"], ", "))),
+        many("stats_social_proof", "By The Numbers", lambda i: _cat("- ", i["number"], " ", i["label"])),
+        many("credentials_awards", "Credentials / Awards", lambda i: _cat("- ", i["name"])),
+        many("blog_news", "Blog / News", lambda i: _cat("- **", i["title"], "**", _optional(i["excerpt"], ": ", i["excerpt"]))),
+        _section("Contact", (c["email"] != "") | (c["phone"] != "") | (c["address"] != ""),
+                 *[_line(c[k] != "", _cat(f"- {k.title()}: ", c[k])) for k in ("email", "phone", "address", "hours")]),
+        many("gallery_portfolio", "Gallery", lambda i: F.when(i["caption"] != "", _cat("- ", i["caption"])).otherwise("- (image, no caption)")),
+        F.flatten(F.transform(s["additional_sections"], lambda x: F.concat(
+            F.array(_cat("### ", x["title"])), _line(x["body"] != "", x["body"]), F.transform(x["items"], lambda i: _cat("- ", i)), F.array(F.lit(""))))),
+        _section("Footer", (F.size(foot["links"]) > 0) | (F.size(foot["social_links"]) > 0) | (foot["copyright_text"] != ""),
+                 F.transform(foot["links"], lambda a: _cat("- ", a["label"], " (", a["href"], ")")),
+                 F.transform(foot["social_links"], lambda a: _cat("- ", a["platform"], ": ", a["url"])),
+                 _line(foot["copyright_text"] != "", foot["copyright_text"])),
+    )
+
+
+# Fixed values.
+DEFAULT_SITE_NAME = "Untitled Business"
+DEFAULT_FONTS = {"heading": "Inter", "body": "Inter"}
+_PLAIN_SCALAR = r"^(?!(?i:y|n|yes|no|on|off|true|false|null)$)[A-Za-z](?:[A-Za-z0-9 _./()&+\-]*[A-Za-z0-9_./()&+\-])?$"
+
+
+def yaml_scalar(value: Column) -> Column:
+    quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.when(value.isNull(), "null").when(value.rlike(_PLAIN_SCALAR), value).otherwise(quoted)
+
+
+def design_document() -> Column:
+    """Front matter and markdown of a site row (`meta`, `navigation`, `pages`)."""
+    meta, nav = F.col("meta"), F.col("navigation")
+    front = F.concat(
+        F.array(
+            _cat("site_name: ", yaml_scalar(meta["site_name"])), F.lit("colors:"),
+            *[_cat(f"  {k}: ", yaml_scalar(meta["colors"][k])) for k in ("primary", "secondary", "accent")],
+            _cat("logo: ", yaml_scalar(meta["logo"])), F.lit("fonts:"),
+            *[_cat(f"  {k}: ", yaml_scalar(meta["fonts"][k])) for k in ("heading", "body")],
+        ),
+        *[_line(meta[k] != "", _cat(f"{k}: ", yaml_scalar(meta[k]))) for k in ("tone", "tagline")],
+    )
+    menu = F.when(F.size(nav) > 0, F.concat(
+        F.array(F.lit("## Navigation")), F.transform(nav, lambda a: _cat("- ", a["label"], " (", a["href"], ")")), F.array(F.lit(""))
+    )).otherwise(F.array().cast("array<string>"))
+    body = F.flatten(F.transform("pages", lambda p, i: F.concat(
+        F.array(_cat("## ", F.when(i == 0, "Home Page").otherwise(p["page_url"]))), section_lines(p["sections"]))))
+    text = F.regexp_replace(F.array_join(F.concat(menu, body), "\n"), r"^\s+|\s+$", "")
+    return _cat("---\n", F.array_join(front, "\n"), "\n---\n\n", text, "\n")
+
+
+def site_blueprints(pages: DataFrame, palettes: DataFrame, assets: DataFrame | None = None, max_pages: int = 20) -> DataFrame:
+    """One document per site within the page cap: meta of the home page, its navigation, pages in order.
+
+    `pages` is `page_blueprints` with `site` and `page_no`; a site has at most `max_pages` rows here.
+    """
+    from sitelake.operators.linkgraph import within_cap
+
+    kept = within_cap(pages, max_pages)
+    entry = F.struct("page_no", F.col("url").alias("page_url"), "sections", "all_images")
+    home = F.struct("site_name_guess", "navigation", "logo", "favicon")
+    grouped = kept.groupBy("site").agg(F.array_sort(F.collect_list(F.col("page_no"))).alias("_order"),
+                                       F.map_from_entries(F.collect_list(F.struct(F.col("page_no"), entry))).alias("_by_no"),
+                                       F.min_by(home, "page_no").alias("h"))
+    colored = grouped.join(palettes.select("site", "colors"), "site", "left")
+    logo = F.col("h.logo")
+    if assets is not None:
+        images = assets.filter("asset_type = 'image'").groupBy("site").agg(F.min_by("storage_path", "seq").alias("_first_image"))
+        colored = colored.join(images, "site", "left")
+        logo = F.coalesce(logo, "_first_image")
+    meta = F.struct(
+        F.when(F.coalesce("h.site_name_guess", F.lit("")) != "", F.col("h.site_name_guess")).otherwise(DEFAULT_SITE_NAME).alias("site_name"),
+        F.lit("").alias("tagline"), logo.alias("logo"), F.col("colors"), F.struct(*[F.lit(v).alias(k) for k, v in DEFAULT_FONTS.items()]).alias("fonts"),
+        F.lit("").alias("tone"), F.col("h.favicon").alias("favicon"), F.lit("").alias("site_category"),
+    )
+    ordered = F.transform("_order", lambda n: F.element_at(F.col("_by_no"), n))
+    return colored.select("site", meta.alias("meta"), F.col("h.navigation").alias("navigation"), ordered.alias("pages"))

@@ -7,6 +7,8 @@ So subtree questions are slices, and nothing in page extraction shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,28 @@ WEAK_FOOTER = r"(?i)\bfooter\b"
 EXTRA_FOOTER_IDS = ("colophon",)
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    The optimizer folds a column that is used in one place into that place. Inside a lambda this repeats an
+    expensive expression for every array element, so array pipelines pass through a one-row `inline` here.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def keep_first(df: DataFrame, columns: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+    """Add arrays reduced to the first element of each identity; `columns` maps name to (items, identity)."""
+    raw = computed_once(df, {f"_raw_{n}": items for n, (items, _) in columns.items()})
+    keyed = computed_once(raw, {f"_key_{n}": F.transform(f"_raw_{n}", identity) for n, (_, identity) in columns.items()})
+
+    def firsts(name: str, identity: Callable[[Column], Column]) -> Column:
+        return F.filter(f"_raw_{name}", lambda item, i: F.array_position(F.col(f"_key_{name}"), identity(item)) == i + 1)
+
+    reduced = computed_once(keyed, {n: firsts(n, identity) for n, (_, identity) in columns.items()})
+    return reduced.drop(*[f"{p}{n}" for n in columns for p in ("_raw_", "_key_")])
+
+
 def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add `elements` and `texts` arrays."""
     return pages.withColumn("_flat", flatten_html(html)).select("*", "_flat.elements", "_flat.texts").drop("_flat")
@@ -99,7 +123,7 @@ def with_scopes(pages: DataFrame) -> DataFrame:
     """Add the main, header, footer and navigation containers (null where a page has none)."""
     elements = F.col("elements")
     first = F.try_element_at(elements, F.lit(1))
-    scoped = pages.withColumns({
+    scoped = computed_once(pages, {
         "main_scope": F.coalesce(first_element(elements, by_tag("main")), first_element(elements, by_tag("body")), first),
         "header_scope": _semantic_scope("header", STRONG_HEADER, WEAK_HEADER),
         "footer_scope": _semantic_scope("footer", STRONG_FOOTER, WEAK_FOOTER, EXTRA_FOOTER_IDS),

@@ -84,7 +84,7 @@ def with_blocks(pages: DataFrame, scope: str, name: str) -> DataFrame:
     """
     heads, cuts = f"_{name}_heads", f"_{name}_cuts"
     span = F.col(scope)
-    found = pages.withColumn(heads, F.filter(E.descendants(span), E.by_tag("h1", "h2", "h3")))
+    found = E.computed_once(pages, {heads: F.filter(E.descendants(span), E.by_tag("h1", "h2", "h3"))})
     count = F.size(F.col(heads))
 
     def cut(k: Column) -> Column:
@@ -93,7 +93,7 @@ def with_blocks(pages: DataFrame, scope: str, name: str) -> DataFrame:
         end = F.when(k == count, F.coalesce(span["end_no"], F.lit(0))).otherwise(F.try_element_at(F.col(heads), k + 1)["node_no"] - 1)
         return F.struct(k.alias("block_no"), head.alias("head"), F.slice(F.col("elements"), start, F.greatest(end - start + 1, F.lit(0))).alias("els"))
 
-    sliced = found.withColumn(cuts, F.transform(F.sequence(F.lit(0), count), cut))
+    sliced = E.computed_once(found, {cuts: F.transform(F.sequence(F.lit(0), count), cut)})
     blocks = F.transform(
         F.col(cuts),
         lambda c: F.struct(
@@ -107,7 +107,7 @@ def with_blocks(pages: DataFrame, scope: str, name: str) -> DataFrame:
             _images(c["els"]).alias("images"),
         ),
     )
-    return sliced.withColumn(name, blocks).drop(heads, cuts)
+    return E.computed_once(sliced, {name: blocks}).drop(heads, cuts)
 
 
 def section_key(block: Column) -> Column:
@@ -129,17 +129,20 @@ def with_hero_split(pages: DataFrame, blocks: str) -> DataFrame:
     no_h1 = ~F.exists(headed, lambda b: b["level"] == 1)
     first = F.try_element_at(headed, F.lit(1))
     taken = F.when(first.isNotNull() & looks_like_hero(first, no_h1), F.lit(1)).otherwise(F.lit(0))
-    split = pages.withColumn("_hero_count", taken)
-    return split.withColumns({
+    split = E.computed_once(pages, {"_hero_count": taken})
+    return E.computed_once(split, {
         "hero_blocks": F.filter(all_blocks, lambda b: b["block_no"] <= F.col("_hero_count")),
         "body_blocks": F.filter(all_blocks, lambda b: b["block_no"] > F.col("_hero_count")),
     }).drop("_hero_count")
 
 
-def absorbed(blocks: Column) -> Column:
-    """Blocks with their section and parent: a classified block takes the deeper unclassified blocks right
-    after it, until a classified block or one at its own level or above."""
-    keyed = F.transform(blocks, lambda b: b.withField("section", F.when(b["block_no"] > 0, section_key(b))))
+def with_absorbed(pages: DataFrame, blocks: str, name: str) -> DataFrame:
+    """Add `name`: blocks with their section and parent. A classified block takes the deeper unclassified
+    blocks right after it, until a classified block or one at its own level or above."""
+    keyed, parents = f"_{name}_keyed", f"_{name}_parents"
+    classified = E.computed_once(pages, {
+        keyed: F.transform(blocks, lambda b: b.withField("section", F.when(b["block_no"] > 0, section_key(b))))
+    })
     seed = F.struct(F.lit(None).cast("int").alias("parent"), F.lit(None).cast("int").alias("level"), F.array().cast("array<int>").alias("parents"))
 
     def step(acc, b):
@@ -151,12 +154,9 @@ def absorbed(blocks: Column) -> Column:
             F.concat(acc["parents"], F.array(F.when(inside, acc["parent"]))).alias("parents"),
         )
 
-    parents = F.aggregate(keyed, seed, step)["parents"]
-    return F.zip_with(keyed, parents, lambda b, p: b.withField("parent", p))
-
-
-def with_absorbed(pages: DataFrame, blocks: str, name: str) -> DataFrame:
-    return pages.withColumn(name, absorbed(F.col(blocks)))
+    traced = E.computed_once(classified, {parents: F.aggregate(keyed, seed, step)["parents"]})
+    zipped = F.zip_with(keyed, parents, lambda b, p: b.withField("parent", p))
+    return E.computed_once(traced, {name: zipped}).drop(keyed, parents)
 
 
 def button_link(links: Column) -> Column:
@@ -264,14 +264,9 @@ ITEM_IDENTITY: dict[str, tuple[str, ...]] = {
 }
 
 
-def distinct_items(items: Column, section: str) -> Column:
-    """First occurrence of each item, compared by its non-image fields, trimmed and lower-cased."""
-
-    def identity(item: Column) -> Column:
-        return F.concat_ws("\u0001", *[F.lower(F.trim(item[f].cast("string"))) for f in ITEM_IDENTITY[section]])
-
-    keys = F.transform(items, identity)
-    return F.filter(items, lambda item, i: F.array_position(keys, identity(item)) == i + 1)
+def item_identity(section: str) -> Callable[[Column], Column]:
+    """Identity of a list item: its non-image fields, trimmed and lower-cased."""
+    return lambda item: F.concat_ws("\u0001", *[F.lower(F.trim(item[f].cast("string"))) for f in ITEM_IDENTITY[section]])
 
 
 def list_items(blocks: Column, section: str) -> Column:
@@ -309,10 +304,8 @@ def additional_sections(blocks: Column, keep_repeats: bool = False) -> Column:
 
 
 def gallery(blocks: Column, collect: bool = True) -> Column:
-    """Distinct images of gallery blocks and their children; `collect=False` leaves it empty, as the reference does."""
+    """Images of gallery blocks and their children, repeats kept; `collect=False` leaves it empty, as the reference does."""
     entries = _entries(blocks, "gallery_portfolio")
     images = F.flatten(F.transform(entries, lambda e: F.flatten(F.transform(F.concat(F.array(e), _children(blocks, e)), lambda b: b["images"]))))
     found = F.filter(images, lambda i: i["path"].isNotNull() & F.lit(collect))
-    paths = F.transform(found, lambda i: i["path"])
-    kept = F.filter(found, lambda i, n: F.array_position(paths, i["path"]) == n + 1)
-    return F.transform(kept, lambda i: F.struct(i["path"].alias("image"), i["alt"].alias("caption")))
+    return F.transform(found, lambda i: F.struct(i["path"].alias("image"), i["alt"].alias("caption")))
