@@ -56,7 +56,7 @@ def first_deliveries(spark, sf_dir):
 def streamed_spend_admission(spark, sf_dir):
     state.use_state_store(spark)
     ledger = W.event_time(spark.sql(STANDINS["ledger"], events=run.table_stream(spark, sf_dir, "events")), "created_at")
-    return run.drain(state.admit_stream(ledger))
+    return run.drain(state.admit_stream(ledger), idle_batches=False)
 
 
 @query(

@@ -35,6 +35,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
     return spark
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Set the session settings results depend on; cluster sizing is left alone."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        spark.conf.set(key, SETTINGS[key])
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -17,15 +17,27 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process everything available into a fresh table in the shared folder and return that table."""
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drain(stream: DataFrame, mode: str = "append", idle_batches: bool = True) -> DataFrame:
+    """Process everything available into a fresh table in the shared folder and return that table.
+
+    State with a processing-time TTL always has something to clean, so a bounded run over it must turn
+    `idle_batches` off or it never ends.
+    """
     spark = stream.sparkSession
     base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    before = spark.conf.get(IDLE_BATCHES)
+    spark.conf.set(IDLE_BATCHES, str(idle_batches).lower())
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(IDLE_BATCHES, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
