@@ -38,11 +38,14 @@ def slugify(text: Column | str, empty: str = "section") -> Column:
 
 
 def first_email(text: Column | str) -> Column:
-    return F.regexp_extract(_col(text), EMAIL, 0)
+    # Most texts hold no address; the substring test spares them the pattern.
+    text = _col(text)
+    return F.when(text.contains("@"), F.regexp_extract(text, EMAIL, 0)).otherwise("")
 
 
 def first_phone(text: Column | str) -> Column:
-    return F.trim(F.regexp_extract(_col(text), PHONE, 0))
+    text = _col(text)
+    return F.when(text.rlike(r"(?U)\d{3}"), F.trim(F.regexp_extract(text, PHONE, 0))).otherwise("")
 
 
 def copyright_line(text: Column | str) -> Column:

@@ -46,9 +46,17 @@ def keep_first(df: DataFrame, columns: dict[str, tuple[Column, Callable[[Column]
     return reduced.drop(*[f"{p}{n}" for n in columns for p in ("_raw_", "_key_")])
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input with fewer splits than cores; larger inputs are never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add `elements` and `texts` arrays."""
-    return pages.withColumn("_flat", flatten_html(html)).select("*", "_flat.elements", "_flat.texts").drop("_flat")
+    return spread_small(pages).withColumn("_flat", flatten_html(html)).select("*", "_flat.elements", "_flat.texts").drop("_flat")
 
 
 def element_rows(pages: DataFrame) -> DataFrame:

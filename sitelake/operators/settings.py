@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.functions import text as X
+from sitelake.operators.skew import running_sums
 
 # Fixed values.
 ACCEPTED_FONTS = (
@@ -95,14 +96,15 @@ def narrow_to_category(active: DataFrame, category: str | None) -> DataFrame:
 def choose_templates(runs: DataFrame, candidates: DataFrame, seed: str) -> DataFrame:
     """One template per run, picked by a hash of seed and run; a run's own override comes first.
 
-    The sorted catalogue is numbered once, and each run joins the single number it drew.
+    The catalogue is numbered by name in slices, and each run joins the single number it drew.
     """
-    names = F.array_sort(F.collect_set("filename"))
-    numbered = candidates.agg(names.alias("n")).select(F.posexplode("n").alias("draw", "filename"))
-    total = candidates.agg(F.count_distinct("filename")).scalar()
+    names = candidates.select("filename").distinct()
+    numbered = running_sums(names, [], ["filename"], {"_place": F.lit(1).cast("long")}, F.substring("filename", 1, 3))
+    catalogue = numbered.select((F.col("_place") - 1).alias("draw"), "filename")
+    total = names.agg(F.count("*")).scalar()
     digest = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("run_id").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = runs.withColumn("draw", F.pmod(digest, total).cast("int"))
-    return drawn.join(numbered, "draw").select("run_id", F.coalesce("override", "filename").alias("template"))
+    drawn = runs.withColumn("draw", F.pmod(digest, total))
+    return drawn.join(catalogue, "draw").select("run_id", F.coalesce("override", "filename").alias("template"))
 
 
 def compact_messages(messages: DataFrame, role: str = "tool") -> DataFrame:

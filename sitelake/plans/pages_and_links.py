@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitelake.functions import text, urls
 from sitelake.operators import elements as E, linkgraph as G
 from sitelake.plans.registry import query, table
 from sitelake.plans.urls_and_text import SQL_HOST, SQL_NORMAL, SQL_SPACE
-from sitelake.sources import documents as D, packages as K
+from sitelake.session import checkpoint_folder
+from sitelake.sources import documents as D, packages as K, pages as C, tables as T
 
 # Entities used by the given pages.
 SQL_UNESCAPE = (
@@ -211,3 +214,33 @@ def package_files(spark, sf_dir):
     )
     listing = pages(spark, sf_dir).select(urls.authority("url").alias("site"), F.explode(paths).alias("path"))
     return K.packaged(listing).distinct()
+
+
+@query(
+    "crawl_manifests", "S2",
+    sql=f"""with {SQL_NUMBERED} select site as project_id, page_no, url, 200 as http_status, 'pages/' || file as storage_path from numbered where size <= 20""",
+)
+def crawl_manifests(spark, sf_dir):
+    """Manifests of every site within the cap, written as JSON files and read back with the manifest schema."""
+    page = F.struct("page_no", "url", F.lit(200).alias("http_status"), F.concat(F.lit("pages/"), "file").alias("storage_path"))
+    manifests = G.within_cap(numbered(spark, sf_dir)).groupBy("site").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    folder = f"{checkpoint_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    manifests.select(F.col("site").alias("project_id"), "pages").write.json(folder)
+    # One JSON document per line here; manifests crawled as single files use `read_manifests`.
+    read = C.read_manifests(spark, folder, multi_line=False)
+    return C.manifest_pages(read)
+
+
+@query(
+    "application_tables", "S10",
+    sql="select cast(o_orderkey as varchar) as id, cast(o_custkey as varchar) as user_id, o_orderstatus as status, cast(o_orderdate as date) as day from orders where o_orderstatus = 'F'",
+)
+def application_tables(spark, sf_dir):
+    """Orders stored as a projects table and scanned with the declared schema; the filter reaches the files."""
+    text = "string"
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast(text).alias("id"), F.col("o_custkey").cast(text).alias("user_id"), F.lit("").alias("source_url"),
+        F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    root = f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/projects")
+    return T.read_table(spark, root, "projects").filter("status = 'F'").select("id", "user_id", "status", F.col("created_at").cast("date").alias("day"))

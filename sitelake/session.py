@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans here hold thousands of expressions; recording a Python call site for each costs more than planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # HTML rows are large; small Arrow batches keep Python worker memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

@@ -12,8 +12,8 @@ EXCLUDED_NAME = r"^(_debug_trace.*\.json|blueprint\.json)$"
 def read_package_listing(spark: SparkSession, root: str) -> DataFrame:
     """Path, size and time of every file below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index("path", base, -1)
+    base = root.rstrip("/") + "/"
+    relative = F.substring("path", F.instr("path", base) + len(base), F.length("path"))
     return files.select(relative.alias("path"), "length", "modificationTime")
 
 

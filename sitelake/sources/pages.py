@@ -18,10 +18,10 @@ def read_html_tree(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", "modificationTime", F.decode("content", "UTF-8").alias("html"))
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Crawl manifests, one JSON document per file; unreadable ones keep their text in `_corrupt`."""
+def read_manifests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Crawl manifests, one JSON document per file (or per line); unreadable ones keep their text in `_corrupt`."""
     return (
-        spark.read.schema(schemas.MANIFEST).option("multiLine", "true").option("mode", "PERMISSIVE")
+        spark.read.schema(schemas.MANIFEST).option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt").json(path)
     )
 
