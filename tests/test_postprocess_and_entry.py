@@ -24,12 +24,12 @@ def brute_pairs(js, hidden):
 
 def test_reveal_gap_is_found_and_closed(spark):
     css = spark.createDataFrame([("a", "style.css", CSS), ("b", "style.css", CSS + " .is-visible.reveal{opacity:1}")], "site string, file string, body string")
-    js = spark.createDataFrame([(s, "a.js", JS[:60]) for s in "ab"] + [(s, "b.js", JS[60:]) for s in "ab"], "site string, file string, body string")
+    js = spark.createDataFrame([(s, f"{n}.js", part) for s in "ab" for n, part in zip("ab", JS.split("\n"))], "site string, file string, body string")
     hidden = audit.hidden_classes(css)
     names = {r["hidden"] for r in hidden.filter("site = 'a'").collect()}
     assert {"reveal", "hide"} <= names and "half" not in names
     pairs = audit.reveal_pairs(js, hidden)
-    assert {(r["hidden"], r["reveal"]) for r in pairs.filter("site = 'a'").collect()} == brute_pairs(JS[:60] + "\n" + JS[60:], names)
+    assert {(r["hidden"], r["reveal"]) for r in pairs.filter("site = 'a'").collect()} == brute_pairs(JS, names)
     gaps = audit.reveal_gaps(pairs, css).collect()
     assert [(r["site"], r["hidden"], r["reveal"]) for r in gaps] == [("a", "reveal", "is-visible")]
 
