@@ -63,11 +63,11 @@ def with_asset_paths(pages: DataFrame, assets: DataFrame | None, site: Column) -
     return pages.join(found, "page_id", "left").withColumn("asset_paths", F.coalesce("_paths", empty)).drop("_paths")
 
 
-def _with_scope_sections(df: DataFrame, blocks: str, prefix: str, gallery: bool) -> DataFrame:
+def _with_scope_sections(df: DataFrame, blocks: str, prefix: str, gallery: bool, keep_repeats: bool) -> DataFrame:
     """Add `prefix + key` for every section built from the keyed blocks of one scope."""
     b = F.col(blocks)
     single = {f"{prefix}about": S.about(b), f"{prefix}cta_section": S.call_to_action(b), f"{prefix}contact": S.contact(b),
-              f"{prefix}additional_sections": S.additional_sections(b)}
+              f"{prefix}additional_sections": S.additional_sections(b, keep_repeats)}
     lists = {f"{prefix}{key}": (S.list_items(b, key), S.item_identity(key)) for key in LIST_SECTIONS}
     lists[f"{prefix}gallery_portfolio"] = (S.gallery(b, gallery), lambda i: i["image"])
     return E.keep_first(E.computed_once(df, single), lists)
@@ -95,7 +95,9 @@ def fill_empty(primary: dict[str, Column], secondary: dict[str, Column]) -> dict
     return merged
 
 
-def page_blueprints(pages: DataFrame, assets: DataFrame | None = None, gallery: bool = False) -> DataFrame:
+def page_blueprints(
+    pages: DataFrame, assets: DataFrame | None = None, gallery: bool = False, keep_repeats: bool = False
+) -> DataFrame:
     """One row per page: `sections` struct, `all_images`, navigation and the columns site assembly needs.
 
     Shuffle-free apart from the optional asset lookup.
@@ -107,7 +109,8 @@ def page_blueprints(pages: DataFrame, assets: DataFrame | None = None, gallery:
         "footer_body", F.filter("footer_blocks", lambda b: b["block_no"] > 0)
     )
     foot = S.with_absorbed(foot, "footer_body", "footer_keyed")
-    both = _with_scope_sections(_with_scope_sections(foot, "body_keyed", "_m_", gallery), "footer_keyed", "_f_", gallery)
+    main_sections = _with_scope_sections(foot, "body_keyed", "_m_", gallery, keep_repeats)
+    both = _with_scope_sections(main_sections, "footer_keyed", "_f_", gallery, keep_repeats)
     extras = {"_hero": S.hero(), "_footer": E.footer(), "navigation": E.navigation(), "_fallback": E.contact_fallback_text()}
     wide = with_all_images(E.computed_once(both, extras))
     wide = E.keep_first(wide, {f"_w_{k}": (F.concat(*[w() for w in fns]), S.item_identity(k)) for k, fns in WIDGETS.items()})

@@ -39,7 +39,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
 
 def apply_settings(spark: SparkSession) -> None:
     """Set the session settings results depend on; cluster sizing is left alone."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+    for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.python.sql.dataFrameDebugging.enabled"):
         spark.conf.set(key, SETTINGS[key])
 
 

@@ -88,3 +88,13 @@ def test_images_logo_favicon_gallery(pages):
     assert (row["logo"], row["favicon"]) == ("img/l.png", "ic/b")
     assert [(g["image"], g["caption"]) for g in row["sections"]["gallery_portfolio"]] == [("img/1.png", "g")]
     assert row["sections"]["hero"]["background_image"] == "img/1.png"
+
+
+def test_repeated_single_sections_are_kept_on_request(spark):
+    html = ("<html><body><main><h1>X</h1><h2>About us</h2><p>first</p><h2>Map</h2><p>m</p><h2>Our story</h2><p>second</p>"
+            "<h2>Services</h2><ul><li>a</li></ul></main></body></html>")
+    df = spark.createDataFrame([(1, "https://a.test/", html)], "page_id long, url string, html string")
+    plain = page_blueprints(df).first()["sections"]
+    kept = page_blueprints(df, keep_repeats=True).first()["sections"]
+    assert [a["title"] for a in plain["additional_sections"]] == ["Map"] and plain["about"]["body"] == "first"
+    assert [a["title"] for a in kept["additional_sections"]] == ["Map", "Our story"] and kept["about"]["body"] == "first"
