@@ -1,9 +1,11 @@
-"""Session settings the package relies on, and the shared checkpoint folder."""
+"""Session settings the package relies on, the package on the workers, and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Plans here hold thousands of expressions; recording a Python call site for each costs more than planning.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # HTML rows are large; small Arrow batches keep Python worker memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
@@ -39,10 +39,27 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
 
 def apply_settings(spark: SparkSession) -> None:
     """Set the session settings results depend on; cluster sizing is left alone."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.python.sql.dataFrameDebugging.enabled"):
+    for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
         spark.conf.set(key, SETTINGS[key])
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which do not see the driver's module path. Once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sitelake-package-")) / "sitelake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
