@@ -19,7 +19,7 @@ FIT_ROWS = 20_000
 #: At most so many features, those that most exceed their expected count in toxic texts.
 FIT_FEATURES = 4_000
 #: A feature is tried if it is in so many different toxic texts and exceeds the expected number by so many standard deviations.
-LEAST_TOXIC, LEAST_Z = 3, 3.0
+LEAST_TOXIC, LEAST_Z = 4, 4.0
 THRESHOLD = 0.7
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -82,7 +82,7 @@ def train_toxicity(
     """Fit the sentence model on labelled texts whose id is not held out (crc32 modulo 3 is not 1).
 
     A text is toxic if any of its sentences is: P = 1 - prod(1 - p_s), p_s = sigmoid(bias + sum of weights) for a sentence that has a
-    feature, 0 for others. The log-likelihood of the labels is climbed by gradient steps on the driver, over at most `fit_rows` texts
+    feature, 0 for others. Weights are not negative, so harmless words cannot outweigh an offence. The log-likelihood of the labels is climbed by gradient steps on the driver, over at most `fit_rows` texts
     reduced to their known features. Without a toxic or without a clean text the model has no feature and scores everything 0.
     """
     rows = cut_lineage(training_rows(docs, labels, id_col, text_col, label_col, label_id_col, fit_rows))
@@ -140,6 +140,7 @@ def _fit(bags: list[tuple[list[list[int]], int]], n_features: int, epochs: int,
         grad[-1] = ds.sum() / len(bags)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        np.maximum(w[:-1], 0, out=w[:-1])
     return w[:-1], w[-1]
 
 
