@@ -48,3 +48,10 @@ def op10_toxicity_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_source_schedule")
+def op4_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
