@@ -55,3 +55,25 @@ def op4_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelake.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_legacy_archives",
+    sql="""
+    with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+    d as (
+        select *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (((('0x' || substr(hex, (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - i % 4 * 5)::int) & 31) + 1)::int, 1)), '') as payload_digest,
+            min(page_id) over (partition by hex, payload_bytes) as first_page
+        from p
+    )
+    select page_id, payload_bytes, payload_digest, case when page_id = first_page then 'response' else 'revisit' end as record_type,
+        case when page_id <> first_page then first_page end as refers_to
+    from d
+    """,
+)
+def op7_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.warc import archive_round_trip
+
+    read = archive_round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
