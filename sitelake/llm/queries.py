@@ -77,3 +77,17 @@ def op7_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     read = archive_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_transducer_bpe")
+def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.bpe import build_lexicon, encode
+
+    docs = table(spark, sf_dir, "documents")
+    return encode(docs, tokenizer_path(), build_lexicon(docs, tokenizer_path()), digests=True)
