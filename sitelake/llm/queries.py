@@ -91,3 +91,11 @@ def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return encode(docs, tokenizer_path(), build_lexicon(docs, tokenizer_path()), digests=True)
+
+
+@query("op8_imatch")
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.imatch import band_lexicon, edited_fingerprints
+
+    docs = table(spark, sf_dir, "documents")
+    return edited_fingerprints(docs, band_lexicon(docs)).drop("next_id")
