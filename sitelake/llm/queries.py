@@ -99,3 +99,37 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return edited_fingerprints(docs, band_lexicon(docs)).drop("next_id")
+
+
+@query(
+    "op1_jaccard_regions",
+    sql=r"""
+    with recursive w as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+    ),
+    sh as (
+        select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 4 then [array_to_string(ws, ' ')]
+            else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as s
+        from w
+    ),
+    sizes as (select doc_id, count(*) as n from sh group by 1),
+    pairs as (
+        select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+    ),
+    links as (
+        select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)
+    ),
+    both_ways as (select x, y from links union all select y, x from links),
+    reach as (
+        select doc_id as x, doc_id as y from w
+        union
+        select r.x, b.y from reach r join both_ways b on r.y = b.x
+    )
+    select w.doc_id, coalesce(n, 0)::bigint as n_shingles, c.component_id
+    from w left join sizes using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by 1) c using (doc_id)
+    """,
+)
+def op1_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
