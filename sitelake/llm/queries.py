@@ -133,3 +133,10 @@ def op1_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelake.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
+@query("op6_previous_factors")
+def op6_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, texts=False).drop("spans")
