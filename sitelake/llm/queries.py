@@ -140,3 +140,10 @@ def op6_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelake.llm.suffixes import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, texts=False).drop("spans")
+
+
+@query("op3_katz_backoff")
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
