@@ -147,3 +147,10 @@ def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelake.llm.katz import katz_scores
 
     return katz_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op2_wrapper_text")
+def op2_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.wrappers import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))

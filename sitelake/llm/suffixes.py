@@ -12,7 +12,7 @@ shares as much with it), and a match anywhere if the stretch holds any other pos
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +255,7 @@ def whole_letters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_first: bool = True, texts: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes) and, with `texts`, kept_text.
 
@@ -262,12 +263,14 @@ def remove_repeats(
     `keep_first` the first place of each string keeps it. Strings are judged on the input. Spans given with kept_text are cut to whole
     letters. Null and empty texts have no bytes; texts shorter than `length` lose none. A null id comes after all others. Rows with
     equal id and text are other places of their strings and lose alike, but count as one place for `keep_first`. Other columns are
-    left out; an empty table gives an empty result.
+    left out but those named in `carry`, which follow under their own names; an empty table gives an empty result.
     """
     steps = Steps(docs.sparkSession, "suffixes")
-    rows = slim(docs, doc_id=id_col, text=text_col).select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    held = {f"carried_{i}": name for i, name in enumerate(carry)}
+    given = slim(docs, doc_id=id_col, text=text_col, **held).select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *held
     )
+    rows = given.select("doc_id", "row", "text")
     touched, spans = repeated_spans(rows, steps, length, keep_first)
     by_row = spans.groupBy(F.col("row").alias("r")).agg(F.collect_set(F.struct("lo", "hi")).alias("covered"))  # of one text
     ddl = "row bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept_text string"
@@ -294,10 +297,11 @@ def remove_repeats(
     removed = steps.write("removed", removed)
     steps.drop("met", "kinds", "touched", "hits")
     text = [F.coalesce("kept_text", F.col("text").cast("string")).alias("kept_text")] if texts else []
-    whole = rows.select(
-        "doc_id", "row", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text")] if texts else [])
+    whole = given.select(
+        *held, "doc_id", "row", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text")] if texts else [])
     )
     return whole.join(removed, "row", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), *text,
+        *(F.col(new).alias(old) for new, old in held.items()),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,12 +78,12 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id",
-    fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES, epochs: int = 400, penalty: float = 3e-5,
+    fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES, epochs: int = 400, penalty: float = 0.5,
 ) -> ToxicityModel:
     """Fit the sentence model on labelled texts whose id is not held out (crc32 modulo 3 is not 1).
 
     A text is toxic if any of its sentences is: P = 1 - prod(1 - p_s), p_s = sigmoid(bias + sum of weights) for a sentence that has a
-    feature, 0 for others. Weights are not negative, so harmless words cannot outweigh an offence. The log-likelihood of the labels is climbed by gradient steps on the driver, over at most `fit_rows` texts
+    feature, 0 for others. Weights are not negative, so harmless words cannot outweigh an offence; `penalty` shrinks them, the more so the fewer texts there are. The log-likelihood of the labels is climbed by gradient steps on the driver, over at most `fit_rows` texts
     reduced to their known features. Without a toxic or without a clean text the model has no feature and scores everything 0.
     """
     rows = cut_lineage(training_rows(docs, labels, id_col, text_col, label_col, label_id_col, fit_rows))
@@ -111,7 +112,7 @@ def train_toxicity(
 
     bags = rows.mapInArrow(known, "toxic int, sentences array<array<int>>").collect()
     bags.sort(key=lambda r: (r.toxic, r.sentences))
-    weights, bias = _fit([(r.sentences, r.toxic) for r in bags], len(vocabulary), epochs, penalty)
+    weights, bias = _fit([(r.sentences, r.toxic) for r in bags], len(vocabulary), epochs, penalty / len(bags))
     return ToxicityModel({f: float(weights[i]) for f, i in vocabulary.items() if abs(weights[i]) > 1e-3}, float(bias), total.n)
 
 
@@ -144,47 +145,52 @@ def _fit(bags: list[tuple[list[list[int]], int]], n_features: int, epochs: int,
     return w[:-1], w[-1]
 
 
+class _Weighted(dict):
+    """Word -> its features that have a weight, or None; found once."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[str, ...] | None:
+        found = tuple(f for f in features(word) if f in self.weights) or None
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = found
+        return found
+
+
+def score_text(text: str, model: ToxicityModel, known: _Weighted) -> tuple[float, int, list[dict]]:
+    """Noisy-or score, number of sentences, and the sentences of at least one half with their place and probability."""
+    low = text.lower()
+    if not any(map(known.__getitem__, set(TOKEN.findall(low)))):
+        return 0.0, sum(1 for _ in SENTENCE.finditer(text)), []
+    n_sentences, hits, clean = 0, [], 0.0
+    for s in SENTENCE.finditer(low if len(low) == len(text) else text):
+        n_sentences += 1
+        found = {f for w in TOKEN.findall(s.group().lower()) for f in known[w] or ()}
+        if found:
+            z = model.bias + sum(model.weights[f] for f in sorted(found))
+            p = 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+            clean += math.log1p(-min(p, 1 - 1e-9))
+            if p >= 0.5:
+                hits.append({"start": s.start(), "end": s.end(), "score": p})
+    return abs(math.expm1(clean)), n_sentences, hits
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, n_sentences and the offending sentences.
 
     `offending` lists start, end (code points) and probability of each sentence of at least one half. Null and empty texts have no
     sentence and score 0. Equal texts score alike; null ids stay null and are not held out; other columns are left out. No shuffle.
     """
-    weights, bias = model.weights, model.bias
     ddl = "doc_id bigint, score double, n_sentences bigint, offending array<struct<start:bigint,end:bigint,score:double>>"
     out = arrow_schema(ddl)
 
-    class Weights(dict):
-        """Weight features of a word, found once; None if it has none."""
-
-        def __missing__(self, word: str) -> tuple[str, ...] | None:
-            found = tuple(f for f in features(word) if f in weights) or None
-            if len(self) > 200_000:
-                self.clear()
-            self[word] = found
-            return found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Weights()
+        known = _Weighted(model.weights)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                low = text.lower()
-                n_sentences, hits, clean = 0, [], 0.0
-                if any(map(known.__getitem__, set(TOKEN.findall(low)))):
-                    same = len(low) == len(text)
-                    for s in SENTENCE.finditer(text if not same else low):
-                        n_sentences += 1
-                        fs = {f for w in TOKEN.findall(s.group().lower()) for f in known[w] or ()}
-                        if fs:
-                            z = bias + sum(weights[f] for f in sorted(fs))
-                            p = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
-                            clean += np.log1p(-min(p, 1 - 1e-9))
-                            if p >= 0.5:
-                                hits.append({"start": s.start(), "end": s.end(), "score": float(p)})
-                else:
-                    n_sentences = sum(1 for _ in SENTENCE.finditer(text))
-                rows.append((doc_id, float(abs(np.expm1(clean))), n_sentences, hits))
+            rows = [(i, *score_text(t, model, known)) for i, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
@@ -193,3 +199,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         "doc_id", remainder_is("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
         "n_sentences", "offending",
     )
+
+
+def harmless(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Weighted(model.weights)
+        for batch in batches:
+            yield batch.filter(pa.array([score_text(t, model, known)[0] < threshold for t in texts_of(batch, text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
