@@ -1,10 +1,77 @@
-"""A corpus pipeline over the documents table."""
+"""A corpus pipeline over the documents table: each stage works on all that its predecessor kept.
+
+Stages but the last return the columns of documents. Which rows and texts they keep: `toxicity` drops documents that the model
+rejects; `near_duplicates` keeps the document of smallest id of each group of near copies, and those without id; `passages` removes
+repeated passages but their first place, and documents of which nothing is left; `mix` repeats or drops whole documents by the words
+that the source mix takes of them; `encode` returns doc_id, n_tokens and ids.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitelake.llm.bpe import build_lexicon
+from sitelake.llm.bpe import encode as bpe_encode
+from sitelake.llm.jaccard import jaccard_components
+from sitelake.llm.mixing import mixed_documents
+from sitelake.llm.queries import tokenizer_path
+from sitelake.llm.suffixes import remove_repeats
+from sitelake.llm.toxicity import harmless, train_toxicity
+from sitelake.session import apply_settings, ship_package
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def ready(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apply_settings(spark)
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    run_stage.__doc__ = stage.__doc__
+    return run_stage
+
+
+@ready
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose noisy-or score is below the threshold; the model learns from labelled ones of its input."""
+    return harmless(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@ready
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each group linked by shingles of five words at a similarity of 0.8."""
+    others = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct()
+    return docs.join(others, F.col("doc_id") == F.col("other"), "left_anti")
+
+
+@ready
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of strings of 400 bytes; documents of which only white space is left go."""
+    left = remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    left = left.where(~((F.col("n_removed") > 0) & (F.length(F.trim("kept_text")) == 0)))
+    return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("bigint")).select(*docs.columns)
+
+
+@ready
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents as often as the source mix takes them."""
+    return mixed_documents(docs)
+
+
+@ready
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe_encode(docs, tokenizer_path(), build_lexicon(docs, tokenizer_path()))
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("passages", passages), ("mix", mix), ("encode", encode),
+]
+#: Training, suffix order and token ids are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
