@@ -208,6 +208,10 @@ def repeated_spans(docs: DataFrame, steps: Steps, length: int = 400, keep_first:
 
         for group in groups_of(batches, ("m", "part"), ("last", "doc_id", "row", "start", "m", "sk", "data")):
             group.sort(key=lambda g: (g[0], g[1] or 0, g[2], g[3]))
+            if held and held[-1][0] == group[0][4]:  # parts of one hash share runs, which must not meet themselves
+                size = 0
+                if (out := flush()) is not None:
+                    yield out
             held += [g[4:] for g in group]
             size += sum(len(g[6]) for g in group)
             if size > SORT_BYTES:
