@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sitelake.llm.common import arrow_schema, slim, texts_of
 from sitelake.llm.components import components
-from sitelake.llm.tables import Steps
+from sitelake.llm.tables import Steps, runtime_filters
 
 #: Pivots counted so often in one pass of a task, and so often over all, come last in the order, the rarer ones first; at most so many.
 SEEN_HERE, SEEN_ALL, FREQUENT = 6, 24, 200_000
@@ -294,8 +294,10 @@ def jaccard_components(
     sized = near.join(nodes.select(F.col("a").alias("node"), "rep", "n"), "node")
     totals = sized.groupBy("component").agg(F.sum("n").alias("total"))
     wanted = steps.write("wanted", in_blocks(sized.withColumnRenamed("node", "a").join(totals, "component"), F.col("total"), REGION_SHINGLES).select("component", "part", "a", "rep"))
-    texts = wanted.join(rows, wanted.rep == rows.doc_id).select("component", "part", "a", "text")
-    links = components(exact_edges(texts, width, num, den), steps, "links")
+    # Most texts are near no other: the condition, which all rows meet, lets Spark filter texts by the wanted ids before it shuffles them.
+    texts = wanted.where("part >= 0").join(rows, wanted.rep == rows.doc_id).select("component", "part", "a", "text")
+    with runtime_filters(docs.sparkSession):
+        links = components(exact_edges(texts, width, num, den), steps, "links")
     named = nodes.select("a", "rep").join(links.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = steps.write("labels", named.join(smallest, "component").select("a", "component_id"))

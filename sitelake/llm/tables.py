@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,20 @@ class Steps:
         """Let go of the shuffles of finished steps."""
         gc.collect()
         self.spark._jvm.System.gc()
+
+
+FILTER_FROM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+
+
+@contextmanager
+def runtime_filters(spark: SparkSession) -> Iterator[None]:
+    """Let Spark test the keys of any scan against a Bloom filter of the other side of a join, before its rows are shuffled.
+
+    Spark bounds the filter's size itself, and the join that follows is exact.
+    """
+    before = spark.conf.get(FILTER_FROM)
+    spark.conf.set(FILTER_FROM, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(FILTER_FROM, before)
