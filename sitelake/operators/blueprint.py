@@ -295,20 +295,20 @@ def design_document() -> Column:
     return _cat("---\n", F.array_join(front, "\n"), "\n---\n\n", text, "\n")
 
 
-def site_blueprints(pages: DataFrame, palettes: DataFrame, assets: DataFrame | None = None, max_pages: int = 20) -> DataFrame:
-    """One document per site within the page cap: meta of the home page, its navigation, pages in order.
+def site_blueprints(pages: DataFrame, palettes: DataFrame, assets: DataFrame | None = None, part_pages: int = 20) -> DataFrame:
+    """One document per site, or part of `part_pages` pages of a larger one: meta of the home page, its navigation, pages in order.
 
-    `pages` is `page_blueprints` with `site` and `page_no`; a site has at most `max_pages` rows here.
+    `pages` is `page_blueprints` with `site` and `page_no`. Every part carries the meta and navigation of the site.
     """
-    from sitelake.operators.linkgraph import within_cap
+    from sitelake.operators.linkgraph import with_part
 
-    kept = within_cap(pages, max_pages)
+    kept = with_part(pages, part_pages)
     entry = F.struct("page_no", F.col("url").alias("page_url"), "sections", "all_images")
     home = F.struct("site_name_guess", "navigation", "logo", "favicon")
-    grouped = kept.groupBy("site").agg(F.array_sort(F.collect_list(F.col("page_no"))).alias("_order"),
-                                       F.map_from_entries(F.collect_list(F.struct(F.col("page_no"), entry))).alias("_by_no"),
-                                       F.min_by(home, "page_no").alias("h"))
-    colored = grouped.join(palettes.select("site", "colors"), "site", "left")
+    grouped = kept.groupBy("site", "part").agg(F.array_sort(F.collect_list(F.col("page_no"))).alias("_order"),
+                                               F.map_from_entries(F.collect_list(F.struct(F.col("page_no"), entry))).alias("_by_no"))
+    homes = kept.groupBy("site").agg(F.min_by(home, "page_no").alias("h"))
+    colored = grouped.join(homes, "site").join(palettes.select("site", "colors"), "site", "left")
     logo = F.col("h.logo")
     if assets is not None:
         images = assets.filter("asset_type = 'image'").groupBy("site").agg(F.min_by("storage_path", "seq").alias("_first_image"))
@@ -320,4 +320,4 @@ def site_blueprints(pages: DataFrame, palettes: DataFrame, assets: DataFrame | N
         F.lit("").alias("tone"), F.col("h.favicon").alias("favicon"), F.lit("").alias("site_category"),
     )
     ordered = F.transform("_order", lambda n: F.element_at(F.col("_by_no"), n))
-    return colored.select("site", meta.alias("meta"), F.col("h.navigation").alias("navigation"), ordered.alias("pages"))
+    return colored.select("site", "part", meta.alias("meta"), F.col("h.navigation").alias("navigation"), ordered.alias("pages"))

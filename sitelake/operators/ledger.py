@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sitelake.functions.text import tier_of_download_key
 from sitelake.operators.skew import running_sums, time_segment
+from sitelake.session import cut_lineage
 
 # Fixed values.
 SIGNUP_GRANT = 3
@@ -19,7 +20,7 @@ LEDGER_ORDER = ["created_at", "id"]
 
 
 def idempotent(ledger: DataFrame) -> DataFrame:
-    """Keep the first row of every non-null idempotency key and every row without a key.
+    """Keep the first row of every non-null idempotency key and every row without a key, for ledgers of rows that all count.
 
     First rows are found by an aggregate, not a window: a key that repeats without end shuffles one
     partial row per task.
@@ -118,6 +119,41 @@ def admit(ledger: DataFrame, slice_above: int = 100_000, slice_seconds: int = 86
     return _grouped(ready).mapInPandas(_decide, "wallet_id long, id long, amount long, accepted boolean, balance long")
 
 
+def decide(ledger: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """Decide a ledger whose keys count once over all wallets, and only with an accepted row: a rejected debit leaves its key free.
+
+    The row of a key that counts is its first accepted one; rows after it are repeats and drop out, rows before it stand as rejected.
+    Which row that is depends on balances, which depend on other keys. So rounds of admission start from the first row of every key,
+    and each takes the first accepted rows that the last one found, until they stay the same. A round settles at least the earliest
+    open row of the table; with one retry for a key it takes two or three rounds. `opening` has wallet_id and balance.
+    """
+    columns = ["wallet_id", "id", "created_at", "amount", "idempotency_key"]
+    rows = cut_lineage(ledger.select(*columns))
+    place = F.struct(*LEDGER_ORDER)
+    keyed = rows.filter("idempotency_key is not null")
+    upto = keyed.groupBy("idempotency_key").agg(F.min(place).alias("upto"))
+    known = None
+    while True:
+        active = rows.join(upto, "idempotency_key", "left").filter(F.col("upto").isNull() | (place <= F.col("upto"))).select(*columns)
+        if opening is not None:
+            start = F.lit(0).cast("timestamp").cast(rows.schema["created_at"].dataType)
+            active = active.unionByName(opening.select(
+                "wallet_id", F.lit(None).cast("long").alias("id"), start.alias("created_at"), F.col("balance").alias("amount"),
+                F.lit(None).cast("string").alias("idempotency_key")))
+        decided = cut_lineage(admit(active).filter("id is not null"))
+        accepted = keyed.join(decided.filter("accepted").select("id"), "id")
+        upto = cut_lineage(accepted.groupBy("idempotency_key").agg(F.min(place).alias("upto")))
+        mark = upto.agg(F.count("*"), F.sum(F.xxhash64("idempotency_key", "upto.id").cast("decimal(20,0)"))).first()
+        if mark == known:
+            return decided
+        known = mark
+
+
+def standing(ledger: DataFrame) -> DataFrame:
+    """The rows of a ledger that count."""
+    return ledger.join(decide(ledger).filter("accepted").select("id"), "id", "left_semi")
+
+
 def chain_segments(pieces: DataFrame) -> DataFrame:
     """Opening balance of every (wallet, segment): walk the wallet's slice summaries once."""
     slices = F.array_sort(F.collect_list(F.struct("segment", "starts", "shifts")))

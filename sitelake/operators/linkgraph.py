@@ -71,11 +71,10 @@ def numbered_pages(pages: DataFrame, site: Column, width: int = 1_000_000) -> Da
     return rows.withColumn("page_no", (F.col("_n") - 1).cast("int")).drop("_n").withColumn("file", page_file(F.col("page_no")))
 
 
-def within_cap(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Pages of sites at or under the page cap. Sites over it are rejected whole, as in discovery, so later
-    per-site documents are built from at most `max_pages` rows."""
-    small = pages.groupBy("site").agg(F.count("*").alias("_n")).filter(F.col("_n") <= max_pages).select("site")
-    return pages.join(small, "site", "left_semi")
+def with_part(pages: DataFrame, part_pages: int = MAX_PAGES) -> DataFrame:
+    """`part`: pages of a site in runs of `part_pages`. A site that discovery accepts is one part; documents of a larger one
+    are built part by part, so that no list grows with the site and no page is left out."""
+    return pages.withColumn("part", F.floor(F.col("page_no") / part_pages).cast("int"))
 
 
 def robots_rules(body: Column) -> Column:
@@ -156,23 +155,24 @@ def distinct_assets(assets: DataFrame) -> DataFrame:
     return merged.select("site", "storage_path", "r.*", "first_seen")
 
 
-def site_digest(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """For each page the summaries of the other pages of its site, in page order.
+def site_digest(pages: DataFrame, part_pages: int = MAX_PAGES) -> DataFrame:
+    """For each page the summaries of the other pages of its part of the site, in page order.
 
-    Runs on sites within the cap, so a site's list holds at most `max_pages` summaries.
+    A part holds at most `part_pages` summaries; all pages of all sites get a digest.
     """
-    listed = within_cap(pages, max_pages).groupBy("site").agg(
+    listed = with_part(pages, part_pages).groupBy("site", "part").agg(
         F.array_sort(F.collect_list(F.struct("page_no", "page_id", "summary"))).alias("all")
     )
-    rows = listed.select("site", "all", F.explode("all").alias("me"))
+    rows = listed.select("site", "part", "all", F.explode("all").alias("me"))
     others = F.transform(F.filter("all", lambda p: p["page_no"] != F.col("me.page_no")), lambda p: p["summary"])
-    text = F.when(F.size(others) == 0, "(single-page site, no other pages)").otherwise(F.array_join(others, "\n\n"))
+    alone = F.when(F.col("part") == 0, "(single-page site, no other pages)").otherwise("")
+    text = F.when(F.size(others) == 0, alone).otherwise(F.array_join(others, "\n\n"))
     return rows.select("me.page_id", "site", text.alias("digest"))
 
 
-def page_batches(pages: DataFrame, size: int = 4, max_pages: int = MAX_PAGES) -> DataFrame:
+def page_batches(pages: DataFrame, size: int = 4) -> DataFrame:
     """Remaining pages in batches of `size`, with the home page repeated as context in each batch."""
-    rows = within_cap(pages, max_pages)
+    rows = pages
     rest = rows.filter("page_no > 0").withColumn("batch_no", F.floor((F.col("page_no") - 1) / size).cast("int"))
     batches = rest.select("site", "batch_no").distinct()
     home = rows.filter("page_no = 0").join(batches, "site")
@@ -180,10 +180,10 @@ def page_batches(pages: DataFrame, size: int = 4, max_pages: int = MAX_PAGES) ->
     return rest.select(*columns).unionByName(home.select(*columns))
 
 
-def briefs(pages: DataFrame, images: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """One text per site: file map, page list and sorted image list with a fixed line when there is none."""
-    kept = within_cap(pages, max_pages)
-    lines = kept.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_no", "url", "file"))).alias("p"))
+def briefs(pages: DataFrame, images: DataFrame, part_pages: int = MAX_PAGES) -> DataFrame:
+    """One text per site, or part of a large one: file map, page list and sorted image list with a fixed line when there is none."""
+    kept = with_part(pages, part_pages)
+    lines = kept.groupBy("site", "part").agg(F.array_sort(F.collect_list(F.struct("page_no", "url", "file"))).alias("p"))
     names = kept.select("site").distinct().join(images.select("site", "name").distinct(), "site").groupBy("site").agg(
         F.array_sort(F.collect_list("name")).alias("names")
     )
@@ -193,4 +193,4 @@ def briefs(pages: DataFrame, images: DataFrame, max_pages: int = MAX_PAGES) -> D
     )
     file_map = F.array_join(F.transform("p", lambda x: F.concat(x["url"], F.lit(" -> "), x["file"])), "\n")
     page_list = F.array_join(F.transform("p", lambda x: F.concat(F.lit("- "), x["file"])), "\n")
-    return joined.select("site", F.concat_ws("\n\n", file_map, page_list, image_list).alias("brief"))
+    return joined.select("site", "part", F.concat_ws("\n\n", file_map, page_list, image_list).alias("brief"))

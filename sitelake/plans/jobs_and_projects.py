@@ -133,9 +133,9 @@ def queue_backlog(spark, sf_dir):
 
 @query(
     "queue_timing", "W14",
-    sql=with_standins("queued_jobs", """select task_name, count(*) as jobs, round(avg(started_at - created_at), 6) as avg_wait,
-        quantile_cont(started_at - created_at, 0.5) as median_wait, round(avg(finished_at - started_at), 6) as avg_run,
-        quantile_cont(finished_at - started_at, 0.95) as p95_run from queued_jobs group by task_name"""),
+    sql=with_standins("queued_jobs", """select task_name, count(*) as jobs, round(avg((started_at - created_at) * 86400), 6) as avg_wait,
+        quantile_cont((started_at - created_at) * 86400, 0.5) as median_wait, round(avg((finished_at - started_at) * 86400), 6) as avg_run,
+        quantile_cont((finished_at - started_at) * 86400, 0.95) as p95_run from queued_jobs group by task_name"""),
 )
 def queue_timing(spark, sf_dir):
     return J.queue_timing(standin(spark, sf_dir, "queued_jobs"))

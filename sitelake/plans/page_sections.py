@@ -248,18 +248,18 @@ def site_rows(spark, sf_dir):
 
 @query("site_blueprints", "X20", "S3", "A14")
 def site_blueprints(spark, sf_dir):
-    return site_rows(spark, sf_dir).select("site", "meta.site_name", F.size("pages").alias("pages"), F.to_json(F.struct("meta", "navigation", "pages")).alias("document"))
+    return site_rows(spark, sf_dir).select("site", "part", "meta.site_name", F.size("pages").alias("pages"), F.to_json(F.struct("meta", "navigation", "pages")).alias("document"))
 
 
 @query("design_documents", "A18", "S4")
 def design_documents(spark, sf_dir):
-    return site_rows(spark, sf_dir).select(F.col("site").alias("host"), B.design_document().alias("design_md"))
+    return site_rows(spark, sf_dir).select(F.col("site").alias("host"), "part", B.design_document().alias("design_md"))
 
 
 @query("blueprint_round_trip", "S3")
 def blueprint_round_trip(spark, sf_dir):
-    stored = site_rows(spark, sf_dir).select("site", F.to_json(F.struct("meta", "pages")).alias("document"))
-    return D.parse_blueprints(stored).select("site", "blueprint.meta.site_name", F.size("blueprint.navigation").alias("nav_links"), F.size("blueprint.pages").alias("pages"))
+    stored = site_rows(spark, sf_dir).select("site", "part", F.to_json(F.struct("meta", "pages")).alias("document"))
+    return D.parse_blueprints(stored).select("site", "part", "blueprint.meta.site_name", F.size("blueprint.navigation").alias("nav_links"), F.size("blueprint.pages").alias("pages"))
 
 
 SQL_ROBOTS = rf"""robots as (select site, case k when 2 then true when 3 then true when 4 then false when 0 then true when 1 then starts_with(p, '/en/') else starts_with(p, '/en/') end as allowed

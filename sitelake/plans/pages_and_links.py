@@ -155,9 +155,10 @@ def asset_records(spark, sf_dir):
 
 @query(
     "site_digests", "A17",
-    sql=f"""with {SQL_NUMBERED}, s as (select * from numbered where size <= 20)
-      select a.page_id, a.site, coalesce(string_agg('Page: ' || b.url, chr(10) || chr(10) order by b.page_no), '(single-page site, no other pages)') as digest
-      from s a left join s b on b.site = a.site and b.page_no <> a.page_no group by a.page_id, a.site""",
+    sql=f"""with {SQL_NUMBERED}, s as (select *, page_no // 20 as part from numbered)
+      select a.page_id, a.site, coalesce(string_agg('Page: ' || b.url, chr(10) || chr(10) order by b.page_no),
+        case when any_value(a.part) = 0 then '(single-page site, no other pages)' else '' end) as digest
+      from s a left join s b on b.site = a.site and b.part = a.part and b.page_no <> a.page_no group by a.page_id, a.site""",
 )
 def site_digests(spark, sf_dir):
     rows = numbered(spark, sf_dir).withColumn("summary", F.concat(F.lit("Page: "), "url"))
@@ -166,7 +167,7 @@ def site_digests(spark, sf_dir):
 
 @query(
     "page_batches", "W13",
-    sql=f"""with {SQL_NUMBERED}, s as (select * from numbered where size <= 20),
+    sql=f"""with {SQL_NUMBERED}, s as (select * from numbered),
       b as (select site, cast(floor((page_no - 1) / 4) as int) as batch_no, page_no, page_id, file from s where page_no > 0)
       select * from b union all select distinct s.site, b.batch_no, s.page_no, s.page_id, s.file from s join b on b.site = s.site where s.page_no = 0""",
 )
@@ -176,12 +177,12 @@ def page_batches(spark, sf_dir):
 
 @query(
     "site_briefs", "A28",
-    sql=f"""with {SQL_NUMBERED}, s as (select * from numbered where size <= 20),
+    sql=f"""with {SQL_NUMBERED}, s as (select *, cast(page_no // 20 as int) as part from numbered),
       i as (select distinct site, 'img-' || page_id % 3 || '.png' as name from s where page_id % 2 = 0),
       il as (select site, string_agg('- images/' || name, chr(10) order by name) as t from i group by site)
-      select s.site, string_agg(url || ' -> ' || file, chr(10) order by page_no) || chr(10) || chr(10) || string_agg('- ' || file, chr(10) order by page_no)
+      select s.site, s.part, string_agg(url || ' -> ' || file, chr(10) order by page_no) || chr(10) || chr(10) || string_agg('- ' || file, chr(10) order by page_no)
         || chr(10) || chr(10) || coalesce(max(t), '(no images available)') as brief
-      from s left join il on il.site = s.site group by s.site""",
+      from s left join il on il.site = s.site group by s.site, s.part""",
 )
 def site_briefs(spark, sf_dir):
     rows = numbered(spark, sf_dir)
@@ -191,12 +192,12 @@ def site_briefs(spark, sf_dir):
 
 @query(
     "sitemaps", "S5",
-    sql=f"""with {SQL_NUMBERED} select site, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10)
+    sql=f"""with {SQL_NUMBERED} select site, cast(page_no // 50000 as int) as part, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10)
         || string_agg('  <url><loc>https://REPLACE-WITH-YOUR-DOMAIN.com/' || file || '</loc></url>', chr(10) order by file) || chr(10) || '</urlset>' || chr(10) as sitemap
-      from numbered where size <= 20 group by site""",
+      from numbered group by all""",
 )
 def sitemaps(spark, sf_dir):
-    return D.sitemaps(G.within_cap(numbered(spark, sf_dir)))
+    return D.sitemaps(numbered(spark, sf_dir))
 
 
 @query(
@@ -218,12 +219,12 @@ def package_files(spark, sf_dir):
 
 @query(
     "crawl_manifests", "S2",
-    sql=f"""with {SQL_NUMBERED} select site as project_id, page_no, url, 200 as http_status, 'pages/' || file as storage_path from numbered where size <= 20""",
+    sql=f"""with {SQL_NUMBERED} select site as project_id, page_no, url, 200 as http_status, 'pages/' || file as storage_path from numbered""",
 )
 def crawl_manifests(spark, sf_dir):
-    """Manifests of every site within the cap, written as JSON files and read back with the manifest schema."""
+    """Manifests of every site, in parts of a thousand pages, written as JSON files and read back with the manifest schema."""
     page = F.struct("page_no", "url", F.lit(200).alias("http_status"), F.concat(F.lit("pages/"), "file").alias("storage_path"))
-    manifests = G.within_cap(numbered(spark, sf_dir)).groupBy("site").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    manifests = G.with_part(numbered(spark, sf_dir), 1_000).groupBy("site", "part").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     folder = f"{checkpoint_folder(spark)}/manifests-{uuid.uuid4().hex}"
     manifests.select(F.col("site").alias("project_id"), "pages").write.json(folder)
     # One JSON document per line here; manifests crawled as single files use `read_manifests`.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sitelake.operators import elements as E
 from sitelake.plans.costs_and_usage import SQL_COSTED
+from sitelake.plans.ledger_and_wallets import SQL_FOLD
 from sitelake.plans.payments import SQL_OUTCOMES, provider_events
 from sitelake.operators import payments as P
 from sitelake.plans.registry import query, table
@@ -42,21 +43,12 @@ def first_deliveries(spark, sf_dir):
     return run.drain(W.first_deliveries(delivered, lateness="40 days").select("event_id", "event_type", "value"))
 
 
-@query(
-    "streamed_spend_admission", "R3",
-    sql=with_standins("ledger", """with_more clean as (select * from ledger where idempotency_key is null union all
-        select * from ledger where idempotency_key is not null qualify row_number() over (partition by wallet_id, idempotency_key order by created_at, id) = 1),
-      seq as (select wallet_id, id, amount, row_number() over (partition by wallet_id order by created_at, id) as n from clean),
-      fold as (select wallet_id, id, amount, n, amount >= 0 as accepted, greatest(amount, 0) as balance from seq where n = 1
-        union all select s.wallet_id, s.id, s.amount, s.n, s.amount >= 0 or f.balance + s.amount >= 0,
-          case when s.amount >= 0 or f.balance + s.amount >= 0 then f.balance + s.amount else f.balance end
-        from fold f join seq s on s.wallet_id = f.wallet_id and s.n = f.n + 1)
-      select wallet_id, id, amount, accepted, balance from fold"""),
-)
+@query("streamed_spend_admission", "R3", sql=with_standins("ledger", SQL_FOLD + "select wallet_id, id, amount, accepted, balance from fold"))
 def streamed_spend_admission(spark, sf_dir):
-    state.use_state_store(spark)
     ledger = W.event_time(spark.sql(STANDINS["ledger"], events=run.table_stream(spark, sf_dir, "events")), "created_at")
-    return run.drain(state.admit_stream(ledger), idle_batches=False)
+    base = f"{checkpoint_folder(spark)}/admission-{uuid.uuid4().hex}"
+    run.admit_batches(ledger, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("wallet_id", "id", "amount", "accepted", "balance")
 
 
 @query(

@@ -37,6 +37,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
     return spark
 
 
+def plain_session(cores: int | str = 8) -> SparkSession:
+    """A session without the package's settings, as a driver brings one."""
+    spark = (
+        SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(cores)).config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
 def apply_settings(spark: SparkSession) -> None:
     """Set the session settings results depend on; cluster sizing is left alone."""
     for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):

@@ -32,29 +32,35 @@ def parse_blueprints(df: DataFrame, column: str = "document") -> DataFrame:
 
 
 def read_blueprints(spark: SparkSession, path: str) -> DataFrame:
-    """Blueprint documents written by `write_blueprints`, one per line, partitioned by host."""
+    """Blueprint documents written by `write_blueprints`, one per line."""
     raw = spark.read.text(path, wholetext=False).withColumnRenamed("value", "document")
     return parse_blueprints(raw)
 
 
 def write_blueprints(df: DataFrame, path: str) -> None:
-    """`host` and `blueprint` columns to JSON lines, one folder per host."""
-    df.select("host", "blueprint.*").write.mode("overwrite").partitionBy("host").json(path)
+    """`host` and `blueprint` columns to JSON lines, the host as a field: a folder per host would be too many small files."""
+    df.select("host", "blueprint.*").repartition("host").sortWithinPartitions("host").write.mode("overwrite").json(path)
 
 
 def write_design_documents(df: DataFrame, path: str) -> None:
-    """`host` and `design_md` columns to text, one folder per host."""
-    df.select("host", "design_md").write.mode("overwrite").partitionBy("host").text(path, lineSep="\n\f\n")
+    """`host` and `design_md` columns to a table clustered by host."""
+    df.select("host", "design_md").repartition("host").sortWithinPartitions("host").write.mode("overwrite").parquet(path)
 
 
-def sitemaps(files: DataFrame) -> DataFrame:
-    """One sitemap text per site from its `file` rows; callers pass sites within the page cap."""
+#: Addresses in one sitemap, the format's own limit.
+SITEMAP_FILES = 50_000
+
+
+def sitemaps(pages: DataFrame) -> DataFrame:
+    """One sitemap text per site and `SITEMAP_FILES` pages, from rows of site, page_no and file."""
     entries = F.transform(
         F.array_sort(F.collect_list("file")), lambda f: F.concat(F.lit(f"  <url><loc>{SITEMAP_ROOT}"), f, F.lit("</loc></url>"))
     )
     text = F.concat(F.lit(SITEMAP_HEAD), F.array_join(entries, "\n"), F.lit("\n</urlset>\n"))
-    return files.groupBy("site").agg(text.alias("sitemap"))
+    part = F.floor(F.col("page_no") / SITEMAP_FILES).cast("int").alias("part")
+    return pages.groupBy("site", part).agg(text.alias("sitemap"))
 
 
 def write_sitemaps(df: DataFrame, path: str) -> None:
-    df.select("site", "sitemap").write.mode("overwrite").partitionBy("site").text(path)
+    """`site`, `part` and `sitemap` columns to a table clustered by site."""
+    df.select("site", "part", "sitemap").repartition("site").sortWithinPartitions("site", "part").write.mode("overwrite").parquet(path)

@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitelake.operators.blueprint import page_blueprints
+from sitelake.operators.ledger import decide
 from sitelake.session import checkpoint_folder
 
 
@@ -41,6 +43,28 @@ def drain(stream: DataFrame, mode: str = "append", idle_batches: bool = True) ->
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def admit_batches(ledger: DataFrame, out: str, state: str):
+    """Spend admission with keys held over all wallets: each micro-batch is decided on the balances and keys of those before it.
+
+    A batch writes its decisions into its own folder, so a retried batch replaces itself. Rows come in the order of their batches.
+    """
+    spark = ledger.sparkSession
+    written = "wallet_id long, id long, amount long, accepted boolean, balance long, idempotency_key string"
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch
+        opening = None
+        if number:
+            before = spark.read.schema(written + ", batch long").parquet(out).filter(F.col("batch") < number).filter("accepted")
+            rows = rows.join(before.filter("idempotency_key is not null").select("idempotency_key").distinct(), "idempotency_key", "left_anti")
+            opening = before.groupBy("wallet_id").agg(F.sum("amount").alias("balance"))
+        keys = rows.select("id", "idempotency_key")
+        decide(rows, opening).join(keys, "id").select("wallet_id", "id", "amount", "accepted", "balance", "idempotency_key").write.mode("overwrite").parquet(
+            f"{out}/batch={number}")
+
+    return ledger.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 def extract_pages(pages: DataFrame, out: str, state: str, extract: Callable[[DataFrame], DataFrame] = page_blueprints):
     """Append the extraction of new pages. Each micro-batch writes its own folder, so a retried batch replaces itself."""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,8 +35,9 @@ class SpendAdmission(StatefulProcessor):
             if isinstance(idem, str):
                 if self.seen.containsKey((idem,)):
                     continue
-                self.seen.updateValue((idem,), (True,))
             taken = amount >= 0 or balance + amount >= 0
+            if taken and isinstance(idem, str):  # a rejected row leaves its key free
+                self.seen.updateValue((idem,), (True,))
             balance += int(amount) if taken else 0
             out.append((key[0], row_id, amount, taken, balance))
         self.balance.update((balance,))
@@ -45,7 +48,10 @@ class SpendAdmission(StatefulProcessor):
 
 
 def admit_stream(ledger: DataFrame) -> DataFrame:
-    """Streaming form of spend admission; rows of a trigger are taken in ledger order."""
+    """Streaming form of spend admission for keys that name their wallet; rows of a trigger are taken in ledger order.
+
+    Keys are remembered by wallet. Where a key may come from several wallets, `run.admit_batches` holds keys over all of them.
+    """
     rows = ledger.select("wallet_id", "id", "amount", "idempotency_key", "created_at")
     return rows.groupBy("wallet_id").transformWithStateInPandas(
         SpendAdmission(), "wallet_id long, id long, amount long, accepted boolean, balance long", "Append", "ProcessingTime")
@@ -97,3 +103,7 @@ def lifecycle_stream(outcomes: DataFrame, lateness: str = "1 hour") -> DataFrame
     return rows.groupBy("purchase_id").transformWithStateInPandas(
         PurchaseLifecycle(), "purchase_id long, kind string, status string, credits_granted long, refunded_at timestamp, events long",
         "Append", "EventTime")
+
+
+# State machines are set up in a Python process of the driver that has no module path of its own; they travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
