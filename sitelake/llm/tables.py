@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -23,6 +24,7 @@ class Steps:
         self.spark, self.folder = spark, f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
+        self.free()
         path = f"{self.folder}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         schema = df.schema
@@ -37,9 +39,11 @@ class Steps:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def free(self) -> None:
-        """Let go of the shuffles of finished steps."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let go of the shuffles of finished steps; the driver's cleaner removes them in the background."""
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.1)
 
 
 FILTER_FROM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
