@@ -69,11 +69,16 @@ def _events(body: Column) -> Column:
     return F.aggregate(hits, seed, step)["out"]
 
 
+def name_slice(column: str) -> Column:
+    """Slice of a file name, not decreasing in name order: its first eight letters. Numbered names spread over their upper digits."""
+    return F.substring(column, 1, 8)
+
+
 def script_events(scripts: DataFrame) -> DataFrame:
     """Class events with their offset in the site's scripts joined in file order."""
     sized = scripts.withColumn("_size", F.length("body") + 1)
-    # File-name prefixes slice the running offset, so a site with very many scripts is no single group.
-    placed = running_sums(sized, ["site"], ["file"], {"_end": F.col("_size")}, F.substring("file", 1, 4))
+    # Names slice the running offset, so a site with very many scripts is no single group.
+    placed = running_sums(sized, ["site"], ["file"], {"_end": F.col("_size")}, name_slice("file"))
     rows = placed.select("site", (F.col("_end") - F.col("_size")).alias("base"), F.explode(_events(F.col("body"))).alias("e"))
     return rows.select("site", (F.col("base") + F.col("e.at")).alias("at"), "e.added", "e.queried")
 

@@ -94,17 +94,17 @@ def narrow_to_category(active: DataFrame, category: str | None) -> DataFrame:
 
 
 def choose_templates(runs: DataFrame, candidates: DataFrame, seed: str) -> DataFrame:
-    """One template per run, picked by a hash of seed and run; a run's own override comes first.
+    """One template per run, picked by a hash of seed and run; a run's own override comes first, also where there is no template.
 
     The catalogue is numbered by name in slices, and each run joins the single number it drew.
     """
     names = candidates.select("filename").distinct()
-    numbered = running_sums(names, [], ["filename"], {"_place": F.lit(1).cast("long")}, F.substring("filename", 1, 3))
+    numbered = running_sums(names, [], ["filename"], {"_place": F.lit(1).cast("long")}, F.substring("filename", 1, 8))
     catalogue = numbered.select((F.col("_place") - 1).alias("draw"), "filename")
     total = names.agg(F.count("*")).scalar()
     digest = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("run_id").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = runs.withColumn("draw", F.pmod(digest, total))
-    return drawn.join(catalogue, "draw").select("run_id", F.coalesce("override", "filename").alias("template"))
+    drawn = runs.withColumn("draw", F.pmod(digest, F.greatest(F.lit(total), F.lit(1))))
+    return drawn.join(catalogue, "draw", "left").filter("override is not null or filename is not null").select("run_id", F.coalesce("override", "filename").alias("template"))
 
 
 def compact_messages(messages: DataFrame, role: str = "tool") -> DataFrame:

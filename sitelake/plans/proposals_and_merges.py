@@ -20,8 +20,7 @@ def lines(spark, sf_dir):
 
 
 SQL_GAPS = f"""{SQL_LINES},
-  t as (select doc_id, case when length(t) > 12000 then left(t, 6000) || ' ...[truncated]... ' || right(t, 6000) else t end as t
-      from (select doc_id, trim(regexp_replace(text, '{SQL_SPACE}', ' ', 'g')) as t from documents) x),
+  t as (select doc_id, trim(regexp_replace(text, '{SQL_SPACE}', ' ', 'g')) as t from documents),
   g as (select doc_id, unnest(range(1, len(ls) + 1)) as pos, unnest(ls) as line from d),
   p as (select doc_id, pos, case pos % 3 when 0 then replace(line, ' ', '  ') when 1 then line else reverse(line) end as quote,
       case when pos % 4 = 0 then '' else 'Note ' || pos % 2 end as title, case when pos % 2 = 0 then 'hours' end as category from g where pos <= 5),
@@ -39,7 +38,8 @@ def gaps(spark, sf_dir):
 
 
 def verified(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select("doc_id", X.clip_middle(X.collapse_whitespace("text")).alias("text"))
+    # Quotes are looked up in the whole text; clipping it is for model prompts.
+    texts = table(spark, sf_dir, "documents").select("doc_id", X.collapse_whitespace("text").alias("text"))
     return R.verified_gaps(gaps(spark, sf_dir), texts, "doc_id")
 
 
@@ -187,6 +187,6 @@ def reviewed_blueprints(spark, sf_dir):
         'hero struct<headline:string,subheadline:string,cta_text:string,cta_href:string>, about struct<heading:string,body:string>,
          services array<struct<title:string,description:string>>, faq array<struct<question:string,answer:string>>,
          cta struct<heading:string,body:string,cta_text:string,cta_href:string>,
-         additional array<struct<key:string,title:string,body:string,items:array<string>>>')""").alias("p")).select("page_url", "p.*").dropDuplicates(["page_url"])
+         additional array<struct<key:string,title:string,body:string,items:array<string>>>')""").alias("p"), "page_id").groupBy("page_url").agg(F.max_by("p", "page_id").alias("p")).select("page_url", "p.*")
     merged = R.merge_reviews(pages, offered)
     return merged.select("page_id", "sections.hero.headline", F.size("sections.services_features").alias("services"), F.size("sections.additional_sections").alias("additional"))

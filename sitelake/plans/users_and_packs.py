@@ -93,14 +93,14 @@ def best_value_packs(spark, sf_dir):
 
 @query(
     "covering_packs", "W16",
-    sql=with_standins("packs", """with_more sale as (select * from packs where is_active and storefront = 'SMALL' and credits < 45),
+    sql=with_standins("packs", """with_more sale as (select * from packs where is_active),
       req as (select o_orderkey as request_id, cast(ceil(o_totalprice / 9000) as bigint) as need, o_custkey as asked from orders),
       needs as (select need, (select arg_min(id, (credits, sort_order, price_usd_cents, id)) from sale s where s.credits >= n.need) as c from (select distinct need from req) n)
       select request_id, r.need, coalesce(s.id, c, (select arg_min(id, (-credits, sort_order, price_usd_cents, id)) from sale)) as pack_id
       from req r join needs n on n.need = r.need left join sale s on s.id = r.asked"""),
 )
 def covering_packs(spark, sf_dir):
-    sale = standin(spark, sf_dir, "packs").filter("is_active and storefront = 'SMALL' and credits < 45")
+    sale = standin(spark, sf_dir, "packs").filter("is_active")
     requests = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("request_id"), F.ceil(F.col("o_totalprice") / 9000).alias("need"), F.col("o_custkey").alias("asked_pack")
     )
