@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitelake.functions import urls
 from sitelake.operators import audit, blueprint as B, elements as E, linkgraph as G, palette, sections as S
-from sitelake.plans.pages_and_links import numbered, pages, unescape
+from sitelake.plans.pages_and_links import SQL_PAGE_REACH, numbered, page_discovery, pages, unescape
 from sitelake.plans.registry import query, table
 from sitelake.plans.urls_and_text import SQL_EMAIL, SQL_HOST, SQL_PHONE, SQL_PREFIX
 from sitelake.sources import documents as D
@@ -301,7 +301,8 @@ def walled(spark, sf_dir):
 
 @query(
     "site_admission", "G5",
-    sql=f"""with {SQL_ROBOTS}, {SQL_WALLS}, s as (select {SQL_HOST} as site, bool_or(page_id % 40 = 1) as bad, count(*) > 20 as big from pages group by 1),
+    sql=f"""with recursive {SQL_PAGE_REACH}, {SQL_ROBOTS}, {SQL_WALLS},
+      s as (select {SQL_HOST} as site, bool_or(page_id % 40 = 1) as bad, any_value(not accepted) as big from pages join found on found.site = {SQL_HOST} group by 1),
       r as (select s.site, case when not allowed then 'robots.txt disallows crawling this site' when bad then 'This site''s server returned an error. Please try again later.'
           when s.site in (select site from walls) then 'This site appears to require a login and can''t be crawled.' when big then 'page cap exceeded' end as reason
         from s join robots using (site))
@@ -312,8 +313,8 @@ def site_admission(spark, sf_dir):
     sites = corpus.select(urls.authority("url").alias("site")).distinct()
     fetches = corpus.select(
         urls.authority("url").alias("site"), F.col("page_id").alias("fetch_no"), F.when(F.col("page_id") % 40 == 1, 503).otherwise(200).alias("status"))
-    counts = corpus.groupBy(urls.authority("url").alias("site")).agg((F.count("*") <= G.MAX_PAGES).alias("accepted"))
-    return G.admission_report(sites, G.robots_verdicts(robots(spark, sf_dir)), fetches, G.login_walls(walled(spark, sf_dir)), counts)
+    found = page_discovery(spark, sf_dir)
+    return G.admission_report(sites, G.robots_verdicts(robots(spark, sf_dir)), fetches, G.login_walls(walled(spark, sf_dir)), found)
 
 
 @query(

@@ -121,7 +121,7 @@ def host_summary(spark, sf_dir):
 
 GRAPH = """select 's' || cast(l_orderkey % 97 as varchar(5)) as site, cast(l_partkey % 25 as varchar(5)) as src,
     cast(l_partkey % 25 + 1 + l_suppkey % 3 as varchar(5)) as dst, l_linenumber as pos
-  from {lineitem} where l_partkey % 25 < 3 + l_orderkey % 97 % 30 and l_quantity < 20"""
+  from {lineitem} where l_partkey % 25 < 3 + l_orderkey % 97 % 30"""
 SQL_GRAPH = f"e as ({GRAPH.replace('{lineitem}', 'lineitem')}), r as (select distinct site, '0' as node from e union select e.site, e.dst from r join e on e.site = r.site and e.src = r.node)"
 
 
@@ -136,6 +136,22 @@ def site_discovery(spark, sf_dir):
     return found.groupBy("site").agg(F.bool_and("accepted").alias("accepted"), F.count("url").alias("pages"))
 
 
+SQL_PAGE_REACH = rf"""edges as (select distinct {SQL_HOST} as site, {SQL_NORMAL} as src, regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || rtrim(regexp_extract(href, '^[^?#]*', 0), '/') as dst
+      from (select url, unnest(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda l: {unescape("l")})) as href from pages) t),
+  homes as (select {SQL_HOST} as site, arg_min({SQL_NORMAL}, page_id) as node from pages group by 1),
+  reach as (select site, node from homes union select r.site, e.dst from reach r join edges e on e.site = r.site and e.src = r.node),
+  found as (select site, count(*) <= 20 as accepted, case when count(*) <= 20 then count(*) else 0 end as pages from reach group by site)"""
+
+
+@query("page_discovery", "G2", "G1", sql=f"with recursive {SQL_PAGE_REACH} select * from found")
+def page_discovery(spark, sf_dir):
+    """Discovery over the links of the page corpus, from the first page of every site."""
+    corpus = pages(spark, sf_dir)
+    starts = corpus.groupBy(urls.authority("url").alias("site")).agg(F.min_by(urls.normalize_url("url"), "page_id").alias("start"))
+    found = G.discover(G.link_edges(corpus), starts)
+    return found.groupBy("site").agg(F.bool_and("accepted").alias("accepted"), F.count("url").alias("pages"))
+
+
 @query("page_numbers", "G3", sql=f"with {SQL_NUMBERED} select page_id, site, page_no, file from numbered")
 def page_numbers(spark, sf_dir):
     return numbered(spark, sf_dir).select("page_id", "site", "page_no", "file")
