@@ -34,7 +34,7 @@ def user_detail(users: DataFrame, ledger: DataFrame, purchases: DataFrame, proje
     rows = part(ledger, "ledger", "amount").unionByName(part(purchases, "purchase", "credits_granted")).unionByName(
         part(newest, "project", "null")
     )
-    return users.select(F.col("id").alias("user_id"), "email").join(rows, "user_id")
+    return users.select(F.col("id").alias("user_id"), "email", "balance").join(rows, "user_id")
 
 
 def link_identities(claims: DataFrame, identities: DataFrame, users: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitelake.functions import color as C
+from sitelake.functions import color as C, urls
 from sitelake.operators import audit, elements as E, palette as P
 from sitelake.plans.page_sections import decorated
 from sitelake.plans.pages_and_links import numbered
@@ -15,8 +15,18 @@ STYLES = """select p_brand as site, p_partkey, 'a{{color:#' || left(md5(p_name),
     || cast(p_partkey % 300 as varchar(5)) || ', ' || cast(p_size * 5 as varchar(5)) || ',' || cast(p_partkey % 90 as varchar(5)) || ')}}' as css from {part}"""
 
 
-def styles(spark, sf_dir):
-    return spark.sql(STYLES, part=table(spark, sf_dir, "part"))
+def styles(spark, sf_dir, part=None):
+    return spark.sql(STYLES, part=part if part is not None else table(spark, sf_dir, "part"))
+
+
+SQL_HOST_PARTS = f"host_parts as (select part.* exclude (p_brand), {SQL_HOST} as p_brand from part join pages on page_id = p_partkey % 50)"
+
+
+def host_parts(spark, sf_dir):
+    """The part table with page hosts as brands, so that styles and scripts derived from it belong to the sites of the page corpus."""
+    hosts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), urls.authority("url").alias("host"))
+    part = table(spark, sf_dir, "part")
+    return part.join(hosts, F.col("k") == F.col("p_partkey") % 50).withColumn("p_brand", F.col("host")).select(*part.columns)
 
 
 def sql_channel(c: str, i: int) -> str:
@@ -115,7 +125,7 @@ def contrast_audit(spark, sf_dir):
     return rows.select("site", "p.label", F.round("p.ratio", 6).alias("ratio"), (F.col("p.ratio") < C.CONTRAST_MINIMUM).alias("low"))
 
 
-def style_files(spark, sf_dir):
+def style_files(spark, sf_dir, part=None):
     """Style and script files per brand, with class names, gaps and order derived from the part table."""
     n, size = F.col("p_partkey"), F.col("p_size")
     name = F.concat(F.lit("r"), (size % 5).cast("string"))
@@ -126,7 +136,7 @@ def style_files(spark, sf_dir):
     js = F.concat(
         F.lit("document.querySelectorAll('."), name, F.lit("');"), F.repeat(F.lit(" "), size * 120), F.lit("el.classList."),
         F.when(n % 2 == 0, "add").otherwise("toggle"), F.lit("('"), state, F.lit("');"))
-    rows = table(spark, sf_dir, "part").select(
+    rows = (part if part is not None else table(spark, sf_dir, "part")).select(
         F.col("p_brand").alias("site"), F.explode(F.array(
             F.struct(F.format_string("s%03d.css", n % 3).alias("file"), F.lit("css").alias("kind"), css.alias("body"), n.alias("n")),
             F.struct(F.format_string("j%09d.js", n).alias("file"), F.lit("js").alias("kind"), js.alias("body"), n.alias("n")))).alias("f")).select("site", "f.*")
@@ -142,7 +152,7 @@ SQL_STYLE = """rules as (select p_brand as site, printf('s%03d.css', p_partkey %
   js as (select p_brand as site, p_partkey, 'r' || p_size % 5 as q, 'is-on' || p_partkey % 4 as a, p_size * 120 as gap,
       length('document.querySelectorAll(''.r0'');') + p_size * 120 + length('el.classList.') + case when p_partkey % 2 = 0 then 3 else 6 end + length('(''is-on0'');') + 1 as len from part),
   placed as (select *, sum(len) over (partition by site order by p_partkey) - len as base from js),
-  ev as (select site, base + 9 as pos, q, null as a from placed union all select site, base + length('document.querySelectorAll(''.r0'');') + gap + 3, null, a from placed),
+  ev as (select site, base + 9 as pos, q, null::varchar as a from placed union all select site, base + length('document.querySelectorAll(''.r0'');') + gap + 3, null::varchar, a from placed),
   best as (select e.site, h.file, e.pos, e.a, arg_max(h.hidden, q.pos) as hidden from ev e join ev q on q.site = e.site and q.q is not null and q.pos < e.pos and e.pos - q.pos <= 3000
       join hidden h on h.site = e.site and h.hidden = q.q where e.a is not null group by all),
   pairs as (select distinct site, file, hidden, a as reveal from best where hidden <> a)
@@ -172,15 +182,23 @@ def reveal_gaps(spark, sf_dir):
 
 @query(
     "quality_report", "A19",
-    sql=f"""select site, count(*) as files, count(*) * 3 as alt_added, count(*) as tags_added, 0 as reveal_fixes, 0 as contrast_warnings, true as sitemap_written
-      from (select {SQL_HOST} as site from pages) t group by site""",
+    sql=f"""with recursive {SQL_HOST_PARTS}, {SQL_STYLE.replace('from part', 'from host_parts')}, {SQL_PALETTE.replace('from part', 'from host_parts')},
+      gaps as (select site, count(*) as n from pairs p where not exists (select 1 from rules r where r.site = p.site and r.file = p.file and r.name = p.hidden and r.combined = p.reveal) group by site),
+      tones as (select site, "primary" as x, secondary as y from pal union all select site, accent, secondary from pal union all select site, "primary", accent from pal),
+      low as (select site, count(*) as n from tones where {sql_ratio('x', 'y')} < 4.5 group by site),
+      f as (select site, count(*) as files, count(*) * 3 as alt_added, count(*) as tags_added from (select {SQL_HOST} as site from pages) t group by site)
+      select f.*, coalesce(gaps.n, 0)::int as reveal_fixes, coalesce(low.n, 0)::int as contrast_warnings, true as sitemap_written
+      from f left join gaps on gaps.site = f.site left join low on low.site = f.site""",
 )
 def quality_report(spark, sf_dir):
     files = numbered(spark, sf_dir).select("page_id", "site", "file")
     pages = E.with_elements(decorated(spark, sf_dir)).join(files, "page_id")
-    no_gaps = files.select("site").limit(0)
-    no_warnings = files.select("site", F.array().cast("array<string>").alias("warnings")).limit(0)
-    report = audit.audit_report(pages, no_gaps, no_warnings)
+    part = host_parts(spark, sf_dir)
+    sheets, scripts = style_files(spark, sf_dir, part)
+    gaps = audit.reveal_gaps(audit.reveal_pairs(scripts, audit.hidden_classes(sheets)), sheets)
+    pairs = P.css_palettes(styles(spark, sf_dir, part), ["site"], "css").select("site", F.explode(P.contrast_pairs(F.struct("primary", "secondary", "accent"))).alias("p"))
+    warnings = pairs.filter(F.col("p.ratio") < C.CONTRAST_MINIMUM).groupBy("site").agg(F.collect_list("p.label").alias("warnings"))  # at most three
+    report = audit.audit_report(pages, gaps, warnings)
     return report.withColumns({c: F.col(c).cast("int") for c in ("reveal_fixes", "contrast_warnings")})
 
 

@@ -31,7 +31,7 @@ def user_listing(spark, sf_dir):
 @query(
     "user_detail", "J24",
     sql=with_standins("users projects purchases ledger", """
-        select u.id as user_id, u.email, kind, ref, amount, day from users u join (
+        select u.id as user_id, u.email, u.balance, kind, ref, amount, day from users u join (
           select wallet_id as user_id, 'ledger' as kind, id::varchar as ref, amount, created_at::date as day from ledger
           union all select user_id, 'purchase', id::varchar, credits_granted, created_at from purchases
           union all select user_id, 'project', id::varchar, null, created_at from projects
