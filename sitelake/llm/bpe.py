@@ -30,7 +30,7 @@ LEXICON_WORDS, LEAST_COUNT = 200_000, 8
 CACHE, COUNTED = 250_000, 400_000
 
 #: White space as the tokenizer's patterns see it. Python's split() would also cut at the four separators U+001C to U+001F.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 CHUNK = re.compile(f"[^{SPACE}]+")
 # The tokenizer file's own pattern, a fixed value.
