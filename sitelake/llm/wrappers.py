@@ -364,40 +364,49 @@ def load(data: list) -> dict:
     return {"label": data[0], "keep": bool(data[1]), "kids": [load(k) for k in data[2]]}
 
 
-def kept_numbers(shape: str, wrapper: dict | None, own: list[list[int]]) -> list[bool]:
-    """Which nodes of a page's shape are content, by alignment with the wrapper of its host.
+def aligned_numbers(shape: str, wrapper: dict) -> list[bool]:
+    """Which nodes of a shape are content by alignment with a wrapper, whatever their texts.
 
-    A node the wrapper lacks is content if its parent is and its label speaks for it. A page whose aligned content has no text, or
-    without a wrapper, is judged by its own tree.
+    A node the wrapper lacks is content if its parent is and its label speaks for it.
     """
     root = parse_shape(shape)
-    keep = [False] * len(own)
-    if wrapper and wrapper["label"] == root["label"]:
-        memo: dict = {}
-
-        def follow(w: dict, n: dict) -> None:
-            keep[n["at"]] = w["keep"]
-            for mine, theirs in aligned_kids(w, n, memo):
-                if theirs:
-                    if mine:
-                        follow(mine, theirs)
-                    else:
-                        extend(theirs, w["keep"])
-
-        def extend(n: dict, ok: bool) -> None:
-            keep[n["at"]] = ok = ok and not is_bad(n["label"], True)
-            for k in n["kids"]:
-                extend(k, ok)
+    keep = [False] * sum(1 for _ in _all(root))
+    memo: dict = {}
+
+    def follow(w: dict, n: dict) -> None:
+        keep[n["at"]] = w["keep"]
+        for mine, theirs in aligned_kids(w, n, memo):
+            if theirs:
+                if mine:
+                    follow(mine, theirs)
+                else:
+                    extend(theirs, w["keep"])
 
+    def extend(n: dict, ok: bool) -> None:
+        keep[n["at"]] = ok = ok and not is_bad(n["label"], True)
+        for k in n["kids"]:
+            extend(k, ok)
+
+    if wrapper["label"] == root["label"]:
         follow(wrapper, root)
-        if any(k and o[0] for k, o in zip(keep, own)):
-            return keep
-    alone = judge(with_figures(shape, [(1, c, linked, h, h) for c, linked, h in own]))
-    for n in _all(alone):
+    return keep
+
+
+def own_numbers(shape: str, own: list[list[int]]) -> list[bool]:
+    """Which nodes of a page's shape are content by its own tree."""
+    keep = [False] * len(own)
+    for n in _all(judge(with_figures(shape, [(1, c, linked, h, h) for c, linked, h in own]))):
         keep[n["at"]] = n["keep"]
     return keep
 
 
+def kept_numbers(shape: str, aligned: list[bool] | None, own: list[list[int]]) -> list[bool]:
+    """Which nodes of a page's shape are content: a page whose aligned content has no text, or without a wrapper, is judged by its own tree."""
+    if aligned and any(k and o[0] for k, o in zip(aligned, own)):
+        return aligned
+    return own_numbers(shape, own)
+
+
 def page_text(root: Node, keep: list[bool]) -> str:
     """Texts of the content nodes in page order; blocks are parted by one blank, white space within them is one blank."""
     numbers = {id(node): number for node, number in numbered(root)}
@@ -492,23 +501,21 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: OrderedDict[str, dict] = OrderedDict()
-        decided: dict[tuple[str, str], list[bool]] = {}
+        aligned: dict[tuple[str, str], list[bool]] = {}  # by host and shape alone: what depends on a page's texts is not held
         for batch in batches:
             texts = []
             for host, wrapper, page in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "html"))):
                 root = tree_of(page or "")
                 shape, own = shape_of(root), figures(root)
-                if wrapper is not None and host not in loaded:
-                    if len(loaded) > 500:
-                        loaded.clear()
-                    loaded[host] = load(json.loads(wrapper))
-                keep = decided.get((host, shape))
-                if keep is None:
-                    if len(decided) > 5_000:
-                        decided.clear()
-                    keep = kept_numbers(shape, loaded.get(host) if wrapper is not None else None, own)
-                    if wrapper is not None and any(k and o[0] for k, o in zip(keep, own)):
-                        decided[host, shape] = keep
+                if wrapper is not None and (host, shape) not in aligned:
+                    if host not in loaded:
+                        if len(loaded) > 500:
+                            loaded.clear()
+                        loaded[host] = load(json.loads(wrapper))
+                    if len(aligned) > 5_000:
+                        aligned.clear()
+                    aligned[host, shape] = aligned_numbers(shape, loaded[host])
+                keep = kept_numbers(shape, aligned[host, shape] if wrapper is not None else None, own)
                 texts.append(page_text(root, keep))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -91,3 +91,12 @@ def test_simple_tree_matching():
     assert wrappers.match(a, b, {}) == 5
     root = wrappers.tree_of("<div><p>a<p>b<ul><li>x<li>y</ul></div><p>c")
     assert wrappers.shape_of(root) == "body(div(p,ul(li)),p)" and root.size == 6
+
+
+def test_pages_do_not_share_the_verdict_of_one(spark):
+    page = "<div class=article><p>{}</p></div><div class=note><p>Same note</p></div>"
+    rows = [(k, f"https://one.example/{k}", page.format(f"Text {k} of its own")) for k in range(8)]
+    empty = (100, "https://one.example/e", page.format(""))
+    for order in ([empty, *rows], [*rows, empty]):
+        found = wrappers.extract_main_text(frame(spark, order).coalesce(1)).collect()
+        assert {r.page_id: r.text for r in found} == {100: "Same note"} | {k: f"Text {k} of its own" for k in range(8)}
