@@ -2,8 +2,8 @@
 
 Pages are read into trees of blocks, and a tree into its shape: the labels of its nodes, with repeated neighbours taken as one. For
 each host the shapes are counted over all its pages, with the text behind every node: how much, how much of it linked, and whether it
-is always the same. The wrapper of a host begins as its most frequent shape; other shapes are aligned with it by simple tree matching
-and add what it lacks. Nodes with the same text on all pages are template, as are the menus, notices, adverts and the like that labels
+is always the same. The wrapper of a host begins as its most frequent shape; all others are aligned with it by simple tree matching and
+add what it lacks, in groups of shapes first and then in groups of what those give, until one wrapper is left. Nodes with the same text on all pages are template, as are the menus, notices, adverts and the like that labels
 and link shares tell; the varying slots below the main node are content. Each page is then aligned with the wrapper of its host.
 """
 
@@ -17,14 +17,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.llm.common import arrow_schema, slim
 from sitelake.llm.tables import Steps
 
-#: A wrapper is made from so many of a host's shapes, the most frequent; pages of any shape are aligned with it.
-SHAPES = 48
+#: About so many shapes of a host, and then wrappers of such groups, are merged at a time.
+MERGED = 48
+#: Figures of a wrapper's node.
+FIGURES = ("pages", "chars", "linked", "low", "high")
 #: Pages that must agree on a text before it counts as template, and the linked share from which a list or block is a menu.
 SAME_PAGES, LINKED = 5, 0.6
 #: Nodes deeper than this belong to their ancestor at this depth.
@@ -316,9 +318,11 @@ def judge(root: dict) -> dict:
 
 
 def _all(n: dict) -> Iterator[dict]:
-    yield n
-    for k in n["kids"]:
-        yield from _all(k)
+    stack = [n]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack.extend(reversed(n["kids"]))
 
 
 def own_text(node: Node) -> str:
@@ -346,22 +350,29 @@ def with_figures(shape: str, nodes: list[tuple]) -> dict:
     return root
 
 
-def induce(shapes: list[tuple[str, list[tuple]]]) -> str:
-    """Wrapper of a host, marked, as JSON, from its shapes with figures, the most frequent first."""
-    wrapper = with_figures(*shapes[0])
-    for shape, nodes in shapes[1:]:
-        other = with_figures(shape, nodes)
-        if wrapper["label"] == other["label"]:
-            merge(wrapper, other, {})
+def pack(root: dict, *keys: str) -> str:
+    """A tree as JSON: its nodes in the order of the text, each with label, number of kids and the named values."""
+    return json.dumps([[n["label"], len(n["kids"]), *(n[k] for k in keys)] for n in _all(root)], separators=(",", ":"), ensure_ascii=False)
 
-    def plain(n: dict) -> list:
-        return [n["label"], int(n["keep"]), [plain(k) for k in n["kids"]]]
 
-    return json.dumps(plain(judge(wrapper)), separators=(",", ":"), ensure_ascii=False)
+def unpack(data: str, *keys: str) -> dict:
+    top: dict = {"kids": []}
+    waiting = [[top, 1]]
+    for label, kids, *values in json.loads(data):
+        n = {"label": label, "kids": [], **dict(zip(keys, values))}
+        waiting[-1][0]["kids"].append(n)
+        waiting[-1][1] -= 1
+        waiting.append([n, kids])
+        while waiting and not waiting[-1][1]:
+            waiting.pop()
+    return top["kids"][0]
 
 
-def load(data: list) -> dict:
-    return {"label": data[0], "keep": bool(data[1]), "kids": [load(k) for k in data[2]]}
+def merged(trees: list[dict]) -> dict:
+    """One wrapper with the figures of all, the first as its beginning; the root of every tree is the body."""
+    for other in trees[1:]:
+        merge(trees[0], other, {})
+    return trees[0]
 
 
 def aligned_numbers(shape: str, wrapper: dict) -> list[bool]:
@@ -471,20 +482,54 @@ def host_wrappers(pages: DataFrame, steps: Steps) -> DataFrame:
     shapes = nodes.groupBy("host", "shape").agg(
         F.max("pages").alias("n"), F.sort_array(F.collect_list(F.struct("at", "pages", "chars", "linked", "low", "high"))).alias("nodes")  # of one shape
     )
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "shape"))
-    frequent = shapes.withColumn("rank", rank).where(F.col("rank") <= SHAPES).groupBy("host").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "shape", "nodes"))).alias("shapes")
-    )
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [
-                induce([(s["shape"], [(n["pages"], n["chars"], n["linked"], n["low"], n["high"]) for n in s["nodes"]]) for s in shapes_])
-                for shapes_ in batch.column("shapes").to_pylist()
+            trees = [
+                pack(with_figures(shape, [tuple(n[k] for k in FIGURES) for n in nodes_]), *FIGURES)
+                for shape, nodes_ in zip(*(batch.column(c).to_pylist() for c in ("shape", "nodes")))
             ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "n", "shape")), pa.array(trees, pa.string())], names=["host", "n", "shape", "tree"])
+
+    trees = merged_by_host(steps.write("trees-0", shapes.mapInArrow(plant, "host string, n bigint, shape string, tree string")), steps)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pack(judge(unpack(tree, *FIGURES)), "keep") for tree in batch.column("tree").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string())], names=["host", "wrapper"])
 
-    return steps.write("wrappers", frequent.mapInArrow(make, "host string, wrapper string"))
+    return steps.write("wrappers", trees.mapInArrow(make, "host string, wrapper string"))
+
+
+def merged_by_host(trees: DataFrame, steps: Steps) -> DataFrame:
+    """One tree of each host from all its trees (host, n, shape, tree), the most frequent of a group first.
+
+    Groups are dealt by a hash of the shape that a tree began with, so a host of many shapes is spread out, and a rerun merges alike.
+    """
+    ddl = "host string, n bigint, shape string, tree string"
+    out = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, group in zip(batch.column("host").to_pylist(), batch.column("trees").to_pylist()):
+                tree = pack(merged([unpack(t["tree"], *FIGURES) for t in group]), *FIGURES) if len(group) > 1 else group[0]["tree"]
+                rows.append((host, -group[0]["order"], group[0]["shape"], tree))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    done = 0
+    while True:
+        counts = trees.groupBy("host").agg(F.count("*").alias("rows"))
+        if (counts.agg(F.max("rows")).first()[0] or 0) <= 1:
+            return trees
+        group = F.pmod(F.xxhash64(F.lit(done), "shape"), F.ceil(F.col("rows") / MERGED))
+        groups = trees.join(counts, "host").withColumn("group", group).groupBy("host", "group").agg(
+            F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "shape", "tree"))).alias("trees")  # about MERGED
+        )
+        trees = steps.write(f"trees-{done + 1}", groups.select("host", "trees").mapInArrow(run, ddl))
+        steps.drop(f"trees-{done}")
+        done += 1
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -511,7 +556,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                     if host not in loaded:
                         if len(loaded) > 500:
                             loaded.clear()
-                        loaded[host] = load(json.loads(wrapper))
+                        loaded[host] = unpack(wrapper, "keep")
                     if len(aligned) > 5_000:
                         aligned.clear()
                     aligned[host, shape] = aligned_numbers(shape, loaded[host])

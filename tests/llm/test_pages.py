@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 from collections import Counter
 
 from sitelake.llm import warc, wrappers
@@ -100,3 +101,23 @@ def test_pages_do_not_share_the_verdict_of_one(spark):
     for order in ([empty, *rows], [*rows, empty]):
         found = wrappers.extract_main_text(frame(spark, order).coalesce(1)).collect()
         assert {r.page_id: r.text for r in found} == {100: "Same note"} | {k: f"Text {k} of its own" for k in range(8)}
+
+
+def test_wrapper_of_all_shapes_of_a_host(spark, monkeypatch):
+    make = {"p": "<p>{}</p>", "h2": "<h2>{}</h2>", "ul": "<ul><li>{}</li></ul>", "table": "<table><tr><td>{}</td></tr></table>"}
+    orders = [o for o in itertools.product(make, repeat=4) if all(a != b for a, b in zip(o, o[1:]))]
+    rows, wanted = [], {}
+    for k, order in enumerate(orders[:90]):
+        often = k < 50
+        for j in range(2 if often else 1):
+            i = 2 * k + j
+            words = [f"w{i}x{n}" for n in range(4)]
+            lead = "Lead" if often else f"Lead {i}"
+            rule = "" if often else "<div class=rule>Rules of the house</div>"
+            body = "".join(make[t].format(w) for t, w in zip(order, words))
+            rows.append((i, f"https://one.example/{i}", f"<article><div class=lead>{lead}</div>{body}{rule}</article>"))
+            wanted[i] = " ".join([lead, *words])
+    for size in (48, 7):
+        monkeypatch.setattr(wrappers, "MERGED", size, raising=False)
+        found = wrappers.extract_main_text(frame(spark, rows)).collect()
+        assert {r.page_id: r.text for r in found} == wanted
