@@ -26,9 +26,10 @@ from sitelake.llm.tables import Steps
 #: About so many shapes of a host, and then wrappers of such groups, are merged at a time.
 MERGED = 48
 #: Figures of a wrapper's node.
-FIGURES = ("pages", "chars", "linked", "low", "high")
-#: Pages that must agree on a text before it counts as template, and the linked share from which a list or block is a menu.
-SAME_PAGES, LINKED = 5, 0.6
+FIGURES = ("contents", "chars", "linked", "low", "high")
+#: Pages of different content that must agree on a text before it counts as template, their least share of those with the varying block
+#: around it, and the linked share from which a list or block is a menu.
+SAME_PAGES, SAME_SHARE, LINKED = 5, 0.1, 0.6
 #: Nodes deeper than this belong to their ancestor at this depth.
 DEPTH = 48
 
@@ -247,7 +248,7 @@ def aligned_kids(a: dict, b: dict, memo: dict) -> list[tuple[dict | None, dict |
 
 def merge(wrapper: dict, other: dict, memo: dict) -> None:
     """Add a shape with its figures to the wrapper."""
-    for k in ("pages", "chars", "linked"):
+    for k in ("contents", "chars", "linked"):
         wrapper[k] += other[k]
     wrapper["low"], wrapper["high"] = min(wrapper["low"], other["low"]), max(wrapper["high"], other["high"])
     kids = []
@@ -266,20 +267,26 @@ def is_bad(label: str, inside_main: bool) -> bool:
 
 
 def judge(root: dict) -> dict:
-    """Mark every node of a wrapper with figures: `keep` for content."""
+    """Mark every node of a wrapper with figures: `keep` for content.
+
+    A text is template if it is the same on all pages with its node, and these are of several contents: copies of one page agree on
+    all of it, and say nothing. What few of the pages with the nearest varying block around it have may be a passage of near copies,
+    and stays.
+    """
 
     def template(n: dict) -> bool:
-        return n["pages"] >= SAME_PAGES and n["low"] == n["high"] and n["chars"] > 0
+        return n["same"] and n["chars"] > 0
 
     def menu(n: dict) -> bool:
         return n["label"].split(".")[0] not in ("p", "h1", "h2", "h3", "blockquote") and n["below"] > 0 and n["linked_below"] > LINKED * n["below"]
 
-    def sums(n: dict, main: bool) -> None:
+    def sums(n: dict, main: bool, around: int) -> None:
+        n["same"] = n["low"] == n["high"] and n["contents"] >= max(SAME_PAGES, SAME_SHARE * around)
         main = main or n["label"].split(".")[0] in MAIN_TAGS
         n["bad"] = is_bad(n["label"], main)
         n["below"], n["linked_below"] = n["chars"], n["linked"]
         for k in n["kids"]:
-            sums(k, main)
+            sums(k, main, around if n["fixed"] else n["contents"])
             n["below"] += k["below"]
             n["linked_below"] += k["linked_below"]
         n["good"] = 0 if n["bad"] or menu(n) else (0 if template(n) else n["chars"]) + sum(k["good"] for k in n["kids"])
@@ -292,7 +299,9 @@ def judge(root: dict) -> dict:
                 for k in n["kids"]:
                     yield from mains(k)
 
-    sums(root, False)
+    for n in reversed(list(_all(root))):  # kids before their parents
+        n["fixed"] = n["low"] == n["high"] and all(k["fixed"] for k in n["kids"])
+    sums(root, False, 0)
     found = [n for n in mains(root) if n["good"] > 0]
     inner = [m for n in found for k in n["kids"] for m in mains(k) if m["good"] >= 0.5 * n["good"]]  # an article within main
     chosen = inner or found
@@ -343,10 +352,10 @@ def figures(root: Node) -> list[list[int]]:
 
 
 def with_figures(shape: str, nodes: list[tuple]) -> dict:
-    """Tree of a shape with the figures (pages, chars, linked, low, high) of its nodes by number."""
+    """Tree of a shape with the figures of its nodes by number."""
     root = parse_shape(shape)
     for n in _all(root):
-        n["pages"], n["chars"], n["linked"], n["low"], n["high"] = nodes[n["at"]]
+        n.update(zip(FIGURES, nodes[n["at"]]))
     return root
 
 
@@ -411,6 +420,12 @@ def own_numbers(shape: str, own: list[list[int]]) -> list[bool]:
     return keep
 
 
+def content_hash(shape: str, own: list[list[int]]) -> int:
+    """The same for pages of the same content by their own trees, whatever is around it."""
+    kept = [h for keep, (_, _, h) in zip(own_numbers(shape, own), own) if keep and h]
+    return xxhash.xxh3_64_intdigest(b"".join(h.to_bytes(8) for h in kept)) >> 1
+
+
 def kept_numbers(shape: str, aligned: list[bool] | None, own: list[list[int]]) -> list[bool]:
     """Which nodes of a page's shape are content: a page whose aligned content has no text, or without a wrapper, is judged by its own tree."""
     if aligned and any(k and o[0] for k, o in zip(aligned, own)):
@@ -445,16 +460,22 @@ def host_column() -> F.Column:
 
 
 def host_wrappers(pages: DataFrame, steps: Steps) -> DataFrame:
-    """host and wrapper, from the shapes of all pages (host, html)."""
+    """host and wrapper, from the shapes of all pages (host, html).
+
+    Pages of one content are counted once, with the first of their shapes by hash.
+    """
     ddl = "host string, shape string, at int, pages bigint, chars bigint, linked bigint, low bigint, high bigint"
     out = arrow_schema(ddl)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], list[list[int]]] = {}
+        contents: set[tuple[str, str, int]] = set()
 
         def flush() -> pa.RecordBatch:
             rows = [(h, s, i, *f) for (h, s), nodes in held.items() for i, f in enumerate(nodes)]
+            rows += [(h, s, -1, 0, 0, 0, c, c) for h, s, c in contents]
             held.clear()
+            contents.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
         for batch in batches:
@@ -462,6 +483,7 @@ def host_wrappers(pages: DataFrame, steps: Steps) -> DataFrame:
                 root = tree_of(page or "")
                 shape = shape_of(root)
                 own = figures(root)
+                contents.add((host, shape, content_hash(shape, own)))
                 known = held.get((host, shape))
                 if known is None:
                     held[host, shape] = [[1, c, linked, h, h] for c, linked, h in own]
@@ -471,23 +493,28 @@ def host_wrappers(pages: DataFrame, steps: Steps) -> DataFrame:
                         f[1] += c
                         f[2] += linked
                         f[3], f[4] = min(f[3], h), max(f[4], h)
-            if len(held) > 5_000:
+            if len(held) > 5_000 or len(contents) > 50_000:
                 yield flush()
         if held:
             yield flush()
 
-    nodes = pages.select("host", "html").mapInArrow(count, ddl).groupBy("host", "shape", "at").agg(
+    counted = steps.write("counted", pages.select("host", "html").mapInArrow(count, ddl))
+    shape_id = F.xxhash64("shape").alias("shape_id")
+    owners = counted.where("at < 0").select("host", F.col("low").alias("content"), shape_id).groupBy("host", "content").agg(F.min("shape_id").alias("shape_id"))
+    contents_of = owners.groupBy("host", "shape_id").agg(F.count("*").alias("contents"))
+    nodes = counted.where("at >= 0").groupBy("host", "shape", "at").agg(
         F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high")
     )
     shapes = nodes.groupBy("host", "shape").agg(
-        F.max("pages").alias("n"), F.sort_array(F.collect_list(F.struct("at", "pages", "chars", "linked", "low", "high"))).alias("nodes")  # of one shape
+        F.max("pages").alias("n"), F.sort_array(F.collect_list(F.struct("at", "chars", "linked", "low", "high"))).alias("nodes")  # of one shape
     )
+    shapes = shapes.withColumn("shape_id", shape_id).join(contents_of, ["host", "shape_id"], "left").select("host", "n", "shape", "nodes", F.coalesce("contents", F.lit(0)).alias("contents"))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trees = [
-                pack(with_figures(shape, [tuple(n[k] for k in FIGURES) for n in nodes_]), *FIGURES)
-                for shape, nodes_ in zip(*(batch.column(c).to_pylist() for c in ("shape", "nodes")))
+                pack(with_figures(shape, [(contents, *(n[k] for k in FIGURES[1:])) for n in nodes_]), *FIGURES)
+                for shape, nodes_, contents in zip(*(batch.column(c).to_pylist() for c in ("shape", "nodes", "contents")))
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "n", "shape")), pa.array(trees, pa.string())], names=["host", "n", "shape", "tree"])
 

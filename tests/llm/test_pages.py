@@ -121,3 +121,15 @@ def test_wrapper_of_all_shapes_of_a_host(spark, monkeypatch):
         monkeypatch.setattr(wrappers, "MERGED", size, raising=False)
         found = wrappers.extract_main_text(frame(spark, rows)).collect()
         assert {r.page_id: r.text for r in found} == wanted
+
+
+def test_copies_of_a_page_are_not_template(spark):
+    page = "<nav>Menu {0}</nav>{2}<article><h1>Title {1}</h1><p>Text {1}</p>{3}<div class=rule>Rules of the house</div></article>"
+    rows = [(k, f"https://one.example/{k}", page.format(k, k, "", "")) for k in range(70)]
+    lists = {"x": "<ul><li>Item of all copies</li></ul>", "y": "<table><tr><td>Cell of near copies</td></tr></table>"}
+    rows += [(100 + k, f"https://one.example/x{k}", page.format(k, "x", f"<aside>{k}</aside>" * (k % 2), lists["x"])) for k in range(30)]
+    rows += [(200 + k, f"https://one.example/y{k}", page.format(k, f"y{k}", "", lists["y"])) for k in range(6)]
+    by = {r.page_id: r.text for r in wrappers.extract_main_text(frame(spark, rows)).collect()}
+    assert all(by[k] == f"Title {k} Text {k}" for k in range(70))
+    assert all(by[100 + k] == "Title x Text x Item of all copies" for k in range(30))
+    assert all(by[200 + k] == f"Title y{k} Text y{k} Cell of near copies" for k in range(6))
