@@ -12,7 +12,7 @@ from __future__ import annotations
 import html as html_module
 import json
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +30,6 @@ FIGURES = ("contents", "chars", "linked", "low", "high")
 #: Pages of different content that must agree on a text before it counts as template, their least share of those with the varying block
 #: around it, and the linked share from which a list or block is a menu.
 SAME_PAGES, SAME_SHARE, LINKED = 5, 0.1, 0.6
-#: Nodes deeper than this belong to their ancestor at this depth.
-DEPTH = 48
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
@@ -61,22 +59,28 @@ PLAIN = str.maketrans("(),", "___")
 
 
 class Node:
-    __slots__ = ("label", "tag", "names", "items", "linked", "shape", "size")
+    __slots__ = ("label", "tag", "names", "items", "linked", "shape", "size", "runs")
 
     def __init__(self, tag: str, names: str):
         self.tag, self.names = tag, names
         self.label = (f"{tag}.{names}" if names else tag).translate(PLAIN)
         self.items: list = []
         self.linked = 0
-        self.shape, self.size = "", 1
+        self.shape, self.size, self.runs = 0, 1, []
 
 
 def tree_of(page: str) -> Node:
-    """The block tree of a page. Inline marks without a name are passed over; what scripts, styles and the like hold is left out."""
+    """The block tree of a page, of any depth. Inline marks without a name are passed over; what scripts, styles and the like hold is left out."""
     root = Node("body", "")
     stack = [root]
     links = at = 0
     end_of: dict[str, re.Pattern] = {}
+    open_: Counter = Counter()  # elements on the stack by tag
+
+    def close(i: int) -> None:
+        for node in stack[i:]:
+            open_[node.tag] -= 1
+        del stack[i:]
 
     def text(s: str) -> None:
         if s:
@@ -98,9 +102,9 @@ def tree_of(page: str) -> Node:
                 links = max(0, links - 1)
             if tag in ("body", "html"):
                 continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag in INLINE and stack[i].tag not in INLINE:
                     break
@@ -133,52 +137,72 @@ def tree_of(page: str) -> Node:
         if tag not in INLINE:
             if tag in CLOSES:
                 ends, scope = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(open_[t] for t in ends) else ():
                     if stack[i].tag in ends:
-                        del stack[i:]
+                        close(i)
                     elif stack[i].tag in scope:
                         break
             for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag not in INLINE:
                     break
         if attributes.endswith("/"):
             continue
-        if len(stack) < DEPTH:
-            node = Node(tag, names)
-            stack[-1].items.append(node)
-            stack.append(node)
-        else:
-            stack[-1].items.append(" ")
+        node = Node(tag, names)
+        stack[-1].items.append(node)
+        stack.append(node)
+        open_[tag] += 1
     return root
 
 
-def shape_of(node: Node) -> str:
-    """Label and the shapes of children, a run of equal ones as one; sets `shape` and `size` (nodes of the shape) below."""
-    parts, size = [], 1
-    for child in node.items:
-        if child.__class__ is Node:
-            s = shape_of(child)
-            if not parts or parts[-1] != s:
-                parts.append(s)
-                size += child.size
-    node.size = size
-    node.shape = f"{node.label}({','.join(parts)})" if parts else node.label
-    return node.shape
+def shape_of(root: Node) -> str:
+    """Label and the shapes of children, a run of equal ones as one; sets `shape` (a number, equal for equal shapes of the page), `size`
+    (nodes of the shape) and `runs` (the first child of each run) below."""
+    order, stack = [], [root]
+    while stack:
+        order.append(stack.pop())
+        stack.extend(i for i in order[-1].items if i.__class__ is Node)
+    known: dict[tuple, int] = {}
+    for node in reversed(order):  # children before their parents
+        last = None
+        for child in node.items:
+            if child.__class__ is Node and child.shape != last:
+                last = child.shape
+                node.runs.append(child)
+                node.size += child.size
+        node.shape = known.setdefault((node.label, *(c.shape for c in node.runs)), len(known))
+    parts: list[str] = []
+    todo: list = [root]
+    while todo:
+        node = todo.pop()
+        if node.__class__ is str:
+            parts.append(node)
+            continue
+        parts.append(node.label)
+        if node.runs:
+            parts.append("(")
+            todo.append(")")
+            for k, child in enumerate(reversed(node.runs)):
+                todo += [",", child] if k else [child]
+    return "".join(parts)
 
 
-def numbered(node: Node, number: int = 0) -> Iterator[tuple[Node, int]]:
+def numbered(root: Node) -> Iterator[tuple[Node, int]]:
     """Nodes with the number of their place in the shape, in page order."""
-    yield node, number
-    at, last = number + 1, None
-    for child in node.items:
-        if child.__class__ is Node:
-            if last is not None and child.shape != last.shape:
-                at += last.size
-            last = child
-            yield from numbered(child, at)
+    todo = [(root, 0)]
+    while todo:
+        node, number = todo.pop()
+        yield node, number
+        at, last, kids = number + 1, None, []
+        for child in node.items:
+            if child.__class__ is Node:
+                if last is not None and child.shape != last.shape:
+                    at += last.size
+                last = child
+                kids.append((child, at))
+        todo.extend(reversed(kids))
 
 
 def parse_shape(shape: str) -> dict:
@@ -211,10 +235,22 @@ def match(a: dict, b: dict, memo: dict) -> int:
     """Simple tree matching: nodes of the largest common ordered tree below two nodes of one label; 0 for different labels."""
     if a["label"] != b["label"]:
         return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + _table(a["kids"], b["kids"], memo)[-1][-1]
-    return memo[key]
+    if not a["kids"] or not b["kids"]:
+        return 1
+    todo = [] if (id(a), id(b)) in memo else [(a, b)]
+    while todo:  # pairs below a pair come first
+        x, y = todo[-1]
+        known = (id(x), id(y)) in memo
+        below = [] if known else [
+            (i, j) for i in x["kids"] if i["kids"] for j in y["kids"] if j["kids"] and i["label"] == j["label"] and (id(i), id(j)) not in memo
+        ]
+        if below:
+            todo += below
+            continue
+        todo.pop()
+        if not known:
+            memo[id(x), id(y)] = 1 + _table(x["kids"], y["kids"], memo)[-1][-1]
+    return memo[id(a), id(b)]
 
 
 def _table(x: list[dict], y: list[dict], memo: dict) -> list[list[int]]:
@@ -248,15 +284,15 @@ def aligned_kids(a: dict, b: dict, memo: dict) -> list[tuple[dict | None, dict |
 
 def merge(wrapper: dict, other: dict, memo: dict) -> None:
     """Add a shape with its figures to the wrapper."""
-    for k in ("contents", "chars", "linked"):
-        wrapper[k] += other[k]
-    wrapper["low"], wrapper["high"] = min(wrapper["low"], other["low"]), max(wrapper["high"], other["high"])
-    kids = []
-    for mine, theirs in aligned_kids(wrapper, other, memo):
-        if mine and theirs:
-            merge(mine, theirs, memo)
-        kids.append(mine or theirs)
-    wrapper["kids"] = kids
+    todo = [(wrapper, other)]
+    while todo:
+        w, o = todo.pop()
+        for k in ("contents", "chars", "linked"):
+            w[k] += o[k]
+        w["low"], w["high"] = min(w["low"], o["low"]), max(w["high"], o["high"])
+        pairs = aligned_kids(w, o, memo)
+        todo += [(mine, theirs) for mine, theirs in pairs if mine and theirs]
+        w["kids"] = [mine or theirs for mine, theirs in pairs]
 
 
 def is_bad(label: str, inside_main: bool) -> bool:
@@ -280,28 +316,30 @@ def judge(root: dict) -> dict:
     def menu(n: dict) -> bool:
         return n["label"].split(".")[0] not in ("p", "h1", "h2", "h3", "blockquote") and n["below"] > 0 and n["linked_below"] > LINKED * n["below"]
 
-    def sums(n: dict, main: bool, around: int) -> None:
-        n["same"] = n["low"] == n["high"] and n["contents"] >= max(SAME_PAGES, SAME_SHARE * around)
-        main = main or n["label"].split(".")[0] in MAIN_TAGS
-        n["bad"] = is_bad(n["label"], main)
-        n["below"], n["linked_below"] = n["chars"], n["linked"]
-        for k in n["kids"]:
-            sums(k, main, around if n["fixed"] else n["contents"])
-            n["below"] += k["below"]
-            n["linked_below"] += k["linked_below"]
-        n["good"] = 0 if n["bad"] or menu(n) else (0 if template(n) else n["chars"]) + sum(k["good"] for k in n["kids"])
-
     def mains(n: dict) -> Iterator[dict]:
-        if not n["bad"]:
-            if n["label"].split(".")[0] in MAIN_TAGS:
-                yield n
-            else:
-                for k in n["kids"]:
-                    yield from mains(k)
+        todo = [n]
+        while todo:
+            n = todo.pop()
+            if not n["bad"]:
+                if n["label"].split(".")[0] in MAIN_TAGS:
+                    yield n
+                else:
+                    todo.extend(reversed(n["kids"]))
 
-    for n in reversed(list(_all(root))):  # kids before their parents
+    order = list(_all(root))
+    for n in reversed(order):  # kids before their parents
         n["fixed"] = n["low"] == n["high"] and all(k["fixed"] for k in n["kids"])
-    sums(root, False, 0)
+    root["main"], root["around"] = False, 0
+    for n in order:
+        n["same"] = n["low"] == n["high"] and n["contents"] >= max(SAME_PAGES, SAME_SHARE * n["around"])
+        n["main"] = n["main"] or n["label"].split(".")[0] in MAIN_TAGS
+        n["bad"] = is_bad(n["label"], n["main"])
+        for k in n["kids"]:
+            k["main"], k["around"] = n["main"], n["around"] if n["fixed"] else n["contents"]
+    for n in reversed(order):
+        n["below"] = n["chars"] + sum(k["below"] for k in n["kids"])
+        n["linked_below"] = n["linked"] + sum(k["linked_below"] for k in n["kids"])
+        n["good"] = 0 if n["bad"] or menu(n) else (0 if template(n) else n["chars"]) + sum(k["good"] for k in n["kids"])
     found = [n for n in mains(root) if n["good"] > 0]
     inner = [m for n in found for k in n["kids"] for m in mains(k) if m["good"] >= 0.5 * n["good"]]  # an article within main
     chosen = inner or found
@@ -315,14 +353,14 @@ def judge(root: dict) -> dict:
         chosen = [best]
     varies = any(n["low"] != n["high"] for c in chosen for n in _all(c))
 
-    def mark(n: dict, inside: bool, ok: bool) -> None:
-        inside = inside or any(n is c for c in chosen)
-        ok = ok and not n["bad"] and not menu(n)
-        n["keep"] = inside and ok and not (varies and template(n))
+    tops = {id(c) for c in chosen}
+    root["inside"], root["ok"] = False, True
+    for n in order:
+        n["inside"] = n["inside"] or id(n) in tops
+        n["ok"] = n["ok"] and not n["bad"] and not menu(n)
+        n["keep"] = n["inside"] and n["ok"] and not (varies and template(n))
         for k in n["kids"]:
-            mark(k, inside, ok)
-
-    mark(root, False, True)
+            k["inside"], k["ok"] = n["inside"], n["ok"]
     return root
 
 
@@ -392,23 +430,11 @@ def aligned_numbers(shape: str, wrapper: dict) -> list[bool]:
     root = parse_shape(shape)
     keep = [False] * sum(1 for _ in _all(root))
     memo: dict = {}
-
-    def follow(w: dict, n: dict) -> None:
-        keep[n["at"]] = w["keep"]
-        for mine, theirs in aligned_kids(w, n, memo):
-            if theirs:
-                if mine:
-                    follow(mine, theirs)
-                else:
-                    extend(theirs, w["keep"])
-
-    def extend(n: dict, ok: bool) -> None:
-        keep[n["at"]] = ok = ok and not is_bad(n["label"], True)
-        for k in n["kids"]:
-            extend(k, ok)
-
-    if wrapper["label"] == root["label"]:
-        follow(wrapper, root)
+    todo: list = [(wrapper, root, True)] if wrapper["label"] == root["label"] else []
+    while todo:
+        w, n, ok = todo.pop()
+        keep[n["at"]] = ok = w["keep"] if w else ok and not is_bad(n["label"], True)
+        todo += [(mine, theirs, ok) for mine, theirs in aligned_kids(w, n, memo) if theirs] if w else [(None, k, ok) for k in n["kids"]]
     return keep
 
 
@@ -438,20 +464,17 @@ def page_text(root: Node, keep: list[bool]) -> str:
     numbers = {id(node): number for node, number in numbered(root)}
     parts: list[str] = []
 
-    def walk(node: Node) -> None:
+    todo: list = [root]
+    while todo:
+        node = todo.pop()
+        if node.__class__ is str:
+            parts.append(node)
+            continue
         kept = keep[numbers[id(node)]]
-        inline = node.tag in INLINE
-        if not inline:
+        if node.tag not in INLINE:
             parts.append(" ")
-        for item in node.items:
-            if item.__class__ is Node:
-                walk(item)
-            elif kept:
-                parts.append(item)
-        if not inline:
-            parts.append(" ")
-
-    walk(root)
+            todo.append(" ")
+        todo.extend(i for i in reversed(node.items) if kept or i.__class__ is Node)
     return " ".join("".join(parts).split())
 
 

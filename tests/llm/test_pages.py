@@ -133,3 +133,11 @@ def test_copies_of_a_page_are_not_template(spark):
     assert all(by[k] == f"Title {k} Text {k}" for k in range(70))
     assert all(by[100 + k] == "Title x Text x Item of all copies" for k in range(30))
     assert all(by[200 + k] == f"Title y{k} Text y{k} Cell of near copies" for k in range(6))
+
+
+def test_blocks_of_any_depth(spark):
+    deep = lambda n, text: "<div>" * n + text + "</div>" * n
+    page = "<body><div class=page><article><p>First {0}</p>{1}<p>Last {0}</p></article></div><footer>Foot {0}</footer></body>"
+    rows = [(k, f"https://one.example/{k}", page.format(k, deep(n, f"<nav>Menu {k}</nav><p>Inner {k}</p>"))) for k, n in enumerate([1, 46, 60, 60, 60, 60, 60, 3_000, 3_000])]
+    found = wrappers.extract_main_text(frame(spark, rows)).collect()
+    assert {r.page_id: r.text for r in found} == {k: f"First {k} Inner {k} Last {k}" for k in range(len(rows))}
