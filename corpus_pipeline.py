@@ -1,7 +1,7 @@
 """A corpus pipeline over the documents table: each stage works on all that its predecessor kept.
 
 Stages but the last return the columns of documents. Which rows and texts they keep: `toxicity` drops documents that the model
-rejects; `near_duplicates` keeps the document of smallest id of each group of near copies, and those without id; `passages` removes
+rejects; `near_duplicates` keeps one row, of smallest id, of each group of near copies, and those without id or words; `passages` removes
 repeated passages but their first place, and documents of which nothing is left; `mix` repeats or drops whole documents by the words
 that the source mix takes of them; `encode` returns doc_id, n_tokens and ids.
 """
@@ -19,6 +19,7 @@ from sitelake.llm.jaccard import jaccard_components
 from sitelake.llm.mixing import mixed_documents
 from sitelake.llm.queries import tokenizer_path
 from sitelake.llm.suffixes import remove_repeats
+from sitelake.llm.tables import ROW, with_rows
 from sitelake.llm.toxicity import harmless, train_toxicity
 from sitelake.session import apply_settings, ship_package
 
@@ -43,9 +44,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @ready
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group linked by shingles of five words at a similarity of 0.8."""
-    others = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("other"), "left_anti")
+    """One document, a row of smallest id, of each group linked by shingles of five words at a similarity of 0.8."""
+    rows = with_rows(docs, "near")
+    linked = jaccard_components(rows, row_col=ROW).where("component is not null")
+    first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "a", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    others = linked.select(ROW).join(first, ROW, "left_anti")
+    return rows.join(others, ROW, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 @ready

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sitelake.llm.common import arrow_schema, slim, texts_of
 from sitelake.llm.components import components
-from sitelake.llm.tables import Steps, runtime_filters
+from sitelake.llm.tables import ROW, Steps, runtime_filters
 
 #: Pivots counted so often in one pass of a task, and so often over all, come last in the order, the rarer ones first; at most so many.
 SEEN_HERE, SEEN_ALL, FREQUENT = 6, 24, 200_000
@@ -106,8 +106,9 @@ def bins(sets: np.ndarray) -> bytes:
 
 
 def set_rows(docs: DataFrame, width: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n (size), a (hash of the set), pivots of the window and bins, for each row."""
-    ddl = "doc_id bigint, n bigint, a bigint, pivots array<bigint>, bins binary"
+    """doc_id, n (size), a (hash of the set), pivots of the window and bins, for each row; and its number, if rows have one."""
+    numbers = [ROW] if ROW in docs.columns else []
+    ddl = ", ".join(["doc_id bigint, n bigint, a bigint, pivots array<bigint>, bins binary", *(f"{c} bigint" for c in numbers)])
     out = arrow_schema(ddl)
     hashes, counts = frequent
 
@@ -133,6 +134,7 @@ def set_rows(docs: DataFrame, width: int, num: int, den: int, frequent: tuple[np
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), values).cast(out.field("pivots").type), pa.array(sketches, pa.binary()),
+                    *(batch.column(c) for c in numbers),
                 ],
                 schema=out,
             )
@@ -272,7 +274,7 @@ def exact_edges(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, row_col: str | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of each row: the smallest doc_id reachable over links of similarity num/den or more.
 
@@ -280,12 +282,13 @@ def jaccard_components(
     throughout, so copies are never paired. Texts without words (null, empty, blank) have no shingle and stay alone. A row without id
     takes part in no link and has no component. Rows with the same id and text share one component; rows with the same id and
     different texts are told apart by their texts. Other columns are left out; an empty table gives an empty result. Sets are told
-    apart by 64-bit hashes.
+    apart by 64-bit hashes. With `row_col`, the number of each row, there are also that number, `a` (hash of the row's set) and
+    `component`, which tells components apart that share their smallest id; null for rows that take part in no link.
     """
     steps = Steps(docs.sparkSession, "jaccard")
-    rows = slim(docs, doc_id=id_col, text=text_col)
+    rows = slim(docs, doc_id=id_col, text=text_col, **{ROW: row_col})
     sets = steps.write("sets", set_rows(rows, width, num, den, frequent_pivots(rows, width)))
-    members = steps.write("members", sets.select("doc_id", "n", "a"))
+    members = steps.write("members", sets.drop("pivots", "bins"))
     with_id = sets.where("doc_id is not null and n > 0")
     nodes = steps.write("nodes", with_id.groupBy("a").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("bins").alias("bins")))
     steps.drop("sets")
@@ -303,7 +306,9 @@ def jaccard_components(
         links = components(exact_edges(texts, width, num, den), steps, "links")
     named = nodes.select("a", "rep").join(links.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = steps.write("labels", named.join(smallest, "component").select("a", "component_id"))
+    labels = steps.write("labels", named.join(smallest, "component").select("a", "component", "component_id"))
     steps.drop("nodes", "met", "wanted")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return members.join(labels, "a", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    group = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component"))
+    numbers = [F.col(ROW).alias(row_col), F.col("a"), group.alias("component")] if row_col else []
+    return members.join(labels, "a", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *numbers)

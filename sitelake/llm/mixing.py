@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelake.llm.common import WORD_SQL, slim
+from sitelake.llm.tables import ROW, with_rows
 from sitelake.session import cut_lineage
 
 #: Words in a block, the unit the schedule deals out.
@@ -21,9 +22,10 @@ STEP, TURN = 1_640_531_527, 1 << 32
 SLICE_ROWS = 20_000
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_SQL)), F.lit(0)).cast("bigint")
-    return slim(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", words.alias("size"))
+    rows = slim(docs, doc_id=id_col, text=text_col, source=source_col, **{ROW: row_col})
+    return rows.select("doc_id", "source", words.alias("size"), *([ROW] if row_col else []))
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -80,10 +82,11 @@ def streams(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     sums = rows.groupBy("source_no", "slice").agg(F.sum("size").alias("words"))
     over = Window.partitionBy("source_no").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source_no", "slice", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source_no", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbers = [ROW] if ROW in sizes.columns else []
+    inside = Window.partitionBy("source_no", "slice").orderBy("h", "doc_id", "size", *numbers).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(starts, ["source_no", "slice"]).select(
-        "doc_id", "source", "size", "source_no", "source_size", "target", (F.col("start") + F.col("inside")).alias("at")
+        "doc_id", "source", "size", "source_no", "source_size", "target", (F.col("start") + F.col("inside")).alias("at"), *numbers
     )
 
 
@@ -123,7 +126,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: Sequence[float] = (3, 1, 2),
-    share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS,
+    share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, row_col: str | None = None,
 ) -> DataFrame:
     """How many words the mix takes from each document: doc_id, size, source_size, target, taken, source; a row for each input row.
 
@@ -132,9 +135,10 @@ def mix(
     blocks of its target, no document gives more than `most` times its size, and a rerun takes the same words.
 
     Null and empty texts have size 0 and give nothing. A null source is a source of its own. Rows with the same id are ordered by
-    size. An empty table gives an empty result. Other columns are left out.
+    size. An empty table gives an empty result. Other columns are left out but
+    `row_col`, a number of each row.
     """
-    sizes = cut_lineage(sized(docs, id_col, text_col, source_col))
+    sizes = cut_lineage(sized(docs, id_col, text_col, source_col, row_col))
     targets = cut_lineage(source_targets(sizes, cycle, share, most))
     placed = cut_lineage(streams(sizes, targets))
     slots = schedule(targets, block_words).select("source_no", "block")
@@ -156,7 +160,7 @@ def mix(
         placed.withColumn("place", place).join(taken.withColumnRenamed("at", "place"), ["source_no", "place"], "left")
         .select(
             "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
-            F.coalesce("words", F.lit(0)).cast("bigint").alias("taken"), "source",
+            F.coalesce("words", F.lit(0)).cast("bigint").alias("taken"), "source", *([F.col(ROW).alias(row_col)] if row_col else []),
         )
     )
 
@@ -164,10 +168,11 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix as whole documents: each row as often as its taken words come to its size, rounded; columns as given.
 
-    Rows of equal id and source must be equal, which rows of a table with unique ids are.
+    Rows are told apart by number, so ids may be null or repeated.
     """
-    copies = mix(docs, id_col, text_col, source_col, **options).where("taken > 0").select(
-        F.col("doc_id").alias("mix_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")
-    ).where("copies > 0")
-    joined = docs.join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("mix_id")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(docs[c] for c in docs.columns))
+    rows = with_rows(docs, "mixing")
+    copies = mix(rows, id_col, text_col, source_col, row_col=ROW, **options).where("taken > 0").select(
+        ROW, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies")
+    ).where("__copies > 0")
+    repeated = F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")
+    return rows.join(copies, ROW).select(*(f"`{c}`" for c in docs.columns), repeated).drop("__copy")

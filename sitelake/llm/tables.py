@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitelake.session import checkpoint_folder
 
@@ -46,6 +47,15 @@ class Steps:
             time.sleep(0.1)
 
 
+#: Column that numbers the rows of a table.
+ROW = "__row"
+
+
+def with_rows(df: DataFrame, name: str) -> DataFrame:
+    """The table with a number for each row, written, so that a row keeps its number however often it is read."""
+    return Steps(df.sparkSession, name).write("rows", df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 FILTER_FROM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 
 
