@@ -154,3 +154,56 @@ def op2_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelake.llm.wrappers import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_anchor_expansion")
+def op11_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.anchors import personal_data, span_digests
+
+    return span_digests(personal_data(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op12_recursive_interactions",
+    sql=r"""
+    with recursive t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as s from documents),
+    w as (
+        select *, regexp_extract_all(s, '[^\x20\x09-\x0D]+') as ws, min(doc_id) over (partition by s) as first_id from t
+    ),
+    d as (
+        select doc_id, part, (case when len(ws) < 200 then 1 else 0 end) + (case when 100 * list_unique(ws) < 50 * len(ws) then 2 else 0 end)
+            + (case when 100 * (length(s) - length(regexp_replace(s, '[A-Z]', '', 'g'))) > 2 * length(s) then 4 else 0 end)
+            + (case when regexp_matches(s, '[#$%&*|]') then 8 else 0 end) + (case when doc_id > first_id then 16 else 0 end) as mask
+        from w
+    ),
+    m as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+    c as (
+        select part, mask, count(*) as n, sum(coalesce(good, 0)) as n_good, sum(coalesce(toxic, 0)) as n_toxic from d left join m using (doc_id) group by 1, 2
+    ),
+    e as (
+        select '' as prefix, 0 as step, 0 as bit, 0 as seen
+        union all
+        select prefix || substr('ABCDE', i, 1), step + 1, 1 << (i - 1), seen | bit
+        from e, (select unnest(range(1, 6))::int as i) where step < 5 and not contains(prefix, substr('ABCDE', i, 1))
+    ),
+    p as (
+        select part, prefix, bit, sum(case when mask & (seen | bit) = 0 then n else 0 end) as kept,
+            sum(case when mask & bit > 0 and mask & seen = 0 then n else 0 end) as removed,
+            sum(case when mask & bit > 0 and mask & seen > 0 then n else 0 end) as redundant,
+            sum(case when mask = bit then n else 0 end) as unique_fails,
+            sum(case when mask & bit > 0 and mask & seen = 0 then n_good else 0 end) as good_lost,
+            sum(case when mask & bit > 0 and mask & seen = 0 then n_toxic else 0 end) as toxic_lost
+        from c, e where step > 0 group by 1, 2, 3
+    ),
+    o as (select prefix as filter_order, unnest(range(1, 6))::int as step from e where step = 5),
+    r as (select filter_order, o.step, p.* exclude (prefix) from o join p on p.prefix = substr(filter_order, 1, o.step))
+    select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+        unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+        (sum(removed) over (partition by part, bit))::bigint as shapley
+    from r
+    """,
+)
+def op12_recursive_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.interactions import document_cells, interaction_audit
+
+    return interaction_audit(document_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
