@@ -207,3 +207,37 @@ def op12_recursive_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelake.llm.interactions import document_cells, interaction_audit
 
     return interaction_audit(document_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@query(
+    "op13_tiled_collocations",
+    sql=r"""
+    with t as (
+        select coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]') as pieces from documents
+    ),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (select lang, unnest(pieces) as piece from t)),
+    total as (select lang, sum(len(ws))::bigint as n from w group by 1),
+    f as (
+        select lang, k, p, count(*) as f from (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) as p from w, range(1, 4) r(k))
+        group by 1, 2, 3 having count(*) >= 10
+    ),
+    cuts as (
+        select c.lang, c.p, c.f as a, l.f as l, r.f as r, l.k as cut, (1000000::hugeint * c.f * c.f) // (l.f::hugeint * r.f::hugeint) as score
+        from f c join f l on l.lang = c.lang and l.k < c.k and l.p = c.p[:l.k] join f r on r.lang = c.lang and r.p = c.p[l.k + 1:]
+    ),
+    best as (select * from cuts qualify row_number() over (partition by lang, p order by score, cut) = 1),
+    longer as (
+        select lang, p, max(f) as longer from (select lang, p[1:2] as p, f from f where k = 3 union all select lang, p[2:3], f from f where k = 3) group by 1, 2
+    ),
+    ranked as (
+        select b.lang, array_to_string(b.p, ' ') as phrase, a, l, r, score from best b left join longer using (lang, p) where coalesce(100 * longer < 50 * a, true)
+    )
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+    from ranked join total using (lang) qualify rank <= 2000
+    """,
+)
+def op13_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelake.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
