@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelake.llm.common import WORD_SQL
+from sitelake.llm.tables import Steps
 
 LETTERS = "ABCDE"
 #: More filters than this have too many orders to list.
@@ -35,25 +36,27 @@ def failures(text: Column) -> list[Column]:
 def document_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask, n, n_good, n_toxic: documents by source and set of failed filters (bit 0 for A to bit 4 for E).
 
-    A null source is the part of the empty one; null texts are empty texts. Only digests of the texts are shuffled. E: all rows of a
+    A null source is the part of the empty one; null texts are empty texts. Only digests of the texts are shuffled, and texts are read once. E: all rows of a
     text fail but those of its smallest id and those without id, in whatever part. Copies are combined by text, part and mark before
     the smallest ids meet them. A label holds if any row of the id has it; rows without id have none. Other columns are left out.
     """
     text = F.coalesce("text", F.lit(""))
     bits = sum((F.when(test, 1 << i).otherwise(0) for i, test in enumerate(failures(text))), F.lit(0))
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), bits.alias("mask"), F.unhex(F.sha2(text, 256)).alias("same"))
-    rows = rows.groupBy("doc_id", "part", "mask", "same").agg(F.count("*").alias("n"))
+    steps = Steps(docs.sparkSession, "interactions")
+    rows = steps.write("rows", rows.groupBy("doc_id", "part", "mask", "same").agg(F.count("*").alias("n")))
     has = lambda c: F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0)))
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(has("quality").alias("good"), has("toxic").alias("toxic"))
     known = rows.where("doc_id is not null").join(marks, "doc_id", "left").fillna(0, ["good", "toxic"])
     unknown = rows.where("doc_id is null").withColumns({"good": F.lit(0), "toxic": F.lit(0)})
     key = ["same", "part", "mask", "good", "toxic"]
-    cells = known.unionByName(unknown).groupBy(*key).agg(
+    cells = steps.write("cells", known.unionByName(unknown).groupBy(*key).agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("n_unknown"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("first"),
         F.max("doc_id").alias("last_id"),
-    )
+    ))
+    steps.drop("rows")
     copied = cells.groupBy("same").agg(F.min("first.doc_id").alias("first_id"), F.max("last_id").alias("last_id")).where("first_id < last_id")
     met = cells.drop("last_id").join(copied.drop("last_id"), "same", "left")
     kept_ids = F.when(F.col("first.doc_id") == F.col("first_id"), F.col("first.n")).otherwise(0)

@@ -168,11 +168,13 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix as whole documents: each row as often as its taken words come to its size, rounded; columns as given.
 
-    Rows are told apart by number, so ids may be null or repeated.
+    Rows are told apart by number, so ids may be null or repeated. Rows without words (null, empty and blank texts) have nothing to
+    give and go. An empty table gives an empty result. Columns may have any names.
     """
-    rows = with_rows(docs, "mixing")
-    copies = mix(rows, id_col, text_col, source_col, row_col=ROW, **options).where("taken > 0").select(
-        ROW, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies")
+    held = {name: f"__mixed_{i}" for i, name in enumerate(docs.columns)}
+    rows = with_rows(docs.select(*(F.col(f"`{name}`").alias(new) for name, new in held.items())), "mixing")
+    copies = mix(rows, held[id_col], held[text_col], held[source_col], row_col=ROW, **options).where("taken > 0").select(
+        F.col(ROW).alias("__taken_row"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies")
     ).where("__copies > 0")
     repeated = F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")
-    return rows.join(copies, ROW).select(*(f"`{c}`" for c in docs.columns), repeated).drop("__copy")
+    return rows.join(copies, F.col(ROW) == F.col("__taken_row")).select(*rows.columns, repeated).select(*(F.col(new).alias(name) for name, new in held.items()))

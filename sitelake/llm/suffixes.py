@@ -1,6 +1,6 @@
 """Removal of repeated passages by longest-previous-factor values in suffix order.
 
-Two equal strings of `length` bytes have the same least hash among their grams of `GRAM` bytes. Consecutive starts with the same least
+Two equal strings of `length` bytes have the same least hash among their grams of `gram_of(length)` bytes. Consecutive starts with the same least
 hash form a run, whose text is its starts' strings together. All starts that may match share the hash of their run, so suffixes are
 sorted only among the distinct texts of runs with one hash: those are cut out once, from the first place where each is found.
 
@@ -24,19 +24,23 @@ from sitelake.llm.common import arrow_schema, slim
 from sitelake.llm.jaccard import groups_of, in_blocks
 from sitelake.llm.tables import Steps
 
-GRAM = 128
 #: Distinct runs of one hash, and bytes of runs, that a task sorts at a time.
 GROUP_RUNS, SORT_BYTES = 4_096, 1_000_000
 TABLE = np.array([xxhash.xxh3_64_intdigest(bytes([c])) for c in range(256)], np.uint64)
 STEP, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-FACTORS = {1 << i: np.uint64(0x9E3779B97F4A7C15 * (2 * (1 << i) + 1) % (1 << 64)) for i in range(7)}
+FACTORS = {1 << i: np.uint64(0x9E3779B97F4A7C15 * (2 * (1 << i) + 1) % (1 << 64)) for i in range(20)}
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes at each place, by doubling; the last GRAM - 1 places are left out."""
+def gram_of(length: int) -> int:
+    """Bytes of a gram: a power of two, at most half of `length`, so that a run's least hash stays the same over many starts."""
+    return 1 << ((length // 2).bit_length() - 1)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the `gram` bytes at each place, by doubling; the last gram - 1 places are left out."""
     h, width = TABLE[data], 1
-    while width < GRAM:
+    while width < gram:
         h = h[:-width] * FACTORS[width] + h[width:]
         h ^= h >> np.uint64(31)
         width *= 2
@@ -64,7 +68,8 @@ def runs_of(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, in
     ends = np.cumsum(sizes)
     if len(whole) < length:
         return
-    grams, width = gram_hashes(whole), length - GRAM + 1
+    gram = gram_of(length)
+    grams, width = gram_hashes(whole, gram), length - gram + 1
     least = sliding_least(grams, width)  # for each start of a string of `length` bytes
     text = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
     valid = np.arange(len(least)) + length <= ends[text]
@@ -107,18 +112,19 @@ def run_rows(docs: DataFrame, length: int) -> DataFrame:
 def stretches(datas: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Suffix order of all starts of the given run texts: (run, offset) by order, number and least position of each start's stretch.
 
-    Suffixes are compared by the names (hashes) of their grams at 0, GRAM, ... and of the last gram within `length`. Positions count
+    Suffixes are compared by the names (hashes) of their grams at each whole gram and of the last gram within `length`. Positions count
     through the runs as given, so equal suffixes stand by position.
     """
     whole = np.frombuffer(b"".join(datas), np.uint8)
-    names = gram_hashes(whole)
+    gram = gram_of(length)
+    names = gram_hashes(whole, gram)
     sizes = np.array([len(d) for d in datas], np.int64)
     firsts = np.cumsum(sizes) - sizes
     counts = sizes - length + 1
     run = np.repeat(np.arange(len(datas)), counts)
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     at = firsts[run] + offset
-    places = sorted({*range(0, length - GRAM + 1, GRAM), length - GRAM})
+    places = sorted({*range(0, length - gram + 1, gram), length - gram})
     keys = [names[at + p] for p in places]
     order = np.argsort(keys[0], kind="stable")
     first = keys[0][order]
@@ -263,7 +269,7 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes) and, with `texts`, kept_text.
 
-    Every byte covered by a string of `length` bytes (at least 129) that is found elsewhere is removed, overlaps included; with
+    Every byte covered by a string of `length` bytes (at least 16) that is found elsewhere is removed, overlaps included; with
     `keep_first` the first place of each string keeps it. Strings are judged on the input. Spans given with kept_text are cut to whole
     letters. Null and empty texts have no bytes; texts shorter than `length` lose none. A null id comes after all others. Rows with
     equal id and text are other places of their strings and lose alike, but count as one place for `keep_first`. Other columns are
