@@ -52,12 +52,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(others, ROW, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
+#: Bytes from which a repeated string goes: less than 50 words of any length have.
+PASSAGE_BYTES = 200
+
+
 @ready
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of strings of 400 bytes; documents of which only white space is left go."""
-    left = remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
-    left = left.where(~((F.col("n_removed") > 0) & (F.length(F.trim("kept_text")) == 0)))
-    return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("bigint")).select(*docs.columns)
+    """Texts without later copies of strings of PASSAGE_BYTES bytes; documents of which only white space is left go.
+
+    The first place of a string, by id, then place, keeps it. Null, empty and short texts stay as they are, as do documents that lose
+    nothing; a null id comes last; repeated rows count as one place. `n_chars` follows the text; other columns are carried, whatever
+    their names. An empty table gives an empty result.
+    """
+    held = {name: f"__passages_{i}" for i, name in enumerate(docs.columns)}
+    given = docs.select(*(F.col(f"`{name}`").alias(new) for name, new in held.items()))
+    left = remove_repeats(given, id_col=held["doc_id"], text_col=held["text"], length=PASSAGE_BYTES, carry=list(held.values()))
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col(held["text"]))
+    made = {"text": text, "n_chars": F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col(held["n_chars"]))}
+    kept = left.where(~(changed & (F.length(F.trim("kept_text")) == 0)))
+    return kept.select(*(made.get(name, F.col(new)).alias(name) for name, new in held.items()))
 
 
 @ready
