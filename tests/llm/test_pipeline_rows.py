@@ -37,3 +37,39 @@ def test_mixed_documents_by_row(spark):
     mixed, given = size([(r.doc_id, r.text, r.source) for r in found.collect()]), size(rows)
     target = {r.source: r.target for r in mixing.mix(docs).collect()}
     assert all(mixed[s] <= 2 * given[s] and abs(mixed[s] - target[s]) <= 0.25 * target[s] for s in "abc"), (mixed, target)
+
+
+def later_copies(rows, length):
+    """Brute force: bytes of a text in a string of `length` bytes that begins earlier, by id and place, and what is left of it."""
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        data = t.encode()
+        gone = bytearray(len(data))
+        for at in range(len(data) - length + 1):
+            s = data[at : at + length]
+            if s in seen:
+                gone[at : at + length] = b"\1" * length
+            seen.add(s)
+        out[i] = bytes(c for c, g in zip(data, gone) if not g).decode()
+    return out
+
+
+def test_passages_stage(spark):
+    shared, other = make(50, 45), make(51, 70)
+    assert 200 < len(shared) < 400
+    rows = [(1, make(1)), (2, make(2) + " " + shared + " " + make(3)), (3, shared), (4, make(4) + shared), (5, other + " x " + other), (6, ""), (7, "short"), (8, make(8) + shared[:199]), (None, make(9) + other)]
+    clash = "spans string, n_removed int, n_bytes int, n_spans int, kept_sha256 string, kept_text string, row int, `__row` int, `a.b` int"
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t), "p", 1, 2, 3, "q", "k", 4, 5, 6) for i, t in rows] + [(10, None, "xx", "s", 0, "p", 1, 2, 3, "q", "k", 4, 5, 6)], f"{SCHEMA}, {clash}")
+    found = corpus_pipeline.passages(spark, docs.repartition(3), "")
+    assert found.columns == docs.columns
+    left = {r.doc_id: (r.text, r.n_chars, r.spans, r.n_bytes, r["a.b"]) for r in found.collect()}
+    wanted = {i: (t, len(t), "p", 2, 6) for i, t in later_copies(rows, 200).items() if i != 3}
+    assert left == wanted | {10: (None, 0, "p", 2, 6)}
+    assert corpus_pipeline.passages(spark, docs.limit(0), "").count() == 0
+
+
+def test_mix_with_clashing_names(spark):
+    docs = spark.createDataFrame([(k, make(k), "xx", "ab"[k % 2], 3, 1, 2, 3, 4) for k in range(40)], f"{SCHEMA}, `__copies` int, `__copy` int, `__row` int, taken int")
+    found = mixing.mixed_documents(docs)
+    assert found.columns == docs.columns and {tuple(r)[5:] for r in found.collect()} == {(1, 2, 3, 4)}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
