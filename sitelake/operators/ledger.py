@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sitelake.functions.text import tier_of_download_key
 from sitelake.operators.skew import running_sums, time_segment
@@ -19,6 +24,10 @@ SIGNUP_GRANT = 3
 LEDGER_ORDER = ["created_at", "id"]
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(ddl))
+
+
 def idempotent(ledger: DataFrame) -> DataFrame:
     """Keep the first row of every non-null idempotency key and every row without a key, for ledgers of rows that all count.
 
@@ -56,97 +65,194 @@ def transfer_pieces(amounts: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
     return starts, shifts
 
 
-_ORDERED = ["wallet_id", "segment", *LEDGER_ORDER]
+def then(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of one run of amounts followed by another."""
+    (starts, shifts), (later, moves) = first, second
+    ends = np.append(starts[1:] + shifts[:-1], np.iinfo(np.int64).max)  # where the balances of a piece end up
+    low = np.searchsorted(later, starts + shifts, side="right") - 1
+    counts = np.maximum(np.searchsorted(later, ends, side="left") - low, 1)
+    piece = np.repeat(np.arange(len(starts)), counts)
+    at = np.repeat(low, counts) + np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out_starts = np.maximum(starts[piece], later[at] - shifts[piece])
+    out_shifts = shifts[piece] + moves[at]
+    fresh = np.append(True, out_shifts[1:] != out_shifts[:-1])
+    return out_starts[fresh], out_shifts[fresh]
+
 
+#: Rows of a wallet that are summarised at a time, and summaries that are chained at a time. They set sizes of work, not results.
+SLICE_ROWS, FAN_IN = 10_000, 64
+_SLICE = "wallet_id long, part long, k long, open boolean, ids array<long>, amounts array<long>, starts array<long>, shifts array<long>"
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Bring each (wallet, slice) together in ledger order; Python then streams through the batches."""
-    return rows.repartition("wallet_id", "segment").sortWithinPartitions(*_ORDERED)
 
+def _slices(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """Rows in ledger order, cut where the wallet changes and after `slice_rows` rows; part and k order the slices of a wallet.
 
-def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One summary per (wallet, slice); a slice may span several batches."""
-    current, amounts = None, []
+    Rows are dealt out by ranges of wallet and time, so a wallet with a large share of them lies in many partitions. A slice is open
+    if its wallet may have others: only those are summarised.
+    """
+    out = arrow_schema(_SLICE)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: list[tuple] = []  # finished slices of this partition that wait to be sent
+        wallet, k, ids, amounts, first = None, 0, [], [], True
+
+        def close(more: bool) -> None:
+            starts, shifts = transfer_pieces(amounts) if more else ((), ())
+            held.append((wallet, part, k, more, list(ids), list(amounts), list(starts), list(shifts)))
+            ids.clear()
+            amounts.clear()
+
+        def send() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), out)], schema=out)
+            held.clear()
+            return batch
+
+        for batch in batches:
+            for owner, row_id, amount in zip(*(batch.column(c).to_pylist() for c in ("wallet_id", "id", "amount"))):
+                if ids and owner != wallet:
+                    close(first or k > 0)
+                    wallet, k, first = owner, 0, False
+                elif len(ids) == slice_rows:
+                    close(True)
+                    k += 1
+                wallet = owner
+                ids.append(row_id)
+                amounts.append(amount)
+            if sum(len(h[4]) for h in held) > slice_rows:
+                yield send()
+        if ids:
+            close(True)
+        if held:
+            yield send()
+
+    order = ["wallet_id", *LEDGER_ORDER]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("wallet_id", "id", "amount").mapInArrow(cut, _SLICE)
+
+
+def _composed(pieces: DataFrame) -> DataFrame:
+    """One summary for each group (wallet_id, up) of summaries, in the order of `at`; a group has as many as a level holds."""
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [(np.asarray(r.starts), np.asarray(r.shifts)) for r in group.sort_values("at").itertuples()]
+        starts, shifts = reduce(then, parts)
+        return pd.DataFrame({"wallet_id": group["wallet_id"][:1], "at": group["up"][:1], "starts": [starts], "shifts": [shifts]})
+
+    return pieces.groupBy("wallet_id", "up").applyInPandas(compose, "wallet_id long, at long, starts array<long>, shifts array<long>")
+
+
+def _opened(pieces: DataFrame, opening: DataFrame | None) -> DataFrame:
+    """Opening balance of every piece (wallet_id, up, at) from that of its group (wallet_id, up); 0 without groups above."""
+    slices = F.array_sort(F.collect_list(F.struct("at", "starts", "shifts")))
+    groups = pieces.groupBy("wallet_id", "up").agg(slices.alias("slices"))
+    groups = groups.withColumn("opening", F.lit(0).cast("long")) if opening is None else groups.join(
+        opening.select("wallet_id", F.col("at").alias("up"), "opening"), ["wallet_id", "up"])
+    seed = F.struct(F.col("opening").alias("balance"), F.array().cast("array<struct<at:bigint,opening:bigint>>").alias("out"))
 
-    def summary() -> pd.DataFrame:
-        starts, shifts = transfer_pieces(amounts)
-        return pd.DataFrame({"wallet_id": [current[0]], "segment": [current[1]], "starts": [starts], "shifts": [shifts]})
+    def step(acc, part):
+        balance = acc["balance"]
+        # Starts are sorted, so the count of starts at or below the balance names the piece.
+        piece = F.size(F.filter(part["starts"], lambda s: s <= balance))
+        entry = F.struct(part["at"].alias("at"), balance.alias("opening"))
+        return F.struct((balance + F.element_at(part["shifts"], piece)).alias("balance"), F.concat(acc["out"], F.array(entry)).alias("out"))
 
-    for batch in batches:
-        for wallet, segment, amount in zip(batch["wallet_id"], batch["segment"], batch["amount"]):
-            if (wallet, segment) != current:
-                if current is not None:
-                    yield summary()
-                current, amounts = (wallet, segment), []
-            amounts.append(amount)
-    if current is not None:
-        yield summary()
+    return groups.select("wallet_id", "up", F.inline(F.aggregate("slices", seed, step)["out"]))
+
+
+def slice_openings(slices: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """wallet_id, part, k, opening of the open slices.
+
+    Summaries are composed upwards, all slices of a part first, then `fan_in` parts at a time, until a wallet has one group; opening
+    balances then come down the same levels. The number of levels is the logarithm of the number of parts.
+    """
+    pieces = slices.where("open").select("wallet_id", F.col("part").alias("up"), F.col("k").alias("at"), "starts", "shifts")
+    last = slices.agg(F.max("part")).first()[0] or 0
+    levels = [pieces]
+    width = 1
+    while True:
+        above = _composed(levels[-1])
+        width *= fan_in
+        levels.append(above.withColumn("up", F.floor(F.col("at") / fan_in).cast("long")))
+        if last < width:
+            break
+    opening = None
+    for level in reversed(levels):
+        opening = _opened(level, opening)
+        if level is not pieces:
+            opening = opening.select("wallet_id", "at", "opening")
+    return opening.select("wallet_id", F.col("up").alias("part"), F.col("at").alias("k"), "opening")
 
 
-def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accept or reject rows in order, starting every (wallet, slice) from its opening balance."""
-    current, balance = None, 0
-    for batch in batches:
-        accepted, after = [], []
-        for wallet, segment, opening, amount in zip(batch["wallet_id"], batch["segment"], batch["opening"], batch["amount"]):
-            if (wallet, segment) != current:
-                current, balance = (wallet, segment), opening
-            taken = amount >= 0 or balance + amount >= 0
-            balance += amount if taken else 0
-            accepted.append(taken)
-            after.append(balance)
-        yield batch[["wallet_id", "id", "amount"]].assign(accepted=accepted, balance=after)
+_DECIDED = "wallet_id long, id long, amount long, accepted boolean, balance long"
 
 
-def admit(ledger: DataFrame, slice_above: int = 100_000, slice_seconds: int = 86_400) -> DataFrame:
+def admit(ledger: DataFrame, slice_rows: int = SLICE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Decide every ledger row in time order per wallet: a debit counts only if the balance covers it.
 
-    A rejected debit changes what later debits see, so this is no running sum. Wallets with more than
-    `slice_above` rows are cut into time slices: each slice is summarised on its own as piecewise shifts
-    of the starting balance, the summaries are chained per wallet, and every slice is then decided from
-    a known opening balance. Smaller wallets are one slice that opens at zero.
+    A rejected debit changes what later debits see, so this is no running sum. The ledger is cut into slices of rows; each is
+    summarised on its own as piecewise shifts of the starting balance, the summaries are chained in a tree, and every slice is then
+    decided from a known opening balance. No task or list holds a wallet.
     """
     rows = ledger.select("wallet_id", "id", "created_at", F.col("amount").cast("long").alias("amount"))
-    # At most (rows / slice_above) wallets qualify.
-    busy = rows.groupBy("wallet_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > slice_above).select("wallet_id", F.lit(True).alias("busy"))
-    marked = rows.join(busy, "wallet_id", "left")
-    sliced = marked.withColumn("segment", F.when(F.col("busy"), time_segment("created_at", slice_seconds)).otherwise(F.lit(0).cast("long")))
-    pieces = _grouped(sliced.filter("busy").select(*_ORDERED, "amount")).mapInPandas(
-        _summarise, "wallet_id long, segment long, starts array<long>, shifts array<long>"
-    )
-    opened = sliced.drop("busy").join(chain_segments(pieces), ["wallet_id", "segment"], "left")
-    ready = opened.withColumn("opening", F.coalesce("opening", F.lit(0).cast("long")))
-    return _grouped(ready).mapInPandas(_decide, "wallet_id long, id long, amount long, accepted boolean, balance long")
+    slices = cut_lineage(_slices(rows, slice_rows))
+    out = arrow_schema(_DECIDED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for wallet, ids, amounts, balance in zip(*(batch.column(c).to_pylist() for c in ("wallet_id", "ids", "amounts", "opening"))):
+                accepted, after = [], []
+                for amount in amounts:
+                    taken = amount >= 0 or balance + amount >= 0
+                    balance += amount if taken else 0
+                    accepted.append(taken)
+                    after.append(balance)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(([wallet] * len(ids), ids, amounts, accepted, after), out)], schema=out)
+
+    held = slices.select("wallet_id", "part", "k", "open", "ids", "amounts")
+    waiting = held.where("open").join(slice_openings(slices, fan_in), ["wallet_id", "part", "k"])
+    ready = held.where("not open").withColumn("opening", F.lit(0).cast("long")).unionByName(waiting)
+    return ready.select("wallet_id", "ids", "amounts", "opening").mapInArrow(run, _DECIDED)
 
 
 def decide(ledger: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """Decide a ledger whose keys count once over all wallets, and only with an accepted row: a rejected debit leaves its key free.
 
     The row of a key that counts is its first accepted one; rows after it are repeats and drop out, rows before it stand as rejected.
-    Which row that is depends on balances, which depend on other keys. So rounds of admission start from the first row of every key,
-    and each takes the first accepted rows that the last one found, until they stay the same. A round settles at least the earliest
-    open row of the table; with one retry for a key it takes two or three rounds. `opening` has wallet_id and balance.
+    Which row that is depends on balances, which depend on other keys. So a first round admits the first row of every repeated key and
+    all rows without one; each further round takes the first accepted rows that the last one found and decides again only the wallets
+    that hold a row of a key whose row changed, until none does. A round settles at least the earliest open row of the table; with one
+    retry for a key it takes two or three rounds. `opening` has wallet_id and balance.
     """
     columns = ["wallet_id", "id", "created_at", "amount", "idempotency_key"]
     rows = cut_lineage(ledger.select(*columns))
     place = F.struct(*LEDGER_ORDER)
-    keyed = rows.filter("idempotency_key is not null")
-    upto = keyed.groupBy("idempotency_key").agg(F.min(place).alias("upto"))
-    known = None
-    while True:
-        active = rows.join(upto, "idempotency_key", "left").filter(F.col("upto").isNull() | (place <= F.col("upto"))).select(*columns)
-        if opening is not None:
-            start = F.lit(0).cast("timestamp").cast(rows.schema["created_at"].dataType)
-            active = active.unionByName(opening.select(
-                "wallet_id", F.lit(None).cast("long").alias("id"), start.alias("created_at"), F.col("balance").alias("amount"),
+    repeated = rows.filter("idempotency_key is not null").groupBy("idempotency_key").agg(F.min(place).alias("upto"), F.count("*").alias("n"))
+    known = cut_lineage(repeated.filter("n > 1").drop("n"))
+    contested = cut_lineage(rows.join(known.select("idempotency_key"), "idempotency_key", "left_semi"))
+
+    def admitted(given: DataFrame, start: DataFrame | None, keys: DataFrame) -> DataFrame:
+        # `upto` is null for a key that is not repeated, and for one of which no row is known to count: all its rows are tried.
+        active = given.join(keys, "idempotency_key", "left").filter(F.col("upto").isNull() | (place <= F.col("upto"))).select(*columns)
+        if start is not None:
+            begin = F.lit(0).cast("timestamp").cast(rows.schema["created_at"].dataType)
+            active = active.unionByName(start.select(
+                "wallet_id", F.lit(None).cast("long").alias("id"), begin.alias("created_at"), F.col("balance").alias("amount"),
                 F.lit(None).cast("string").alias("idempotency_key")))
-        decided = cut_lineage(admit(active).filter("id is not null"))
-        accepted = keyed.join(decided.filter("accepted").select("id"), "id")
-        upto = cut_lineage(accepted.groupBy("idempotency_key").agg(F.min(place).alias("upto")))
-        mark = upto.agg(F.count("*"), F.sum(F.xxhash64("idempotency_key", "upto.id").cast("decimal(20,0)"))).first()
-        if mark == known:
+        return cut_lineage(admit(active).filter("id is not null"))
+
+    decided = admitted(rows, opening, known)
+    while True:
+        accepted = contested.join(decided.filter("accepted").select("id"), "id")
+        found = accepted.groupBy("idempotency_key").agg(F.min(place).alias("upto"))
+        step = cut_lineage(known.withColumnRenamed("upto", "before").join(found, "idempotency_key", "left"))
+        changed = step.filter(~F.col("before").eqNullSafe(F.col("upto"))).select("idempotency_key")
+        wallets = cut_lineage(contested.join(changed, "idempotency_key", "left_semi").select("wallet_id").distinct())
+        if wallets.isEmpty():
             return decided
-        known = mark
+        known = step.drop("before")
+        again = admitted(rows.join(wallets, "wallet_id", "left_semi"), opening and opening.join(wallets, "wallet_id", "left_semi"), known)
+        decided = decided.join(wallets, "wallet_id", "left_anti").unionByName(again)
 
 
 def standing(ledger: DataFrame) -> DataFrame:
@@ -154,27 +260,6 @@ def standing(ledger: DataFrame) -> DataFrame:
     return ledger.join(decide(ledger).filter("accepted").select("id"), "id", "left_semi")
 
 
-def chain_segments(pieces: DataFrame) -> DataFrame:
-    """Opening balance of every (wallet, segment): walk the wallet's slice summaries once."""
-    slices = F.array_sort(F.collect_list(F.struct("segment", "starts", "shifts")))
-    seed = F.struct(
-        F.lit(0).cast("long").alias("balance"), F.array().cast("array<struct<segment:bigint,opening:bigint>>").alias("out")
-    )
-
-    def step(acc, part):
-        opening = acc["balance"]
-        # Starts are sorted, so the count of starts at or below the balance names the piece.
-        piece = F.size(F.filter(part["starts"], lambda s: s <= opening))
-        entry = F.struct(part["segment"].alias("segment"), opening.alias("opening"))
-        return F.struct(
-            (opening + F.element_at(part["shifts"], piece)).alias("balance"), F.concat(acc["out"], F.array(entry)).alias("out")
-        )
-
-    return pieces.groupBy("wallet_id").agg(slices.alias("slices")).select(
-        "wallet_id", F.inline(F.aggregate("slices", seed, step)["out"])
-    )
-
-
 def running_balances(ledger: DataFrame, segment_seconds: int = 86_400) -> DataFrame:
     """Balance after each row of a ledger whose rows all count."""
     return running_sums(ledger, ["wallet_id"], LEDGER_ORDER, {"balance": F.col("amount")}, time_segment("created_at", segment_seconds))

@@ -47,8 +47,7 @@ def first_deliveries(spark, sf_dir):
 def streamed_spend_admission(spark, sf_dir):
     ledger = W.event_time(spark.sql(STANDINS["ledger"], events=run.table_stream(spark, sf_dir, "events")), "created_at")
     base = f"{checkpoint_folder(spark)}/admission-{uuid.uuid4().hex}"
-    run.admit_batches(ledger, f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("wallet_id", "id", "amount", "accepted", "balance")
+    return run.admit_batches(ledger, base).select("wallet_id", "id", "amount", "accepted", "balance")
 
 
 @query(

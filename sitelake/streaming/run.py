@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sitelake.operators.blueprint import page_blueprints
 from sitelake.operators.ledger import decide
-from sitelake.session import checkpoint_folder
+from sitelake.session import checkpoint_folder, cut_lineage
+from sitelake.streaming import state
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,26 +44,44 @@ def drain(stream: DataFrame, mode: str = "append", idle_batches: bool = True) ->
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def admit_batches(ledger: DataFrame, out: str, state: str):
+def admit_batches(ledger: DataFrame, base: str) -> DataFrame:
     """Spend admission with keys held over all wallets: each micro-batch is decided on the balances and keys of those before it.
 
-    A batch writes its decisions into its own folder, so a retried batch replaces itself. Rows come in the order of their batches.
+    Takes everything the stream has and returns the decisions, kept under `base`; a later call goes on from there. Balances and used
+    keys live in state stores (`state.admission_loop`); a batch writes the keys it used and the changes of its wallets as files that
+    the next one takes in with its rows, so its cost does not grow with those before it. Decisions and changes are written into
+    folders of their own, so a retried batch replaces its own. Rows come in the order of their batches.
     """
     spark = ledger.sparkSession
-    written = "wallet_id long, id long, amount long, accepted boolean, balance long, idempotency_key string"
+    state.use_state_store(spark)
+    changes = f"{base}/changes"
+    # The next batch takes all files that are there, then they are deleted.
+    decided = spark.readStream.schema(state.ADMISSION).option("cleanSource", "delete").parquet(f"{changes}/*")
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch
-        opening = None
-        if number:
-            before = spark.read.schema(written + ", batch long").parquet(out).filter(F.col("batch") < number).filter("accepted")
-            rows = rows.join(before.filter("idempotency_key is not null").select("idempotency_key").distinct(), "idempotency_key", "left_anti")
-            opening = before.groupBy("wallet_id").agg(F.sum("amount").alias("balance"))
-        keys = rows.select("id", "idempotency_key")
-        decide(rows, opening).join(keys, "id").select("wallet_id", "id", "amount", "accepted", "balance", "idempotency_key").write.mode("overwrite").parquet(
-            f"{out}/batch={number}")
-
-    return ledger.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+        rows = cut_lineage(batch)  # state operators run once
+        if rows.isEmpty():  # only changes came in: what they changed is in the state stores
+            return
+        opening = rows.groupBy("wallet_id").agg(F.max("opening").alias("balance"))
+        fresh = rows.filter("not used").drop("used", "opening")
+        done = decide(fresh, opening).join(fresh.select("id", "idempotency_key"), "id").select("wallet_id", "id", "amount", "accepted", "balance", "idempotency_key")
+        done.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        accepted = spark.read.parquet(f"{base}/out/batch={number}").filter("accepted")
+        none = F.lit(None)
+        keys = accepted.filter("idempotency_key is not null").select(
+            F.lit("key").alias("kind"), F.concat(F.lit("key:"), "idempotency_key").alias("slot"), none.cast("long").alias("wallet_id"), none.cast("long").alias("amount"))
+        sums = accepted.groupBy("wallet_id").agg(F.sum("amount").alias("amount")).select(
+            F.lit("sum").alias("kind"), F.concat(F.lit("sum:"), F.col("wallet_id").cast("string")).alias("slot"), "wallet_id", "amount")
+        both = keys.unionByName(sums).withColumns({"id": none.cast("long"), "created_at": none.cast("timestamp"), "idempotency_key": none.cast("string")})
+        both.select(*spark.createDataFrame([], state.ADMISSION).columns).write.mode("overwrite").parquet(f"{changes}/{number}")
+
+    loop = state.admission_loop(ledger, decided).writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state")
+    query = loop.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema("wallet_id long, id long, amount long, accepted boolean, balance long, idempotency_key string").parquet(f"{base}/out")
 
 
 def extract_pages(pages: DataFrame, out: str, state: str, extract: Callable[[DataFrame], DataFrame] = page_blueprints):

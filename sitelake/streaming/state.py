@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -57,6 +58,63 @@ def admit_stream(ledger: DataFrame) -> DataFrame:
         SpendAdmission(), "wallet_id long, id long, amount long, accepted boolean, balance long", "Append", "ProcessingTime")
 
 
+#: Rows of the admission loop: ledger rows (`row`), and what the last batches decided: a used key (`key`), a wallet's change (`sum`).
+ADMISSION = "kind string, slot string, wallet_id long, id long, created_at timestamp, amount long, idempotency_key string"
+
+
+class UsedKeys(StatefulProcessor):
+    """Whether a key has an accepted row. Ledger rows go on with the answer; rows of other kinds but `key` pass through."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", "used boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        if (batch["kind"] == "key").any():
+            self.used.update((True,))
+        # Slots of rows without a key are their own and never have state.
+        yield batch[batch["kind"] != "key"].assign(used=self.used.exists())
+
+    def close(self) -> None:
+        pass
+
+
+class WalletBalance(StatefulProcessor):
+    """Balance of a wallet over the batches before this one; ledger rows go on with it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.balance = handle.getValueState("balance", "balance long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        balance, held = self.balance.get()[0] if self.balance.exists() else 0, []
+        for batch in rows:
+            changes = batch["kind"] == "sum"
+            balance += int(batch["amount"][changes].sum())
+            held.append(batch[~changes])
+        self.balance.update((balance,))
+        for batch in held:
+            yield batch[["wallet_id", "id", "created_at", "amount", "idempotency_key", "used"]].assign(opening=balance)
+
+    def close(self) -> None:
+        pass
+
+
+def admission_loop(ledger: DataFrame, decided: DataFrame) -> DataFrame:
+    """Ledger rows of a micro-batch with `used` (their key has an accepted row) and `opening` (balance of their wallet).
+
+    Two state operators, keys first, wallets second. `decided` is a stream of what earlier batches decided, in the form of ADMISSION;
+    both kinds of state change by it before the rows of the batch are answered. A batch costs what its rows cost: state is looked up
+    by key, and nothing that is older than the last batch is read again.
+    """
+    own = F.concat_ws(":", F.lit("row"), "wallet_id", "id")
+    rows = ledger.select(
+        F.lit("row").alias("kind"), F.coalesce(F.concat(F.lit("key:"), "idempotency_key"), own).alias("slot"), "wallet_id", "id",
+        F.col("created_at").cast("timestamp").alias("created_at"), F.col("amount").cast("long").alias("amount"), "idempotency_key")
+    answered = rows.unionByName(decided).groupBy("slot").transformWithStateInPandas(UsedKeys(), ADMISSION + ", used boolean", "Append", "None")
+    return answered.groupBy("wallet_id").transformWithStateInPandas(
+        WalletBalance(), "wallet_id long, id long, created_at timestamp, amount long, idempotency_key string, used boolean, opening long", "Append", "None")
+
+
 class PurchaseLifecycle(StatefulProcessor):
     """State of a purchase; a timer reports it when it is still pending a day after its first event."""
 

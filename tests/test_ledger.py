@@ -37,10 +37,19 @@ def busy_ledger(spark):
     return rows, df.withColumn("created_at", F.timestamp_seconds("at"))
 
 
-@pytest.mark.parametrize("slice_above", [100_000, 50])
-def test_admission_is_exact_with_and_without_slices(spark, slice_above):
+@pytest.mark.parametrize("seed", range(6))
+def test_pieces_of_two_runs_one_after_the_other(seed):
+    rng = random.Random(seed)
+    first, second = ([rng.choice([3, -1, -rng.randint(1, 40), rng.randint(0, 30)]) for _ in range(n)] for n in (60, seed * 9))
+    starts, shifts = L.then(L.transfer_pieces(first), L.transfer_pieces(second))
+    whole = L.transfer_pieces(first + second)
+    assert (starts == whole[0]).all() and (shifts == whole[1]).all()
+
+
+@pytest.mark.parametrize(("slice_rows", "fan_in"), [(10_000, 64), (7, 2), (300, 3)])
+def test_admission_is_exact_whatever_the_slices(spark, slice_rows, fan_in):
     rows, df = busy_ledger(spark)
-    got = {r["id"]: (r["accepted"], r["balance"]) for r in L.admit(df, slice_above=slice_above, slice_seconds=7200).collect()}
+    got = {r["id"]: (r["accepted"], r["balance"]) for r in L.admit(df.repartition(6), slice_rows=slice_rows, fan_in=fan_in).collect()}
     want = {}
     for wallet in {r[1] for r in rows}:
         own = [r for r in rows if r[1] == wallet]
