@@ -10,13 +10,61 @@ from pyspark.sql import functions as F
 from sitelake.operators.costs import since
 
 
-def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """One page in the given order plus the row count before paging.
+def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int, with_total: bool = True) -> DataFrame:
+    """One page in the given order and, unless left out, the row count before paging.
 
-    The sort keeps only the first `page * size` rows per task; the count is a scalar subquery.
+    For a page or two of a listing that is asked once: the sort keeps only the first `page * size` rows per task, the count is a
+    scalar subquery. `Listing` serves deep pages.
     """
-    total = df.agg(F.count("*")).scalar()
-    return df.orderBy(*order).offset((page - 1) * size).limit(size).withColumn("total", total)
+    rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
+    return rows.withColumn("total", df.agg(F.count("*")).scalar()) if with_total else rows
+
+
+class Listing:
+    """A listing kept in ranges of its order, for any page at the cost of the ranges it lies in.
+
+    Rows are sorted once into about equal ranges and written below `folder`, a folder per range; the row counts of the ranges, a
+    number for each, say in which a page begins. Reading a page touches only those folders, however deep it is.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[Column], folder: str, ranges: int | None = None):
+        spark = df.sparkSession
+        self.order, self.columns = list(order), df.columns
+        n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+        dealt.write.mode("overwrite").partitionBy("_range").parquet(folder)
+        self.rows = spark.read.schema(dealt.schema).parquet(folder)
+        self.sizes = sorted((r["_range"], r["n"]) for r in self.rows.groupBy("_range").agg(F.count("*").alias("n")).collect())
+        self.total = sum(n for _, n in self.sizes)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page `number` (from 1) of `size` rows; empty beyond the end."""
+        begin, touched, skipped, seen = (number - 1) * size, [], 0, 0
+        for name, n in self.sizes:
+            if seen + n <= begin:
+                skipped += n
+            elif seen < begin + size:
+                touched.append(name)
+            seen += n
+        rows = self.rows.filter(F.col("_range").isin(touched)) if touched else self.rows.limit(0)
+        return rows.orderBy(*self.order).offset(begin - skipped).limit(size).select(*self.columns)
+
+
+def page_after(df: DataFrame, keys: Sequence[tuple[str, bool]], last: Sequence | None, size: int) -> DataFrame:
+    """The `size` rows that follow the row with the key values `last` (the first rows for None): paging without counting.
+
+    `keys` are (column, ascending) without nulls, together unique. The seek is a filter that reaches the files, and the sort keeps
+    `size` rows per task.
+    """
+    order = [F.asc(c) if up else F.desc(c) for c, up in keys]
+    if last is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for (c, up), value in zip(keys, last):
+            beyond = beyond | (equal & ((F.col(c) > F.lit(value)) if up else (F.col(c) < F.lit(value))))
+            equal = equal & (F.col(c) == F.lit(value))
+        name, up = keys[0]
+        df = df.filter((F.col(name) >= F.lit(last[0])) if up else (F.col(name) <= F.lit(last[0]))).filter(beyond)
+    return df.orderBy(*order).limit(size)
 
 
 def success_rate_pct(in_scope: Column | None = None) -> Column:

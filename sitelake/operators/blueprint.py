@@ -45,8 +45,9 @@ register_widget("testimonials", widget_testimonials)
 def with_asset_paths(pages: DataFrame, assets: DataFrame | None, site: Column) -> DataFrame:
     """Add `asset_paths`: reference as written on this page to the stored path of the downloaded asset.
 
-    Only references travel through the join; page bodies stay where they are until the small map comes
-    back. References without an asset are absent, so a path is never invented.
+    Only references travel to the assets and back as one small map per page, which is the hashed side of the last join. Pages that are
+    bucketed by `page_id` (`sources.pages.bucketed_pages`) stay where they are; others are dealt out by it once. References without
+    an asset are absent, so a path is never invented.
     """
     empty = F.create_map().cast("map<string,string>")
     if assets is None:
@@ -60,7 +61,7 @@ def with_asset_paths(pages: DataFrame, assets: DataFrame | None, site: Column) -
     found = wanted.join(stored, ["site", "original_url"]).groupBy("page_id").agg(
         F.map_from_entries(F.collect_list(F.struct("ref", "storage_path"))).alias("_paths")
     )
-    return pages.join(found, "page_id", "left").withColumn("asset_paths", F.coalesce("_paths", empty)).drop("_paths")
+    return pages.join(found.hint("shuffle_hash"), "page_id", "left").withColumn("asset_paths", F.coalesce("_paths", empty)).drop("_paths")
 
 
 def _with_scope_sections(df: DataFrame, blocks: str, prefix: str, gallery: bool, keep_repeats: bool) -> DataFrame:

@@ -166,14 +166,14 @@ def slice_openings(slices: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     balances then come down the same levels. The number of levels is the logarithm of the number of parts.
     """
     pieces = slices.where("open").select("wallet_id", F.col("part").alias("up"), F.col("k").alias("at"), "starts", "shifts")
-    last = slices.agg(F.max("part")).first()[0] or 0
+    parts = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # Spark may have joined some, never cut more
     levels = [pieces]
     width = 1
     while True:
         above = _composed(levels[-1])
         width *= fan_in
         levels.append(above.withColumn("up", F.floor(F.col("at") / fan_in).cast("long")))
-        if last < width:
+        if parts <= width:
             break
     opening = None
     for level in reversed(levels):

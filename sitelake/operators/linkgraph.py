@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelake.functions import status, urls
 from sitelake.operators import elements as E
-from sitelake.operators.skew import number_segment, position_per_key
+from sitelake.operators.skew import number_segment, position_per_key, running_sums
 from sitelake.session import cut_lineage
 
 # Fixed values.
@@ -27,37 +29,40 @@ def discover(edges: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES) ->
 
     Returns one row per page of accepted sites (`site, url, page_no, level`) in discovery order and one
     row with a null url per rejected site. Every level adds a page to each live site, so there are at most
-    `max_pages` rounds, and a site leaves the loop in the round that takes it over the cap.
+    `max_pages` rounds. A level is written once, as the pages it adds to the sites that are still live: a site
+    without new pages, or over the cap, is in no later level, so what is written grows with the pages found.
     """
     links = edges.groupBy("site", "src", "dst").agg(F.min("pos").alias("pos"))
     links = cut_lineage(links.filter("src <> dst"))
-    visited = cut_lineage(starts.select("site", F.col("start").alias("url"), F.lit(0).alias("page_no"), F.lit(0).alias("level")).distinct())
-    rejected = None
+    first = starts.select("site", F.col("start").alias("url")).distinct()
+    levels = [cut_lineage(first.select("site", "url", F.lit(0).alias("page_no"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("seen")))]
+    rejected: list[DataFrame] = []
+    none = F.lit(None)
     for level in range(1, max_pages + 1):
-        frontier = visited.filter(F.col("level") == level - 1).select("site", F.col("url").alias("src"), "page_no")
-        reached = frontier.join(links, ["site", "src"]).select(
-            "site", F.col("dst").alias("url"), F.struct("page_no", "pos").alias("via")
-        )
-        fresh = reached.groupBy("site", "url").agg(F.min("via").alias("via")).join(visited, ["site", "url"], "left_anti")
-        fresh = cut_lineage(fresh)
-        if fresh.isEmpty():
-            break
-        seen = visited.groupBy("site").agg(F.count("*").alias("seen"))
-        sizes = fresh.groupBy("site").agg(F.count("*").alias("n")).join(seen, "site")
-        over = sizes.filter(F.col("n") + F.col("seen") > max_pages).select("site")
-        rejected = over if rejected is None else rejected.unionByName(over)
-        room = sizes.filter(F.col("n") + F.col("seen") <= max_pages).select("site", "seen")
-        live = fresh.join(room, "site")
+        frontier = levels[-1].select("site", F.col("url").alias("src"), "page_no", "seen")
+        live = frontier.groupBy("site").agg(F.max("seen").alias("seen"))
+        reached = frontier.drop("seen").join(links, ["site", "src"]).groupBy("site", F.col("dst").alias("url")).agg(F.min(F.struct("page_no", "pos")).alias("via"))
+        # Only pages of sites that reached something are looked at again: at most `max_pages` of each.
+        known = reduce(DataFrame.unionByName, [old.select("site", "url") for old in levels]).join(live.select("site"), "site", "left_semi")
+        fresh = reached.join(known, ["site", "url"], "left_anti").join(live, "site")
+        sizes = fresh.groupBy("site").agg((F.count("*") + F.max("seen")).alias("total"))
+        room = fresh.join(sizes.filter(F.col("total") <= max_pages), "site")
         # At most `max_pages` rows per site are left here, so the window is small.
         number = F.row_number().over(Window.partitionBy("site").orderBy("via")) + F.col("seen") - 1
-        added = live.select("site", "url", number.cast("int").alias("page_no"), F.lit(level).alias("level"))
-        visited = cut_lineage(visited.join(over, "site", "left_anti").unionByName(added))
-    accepted = visited.withColumn("accepted", F.lit(True))
-    if rejected is None:
-        return accepted
-    none = F.lit(None)
+        added = room.select("site", "url", number.cast("int").alias("page_no"), F.lit(level).alias("level"), F.col("total").alias("seen"))
+        over = sizes.filter(F.col("total") > max_pages).select(
+            "site", none.cast("string").alias("url"), none.cast("int").alias("page_no"), none.cast("int").alias("level"), F.col("total").alias("seen"))
+        step = cut_lineage(added.unionByName(over))
+        if step.isEmpty():
+            break
+        levels.append(step.filter("url is not null"))
+        rejected.append(step.filter("url is null").select("site"))
+    if not rejected:
+        return levels[0].drop("seen").withColumn("accepted", F.lit(True))
+    refused = reduce(DataFrame.unionByName, rejected)
+    accepted = reduce(DataFrame.unionByName, levels).drop("seen").join(refused, "site", "left_anti").withColumn("accepted", F.lit(True))
     return accepted.unionByName(
-        rejected.select("site", none.cast("string").alias("url"), none.cast("int").alias("page_no"), none.cast("int").alias("level"), F.lit(False).alias("accepted"))
+        refused.select("site", none.cast("string").alias("url"), none.cast("int").alias("page_no"), none.cast("int").alias("level"), F.lit(False).alias("accepted"))
     )
 
 
@@ -155,19 +160,24 @@ def distinct_assets(assets: DataFrame) -> DataFrame:
     return merged.select("site", "storage_path", "r.*", "first_seen")
 
 
-def site_digest(pages: DataFrame, part_pages: int = MAX_PAGES) -> DataFrame:
-    """For each page the summaries of the other pages of its part of the site, in page order.
+def site_digest(pages: DataFrame, part_pages: int = 1_000, gap: str = "\n\n") -> DataFrame:
+    """For each page the summaries of all other pages of its site, in page order.
 
-    A part holds at most `part_pages` summaries; all pages of all sites get a digest.
+    The text of a site is put together once, from the texts of runs of `part_pages` pages. A page's own summary is left out of it by
+    place: running lengths, summed by run and then over the runs of a site, say where it begins. So a page meets one text, not the
+    summaries of its site one by one; a null summary counts as empty.
     """
-    listed = with_part(pages, part_pages).groupBy("site", "part").agg(
-        F.array_sort(F.collect_list(F.struct("page_no", "page_id", "summary"))).alias("all")
-    )
-    rows = listed.select("site", "part", "all", F.explode("all").alias("me"))
-    others = F.transform(F.filter("all", lambda p: p["page_no"] != F.col("me.page_no")), lambda p: p["summary"])
-    alone = F.when(F.col("part") == 0, "(single-page site, no other pages)").otherwise("")
-    text = F.when(F.size(others) == 0, alone).otherwise(F.array_join(others, "\n\n"))
-    return rows.select("me.page_id", "site", text.alias("digest"))
+    rows = pages.select("page_id", "site", "page_no", F.coalesce("summary", F.lit("")).alias("summary")).withColumns(
+        {"part": F.floor(F.col("page_no") / part_pages).cast("long"), "size": F.length("summary").cast("long") + len(gap)})
+    parts = rows.groupBy("site", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "summary"))), lambda p: p["summary"]), gap).alias("text"))
+    whole = parts.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), gap).alias("whole"))
+    placed = running_sums(rows, ["site"], ["page_no"], {"upto": F.col("size")}, F.col("part"))
+    begin = F.col("upto") - F.col("size")
+    before, after = F.expr(f"substring(whole, 1, cast(upto - size - {len(gap)} as int))"), F.expr("substring(whole, cast(upto + 1 as int))")
+    first, last = begin == 0, F.col("upto") >= F.length("whole") + len(gap)
+    text = F.when(first & last, "(single-page site, no other pages)").when(first, after).when(last, before).otherwise(F.concat(before, F.lit(gap), after))
+    return placed.join(whole, "site").select("page_id", "site", text.alias("digest"))
 
 
 def page_batches(pages: DataFrame, size: int = 4) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitelake.operators import analytics, costs, jobs as J
@@ -9,6 +13,7 @@ from sitelake.operators.skew import first_n_per_key
 from sitelake.plans.costs_and_usage import TIERS, SQL_COSTED, costed_usage
 from sitelake.plans.registry import query, table
 from sitelake.plans.standins import standin, with_standins
+from sitelake.session import checkpoint_folder
 
 SQL_NEWEST = """with_more newest as (select * from jobs where scope = 'preview'
     qualify row_number() over (partition by project_id, tier order by created_at desc, id desc) = 1)
@@ -229,3 +234,44 @@ def project_detail(spark, sf_dir):
     return J.project_detail(
         standin(spark, sf_dir, "projects"), standin(spark, sf_dir, "users"), jobs(spark, sf_dir), standin(spark, sf_dir, "outputs"), per_job
     )
+
+
+@query(
+    "project_page_deep", "T1",
+    sql=with_standins("projects", "select id, user_id, status, created_at from projects order by created_at desc, id limit 50 offset 2450"),
+)
+def project_page_deep(spark, sf_dir):
+    """Page 50 of all projects, from a listing kept in ranges."""
+    order = [F.desc("created_at"), F.asc("id")]
+    rows = standin(spark, sf_dir, "projects").select("id", "user_id", "status", "created_at")
+    return analytics.Listing(rows, order, f"{checkpoint_folder(spark)}/listing-{uuid.uuid4().hex}").page(50, 50)
+
+
+@query(
+    "project_page_next", "T1",
+    sql=with_standins("projects", """select id, user_id, status, created_at from projects where created_at < date '1996-06-01'
+        or (created_at = date '1996-06-01' and id > 1000) order by created_at desc, id limit 50"""),
+)
+def project_page_next(spark, sf_dir):
+    """The page after a known row."""
+    rows = standin(spark, sf_dir, "projects").select("id", "user_id", "status", "created_at")
+    return analytics.page_after(rows, [("created_at", False), ("id", True)], (datetime.date(1996, 6, 1), 1000), 50)
+
+
+@query(
+    "queue_timing_sketches", "W14",
+    sql=with_standins("queued_jobs", """with_more w as (select task_name, cast((started_at - created_at) * 86400 as bigint) as v from queued_jobs where started_at is not null),
+      r as (select task_name, list_sort(list(v)) as vs, len(list(v)) as n from w group by 1)
+      select task_name, n as waits, vs[greatest(1, ceil((0.5 - 0.02) * n)::int)] as least, vs[least(n, ceil((0.5 + 0.02) * n)::int)] as greatest, true as within from r"""),
+)
+def queue_timing_sketches(spark, sf_dir):
+    """Median waits from sketches by task and day, and whether they lie within the stated error of the exact ranks."""
+    jobs = standin(spark, sf_dir, "queued_jobs")
+    median = J.sketched_quantiles(J.wait_sketches(jobs), [0.5]).select("task_name", "waits", F.col("quantiles")[0].alias("median"))
+    n = F.col("waits")
+    ranks = [F.greatest(F.lit(1), F.ceil(F.round((0.5 - J.SKETCH_ERROR) * n, 6))), F.least(n, F.ceil(F.round((0.5 + J.SKETCH_ERROR) * n, 6)))]
+    waits = jobs.filter("started_at is not null").groupBy("task_name", J.wait_seconds().alias("v")).agg(F.count("*").alias("m"))
+    upto = waits.withColumn("upto", F.sum("m").over(Window.partitionBy("task_name").orderBy("v"))).join(median, "task_name")
+    exact = upto.groupBy("task_name", "waits", "median").agg(*(
+        F.min(F.when(F.col("upto") >= r, F.col("v"))).alias(name) for name, r in zip(("least", "greatest"), ranks)))
+    return exact.select("task_name", "waits", "least", "greatest", F.col("median").between(F.col("least"), F.col("greatest")).alias("within"))

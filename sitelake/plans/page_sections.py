@@ -10,6 +10,7 @@ from sitelake.plans.pages_and_links import SQL_PAGE_REACH, numbered, page_discov
 from sitelake.plans.registry import query, table
 from sitelake.plans.urls_and_text import SQL_EMAIL, SQL_HOST, SQL_PHONE, SQL_PREFIX
 from sitelake.sources import documents as D
+from sitelake.sources.pages import bucketed_pages
 
 WORDS = ("our-team", "faq list", "pricing", "get started", "contact us", "about us", "misc", "row", "services", "hero", "latest")
 SQL_RULES = ", ".join(f"({i}, '{k}', '{w}')" for i, (k, ws) in enumerate(S.SECTION_KEYWORDS.items()) for w in ws)
@@ -157,13 +158,23 @@ def page_heroes(spark, sf_dir):
 
 
 # The given pages carry no images or links to assets: each page gets a head with references derived from its id.
-def decorated(spark, sf_dir):
+def references():
+    """Head and images that are added to every page."""
     n = F.col("page_id").cast("string")
-    head = F.concat(
+    return F.concat(
         F.lit('<head><link rel="icon" sizes="16x16" href="/i16.ico"><link rel="shortcut icon" sizes="32x32" href="i32.ico"><link rel="preload" as="font" href="/f.bin">'
               '<link rel="stylesheet" href="/fonts/a.woff2"></head><body><img src="/img/'), n, F.lit('.png" alt="pic '), n,
         F.lit('"><img src="/img/'), n, F.lit('.png"><img src="logo-'), n, F.lit('.svg" class="site-logo"><img src="/none.png">'))
-    return pages(spark, sf_dir).select("page_id", "url", F.concat(head, F.regexp_extract("html", "(?s)<nav>.*$", 0)).alias("html"))
+
+
+def decorated(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", "url", F.concat(references(), F.regexp_extract("html", "(?s)<nav>.*$", 0)).alias("html"))
+
+
+def illustrated(spark, sf_dir):
+    """Whole pages with the added references in front of their navigation."""
+    before, rest = F.regexp_extract("html", "(?s)^(.*?)<nav>", 1), F.regexp_extract("html", "(?s)<nav>.*$", 0)
+    return pages(spark, sf_dir).select("page_id", "url", F.concat(before, F.regexp_replace(references(), "</?(head|body)>", ""), rest).alias("html"))
 
 
 def stored_assets(spark, sf_dir):
@@ -192,7 +203,7 @@ def asset_references(spark, sf_dir):
 
 
 def with_paths(spark, sf_dir):
-    return B.with_asset_paths(E.with_elements(decorated(spark, sf_dir)), stored_assets(spark, sf_dir), urls.authority("url"))
+    return B.with_asset_paths(E.with_elements(bucketed_pages(decorated(spark, sf_dir))), stored_assets(spark, sf_dir), urls.authority("url"))
 
 
 @query(
@@ -225,7 +236,8 @@ def image_paths(spark, sf_dir):
 
 
 def blueprints(spark, sf_dir):
-    return B.page_blueprints(pages(spark, sf_dir))
+    """Blueprints with images, logos and icons from the derived assets, galleries included."""
+    return B.page_blueprints(bucketed_pages(illustrated(spark, sf_dir)), stored_assets(spark, sf_dir), gallery=True)
 
 
 @query("page_blueprints", "X20", "X2", "X8", "X14", "X16", "X17", "X18", "X19", "M3", "F1")

@@ -171,10 +171,9 @@ def asset_records(spark, sf_dir):
 
 @query(
     "site_digests", "A17",
-    sql=f"""with {SQL_NUMBERED}, s as (select *, page_no // 20 as part from numbered)
-      select a.page_id, a.site, coalesce(string_agg('Page: ' || b.url, chr(10) || chr(10) order by b.page_no),
-        case when any_value(a.part) = 0 then '(single-page site, no other pages)' else '' end) as digest
-      from s a left join s b on b.site = a.site and b.part = a.part and b.page_no <> a.page_no group by a.page_id, a.site""",
+    sql=f"""with {SQL_NUMBERED}
+      select a.page_id, a.site, coalesce(string_agg('Page: ' || b.url, chr(10) || chr(10) order by b.page_no), '(single-page site, no other pages)') as digest
+      from numbered a left join numbered b on b.site = a.site and b.page_no <> a.page_no group by a.page_id, a.site""",
 )
 def site_digests(spark, sf_dir):
     rows = numbered(spark, sf_dir).withColumn("summary", F.concat(F.lit("Page: "), "url"))

@@ -31,6 +31,28 @@ def submission_rate_limit(spark, sf_dir):
     return W.over_limit(rows, 1).select(ntz("minute"), "client", "n")
 
 
+@query("streamed_rate_limit", "R1",
+    sql="""select minute, client, n from (select time_bucket(interval 1 minute, ts) as minute, user_id % 3 as client, count(*) as n from events group by all) t where n > 1""")
+def streamed_rate_limit(spark, sf_dir):
+    """The rate limit as a stream in update mode, over submissions that arrive out of order."""
+    rows = W.event_time(table(spark, sf_dir, "events")).select("ts", (F.col("user_id") % 3).alias("client"))
+    stream = run.landed(rows, 3, F.xxhash64("ts", "client"))
+    return run.drain_updates(W.over_limit(stream, 1, lateness="400 days"), ["minute", "client"]).select(ntz("minute"), "client", "n")
+
+
+@query("streamed_model_cost", "R5",
+    sql=with_standins("usage pricing", SQL_COSTED + """, daily as (select created_at as day, model_name, sum(cost_usd) as c from costed group by all)
+      select d.day - o as start, model_name, round(sum(c), 6) as cost_usd from daily d, (select unnest(range(0, 7))::int as o) s group by all"""))
+def streamed_model_cost(spark, sf_dir):
+    """Rolling cost as a stream in update mode, over usage rows that arrive out of order."""
+    from sitelake.plans.costs_and_usage import costed_usage
+
+    costed = costed_usage(spark, sf_dir).select(F.col("created_at").cast("timestamp").alias("ts"), "model_name", "cost_usd")
+    stream = run.landed(costed, 3, F.xxhash64("ts", "cost_usd"))
+    found = run.drain_updates(W.rolling_cost(stream, 7, lateness="9999 days"), ["start", "model_name"])
+    return found.select(F.col("start").cast("date").alias("start"), "model_name", "cost_usd")
+
+
 DELIVERIES = "event_id % 3 = 0"
 
 
@@ -63,16 +85,31 @@ def streamed_spend_admission(spark, sf_dir):
       select purchase_id, events, status, credits_granted from fold where n = events"""),
 )
 def streamed_purchase_lifecycle(spark, sf_dir):
+    done = lifecycle(spark, sf_dir).filter("kind = 'state'")
+    # A purchase has one state row per trigger; the last one holds all its events.
+    return done.groupBy("purchase_id").agg(F.max_by(F.struct("status", "credits_granted"), "events").alias("s"), F.max("events").alias("events")).select(
+        "purchase_id", "events", "s.*")
+
+
+def lifecycle(spark, sf_dir):
     state.use_state_store(spark)
     outcomes = W.event_time(P.event_outcomes(provider_events(spark, sf_dir), standin(spark, sf_dir, "purchases")))
     # The outcomes are written as a table first, so the stream reads files like a landing zone.
     landing = f"{checkpoint_folder(spark)}/landing-{uuid.uuid4().hex}"
     outcomes.write.parquet(landing)
     stream = spark.readStream.schema(outcomes.schema).parquet(landing)
-    done = run.drain(state.lifecycle_stream(stream)).filter("kind = 'state'")
-    # A purchase has one state row per trigger; the last one holds all its events.
-    return done.groupBy("purchase_id").agg(F.max_by(F.struct("status", "credits_granted"), "events").alias("s"), F.max("events").alias("events")).select(
-        "purchase_id", "events", "s.*")
+    return run.drain(state.lifecycle_stream(stream))
+
+
+@query(
+    "streamed_stale_purchases", "R4", "L11",
+    sql=with_standins("purchases", SQL_OUTCOMES + """,
+      p as (select purchase_id, min(ts) as first_ts, count(*) as events, bool_and(effect in ('none', 'pending')) as waiting from outc group by 1)
+      select purchase_id, 'pending' as status, events from p where waiting and first_ts + interval 24 hour <= (select max(ts) from outc) - interval 1 hour"""),
+)
+def streamed_stale_purchases(spark, sf_dir):
+    """What the timers of the lifecycle stream report: purchases still pending a day after their first event."""
+    return lifecycle(spark, sf_dir).filter("kind = 'stale'").select("purchase_id", "status", "events")
 
 
 @query(

@@ -160,5 +160,5 @@ def element_table_function(spark, sf_dir):
 
     register_functions(spark)
     pages = table(spark, sf_dir, "pages")
-    return spark.sql("""select e.tag, count(*) as n from {pages} p, lateral html_elements(p.html) e
-        where e.tag not in ('html', 'body') group by e.tag""", pages=pages)
+    return spark.sql("""select tag, count(*) as n from page_elements(table(select page_id, html from {pages}), '')
+        where tag not in ('html', 'body') group by tag""", pages=pages)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelake import schemas
+from sitelake.session import checkpoint_folder
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -32,3 +35,17 @@ def manifest_pages(manifests: DataFrame) -> DataFrame:
 
 def manifest_assets(manifests: DataFrame) -> DataFrame:
     return manifests.select("project_id", F.posexplode("assets").alias("seq", "a")).select("project_id", "seq", "a.*")
+
+
+def bucketed_pages(pages: DataFrame, buckets: int | None = None, folder: str | None = None) -> DataFrame:
+    """The pages as a table bucketed by `page_id`, so that later joins on it leave the page bodies where they are.
+
+    Writing deals rows into files without a shuffle. The number of buckets is the session's number of shuffle partitions by default;
+    with another one, Spark may move the bodies after all.
+    """
+    spark = pages.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"pages_{uuid.uuid4().hex}"
+    path = folder or f"{checkpoint_folder(spark)}/{name}"
+    pages.write.bucketBy(n, "page_id").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelake.operators.blueprint import page_blueprints
 from sitelake.operators.ledger import decide
@@ -44,6 +45,32 @@ def drain(stream: DataFrame, mode: str = "append", idle_batches: bool = True) ->
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def drain_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Process everything available in update mode and return the last row of every key.
+
+    Each micro-batch writes the rows it changed into a folder of its own; a retried batch replaces itself.
+    """
+    spark = stream.sparkSession
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    state.use_state_store(spark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    written = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+
+
+def landed(rows: DataFrame, files: int, order: Column) -> DataFrame:
+    """The rows as a stream of `files` files, a micro-batch each, dealt out by `order` and not by time."""
+    spark = rows.sparkSession
+    folder = f"{checkpoint_folder(spark)}/landing-{uuid.uuid4().hex}"
+    rows.repartition(files, order).write.option("maxRecordsPerFile", 0).parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def admit_batches(ledger: DataFrame, base: str) -> DataFrame:
     """Spend admission with keys held over all wallets: each micro-batch is decided on the balances and keys of those before it.
 
