@@ -285,16 +285,45 @@ def test_quality(spark, docs):
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), len(covered))
         assert r.n_dup_lines == len(lines) - len(set(lines)) and r.n_symbols == sum((t or "").count(c) for c in "#*$%&|<>")
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.kept and r.base_failed)
-    junk = hashlib.shake_256(b"x").hexdigest(3_000)
-    extra = spark.createDataFrame(
-        [(1, " ".join(junk[k : k + 9] for k in range(0, 6_000, 9))), (2, "\n".join(f"{k} line of text that says the same" for k in range(900)))], "doc_id bigint, text string"
-    )
+
+
+def test_quality_bands_are_learnt(spark):
     import base64
 
+    import numpy as np
+    import zstandard
+
+    rng = random.Random(4)
+    prose = [" ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.randint(150, 420))) for _ in range(160)]
+    symbols = [" ".join(w + rng.choice(["###", "&&&", "***", "%%%"]) for w in t.split()) for t in prose[:6]]
     noise = base64.b85encode(hashlib.shake_256(b"y").digest(6_000)).decode()
-    extra = extra.union(spark.createDataFrame([(3, " ".join(noise[k : k + 9] for k in range(0, 7_000, 9)))], "doc_id bigint, text string"))
-    verdicts = {r.doc_id: r.kept for r in quality.quality(extra).collect()}
-    assert not verdicts[2] and not verdicts[3]
+    texts = prose + symbols + [" ".join(noise[k : k + 19] for k in range(0, 3_000, 19)), None, "", "w x y z"]
+    docs = spark.createDataFrame([(i, t, 1.0, "v") for i, t in enumerate(texts)], "doc_id bigint, text string, ratio double, band string")
+    found = quality.quality(docs)
+    rows = {r.doc_id: r for r in found.collect()}
+    packer = zstandard.ZstdCompressor(level=3)
+    size = lambda t: len(t.encode())
+    ratio = lambda t: size(t) / len(packer.compress(t.encode()))
+    chunks = lambda t: [512 / len(packer.compress(t.encode()[i : i + 512])) for i in range(0, size(t) - 511, 512)]
+    bands, every = defaultdict(list), []
+    for i, t in enumerate(texts):
+        if t and not rows[i].base_failed:
+            bands[math.floor(2 * math.log2(size(t)))].append(math.floor(ratio(t) * 100))
+            every += [math.floor(c * 100) for c in chunks(t)]
+
+    def limits(values, up, down):
+        low, middle, high = ((np.percentile(values, q) + 0.5) / 100 for q in (25, 50, 75))
+        return middle - down * max(middle - low, 0.01) / 0.6745, middle + up * max(high - middle, 0.01) / 0.6745
+
+    low, high = limits(every, 2.5, 3.75)
+    for i, t in enumerate(texts):
+        band = bands[math.floor(2 * math.log2(size(t)))] if t else []
+        least, most = limits(band, 3.0, 4.5) if len(band) >= quality.FEWEST else quality.WIDE
+        bad = sum(not low <= c <= high for c in chunks(t or ""))
+        want = "base" if rows[i].base_failed else "repetitive" if ratio(t) > most else "incompressible" if ratio(t) < least else "chunks" if bad > len(chunks(t)) / 3 else "kept"
+        assert (rows[i].verdict, rows[i].n_bad_chunks, rows[i].kept) == (want, bad, want == "kept")
+    assert all(not rows[i].kept for i in range(160, 170)) and sum(rows[i].kept for i in range(160)) >= 155
+    assert {(r.band, r.verdict): r.n for r in quality.band_report(found).collect()} == Counter((r.band, r.verdict) for r in rows.values())
 
 
 def test_toxicity(spark):
