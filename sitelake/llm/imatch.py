@@ -18,10 +18,8 @@ from sitelake.llm.common import arrow_schema, slim, texts_of
 
 #: Terms in more than the first share of the documents say little, terms in fewer than the second are likely slips.
 BAND = (0.05, 1e-4)
-#: The lexicon's bound: the most frequent of the band. A sorted array of 8 bytes each is sent to the executors.
-LEXICON_TERMS = 1 << 18
-#: Texts with fewer terms of the band are fingerprinted from all their terms.
-LEAST_TERMS = 8
+#: Bytes of text in a range of ids.
+RANGE_BYTES = 64_000_000
 #: Random subsets for each of two levels, and how many of a text's terms the finer one keeps on average.
 SUBSETS, KEPT = 32, 2.0
 
@@ -58,49 +56,78 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return slim(docs, text=text_col).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def band_lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND, most: int = LEXICON_TERMS) -> np.ndarray:
-    """Sorted hashes of the terms within the band, at most `most`, the most frequent first."""
+def band_lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
+    """Sorted hashes of all terms within the band.
+
+    A term of the band is in at least `band[1]` of the documents, so there are at most 1 / band[1] times as many as the average
+    document has distinct terms (10,000 times at the default, whatever the number of documents): some tens of MB at most, which the
+    driver and every worker hold.
+    """
     total = docs.count()
-    frequent = document_frequencies(docs, text_col).where((F.col("n") <= band[0] * total) & (F.col("n") >= max(2.0, band[1] * total)))
-    found = frequent.orderBy(F.desc("n"), "term").limit(most).select("term").toArrow().column("term").to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    inside = document_frequencies(docs, text_col).where((F.col("n") <= band[0] * total) & (F.col("n") >= max(2.0, band[1] * total)))
+    return np.sort(inside.select("term").toArrow().column("term").to_numpy().astype(np.int64).view(np.uint64))
 
 
 class _Known(dict):
-    """Term -> (hash, whether the lexicon has it)."""
+    """Term -> its hash if the lexicon has it, else None; of the last used terms."""
 
     def __init__(self, lexicon: np.ndarray):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, term: bytes) -> tuple[int, bool]:
-        h = xxhash.xxh3_64_intdigest(term)
-        i = int(np.searchsorted(self.lexicon, np.uint64(h)))
-        if len(self) > 400_000:
+    def learn(self, terms: list[bytes]) -> None:
+        """Look up many terms at once."""
+        if len(self) > 600_000:
             self.clear()
-        found = self[term] = (h, i < len(self.lexicon) and int(self.lexicon[i]) == h)
-        return found
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
+        if not len(self.lexicon):
+            self.update(dict.fromkeys(terms))
+            return
+        at = np.minimum(np.searchsorted(self.lexicon, hashes), len(self.lexicon) - 1)
+        there = self.lexicon[at] == hashes
+        self.update(zip(terms, (h if has else None for h, has in zip(hashes.tolist(), there.tolist()))))
+
+
+STEP, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h * STEP
+    h ^= h >> np.uint64(29)
+    h *= FINISH
+    return h ^ (h >> np.uint64(32))
+
+
+def subset_hashes(terms: np.ndarray, kept: np.ndarray) -> list[str]:
+    """Six digits of the hash of each subset (row of `kept`) of the sorted terms: places and terms mixed and added up; `-` if empty."""
+    subset, at = np.nonzero(kept)
+    sizes = np.bincount(subset, minlength=len(kept))
+    begins = np.cumsum(sizes) - sizes
+    place = (np.arange(len(at)) - begins[subset]).astype(np.uint64)
+    parts = mixed(terms[at] + place * STEP)
+    ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts, dtype=np.uint64)])
+    sums = mixed(ends[begins + sizes] - ends[begins]) >> np.uint64(40)
+    return [f"{v:06x}" if n else "-" for v, n in zip(sums.tolist(), sizes.tolist())]
 
 
 def fingerprint(text: str, known: _Known) -> tuple[int, list[str], list[str]]:
     """Level, and the hashes of the text's sorted terms in every subset at that level and the next.
 
     At level l a subset keeps each term of the lexicon with probability 2^-l. The level follows the number of terms, so that a subset
-    holds about `KEPT` terms of any text, long or short. An empty subset has the hash `-`.
+    holds about `KEPT` terms of any text, long or short. An empty subset has the hash `-`. A text without any term of the lexicon is
+    told by all its terms.
     """
-    found = [known[t] for t in set(terms_of(text))]
-    inside = [h for h, has in found if has]
-    terms = np.unique(np.array(inside if len(inside) >= LEAST_TERMS else [h for h, _ in found], dtype=np.uint64))
+    found = set(terms_of(text))
+    new = found.difference(known)
+    if new:
+        known.learn(list(new))
+        if len(known) < len(found) or not all(map(known.__contains__, found)):  # the cache was emptied meanwhile
+            known.learn(list(found.difference(known)))
+    inside = [h for h in map(known.__getitem__, found) if h is not None] or list(map(xxhash.xxh3_64_intdigest, found))
+    terms = np.sort(np.array(inside, dtype=np.uint64))
     level = max(0, round(math.log2(max(1, len(terms)) / KEPT)))
-    draws = terms[:, None] ^ SALTS[None, :]
-    draws *= np.uint64(0x9E3779B97F4A7C15)
-    draws ^= draws >> np.uint64(29)
-    draws *= np.uint64(0xBF58476D1CE4E5B9)
-    draws ^= draws >> np.uint64(32)
-    out = []
-    for bits in (level, level + 1):
-        kept = ((draws & np.uint64((1 << bits) - 1)) == 0).T
-        out.append([xxhash.xxh3_64_hexdigest(terms[k].tobytes())[:6] if k.any() else "-" for k in kept])
+    draws = mixed(terms[None, :] ^ SALTS[:, None])
+    out = [subset_hashes(terms, (draws & np.uint64((1 << bits) - 1)) == 0) for bits in (level, level + 1)]
     return level, out[0], out[1]
 
 
@@ -127,9 +154,10 @@ def as_text(f: tuple[int, list[str], list[str]]) -> str:
 def fingerprints(docs: DataFrame, lexicon: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of each row. Null and empty texts have the fingerprint of no terms. No shuffle."""
     out = arrow_schema("doc_id bigint, fingerprint string")
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(lexicon)
+        known = _Known(shared.value)
         for batch in batches:
             prints = [as_text(fingerprint(t, known)) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.string())], schema=out)
@@ -152,7 +180,8 @@ def edited_fingerprints(docs: DataFrame, lexicon: np.ndarray, id_col: str = "doc
     """
     spark = docs.sparkSession
     rows = slim(docs, doc_id=id_col, text=text_col)
-    n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
     cuts = rows.where("doc_id is not null").approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.2 / n_ranges) if n_ranges > 1 else []
     bounds = np.unique(np.array(cuts, dtype=np.float64).astype(np.int64))
 
@@ -190,9 +219,10 @@ def edited_fingerprints(docs: DataFrame, lexicon: np.ndarray, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), packed_schema)], schema=packed_schema)
 
     out = arrow_schema(EDITED)
+    shared = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unpacker = _Known(lexicon), zstandard.ZstdDecompressor()
+        known, unpacker = _Known(shared.value), zstandard.ZstdDecompressor()
         held = None  # range, id, text, fingerprint of the document whose successor comes next
         done: list[tuple] = []
 

@@ -358,6 +358,36 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, nothing).where("score > 0").count() == 0
 
 
+def brute_fingerprint(text, lexicon):
+    import xxhash
+
+    whole = (1 << 64) - 1
+
+    def mix(h):
+        h = h * 0x9E3779B97F4A7C15 & whole
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & whole
+        return h ^ h >> 32
+
+    words = {w for w in "".join(c if not c.isascii() or c.isalnum() else " " for c in text.translate({c: c + 32 for c in range(65, 91)})).split(" ") if w}
+    hashes = {xxhash.xxh3_64_intdigest(w.encode()) for w in words}
+    terms = sorted(hashes & lexicon or hashes)
+    level = max(0, round(math.log2(max(1, len(terms)) / 2)))
+    out = []
+    for bits in (level, level + 1):
+        subsets = [[t for t in terms if mix(t ^ xxhash.xxh3_64_intdigest(b"subset", seed=r)) % (1 << bits) == 0] for r in range(32)]
+        out.append([f"{mix(sum(mix(t + i * 0x9E3779B97F4A7C15 & whole) for i, t in enumerate(s)) & whole) >> 40:06x}" if s else "-" for s in subsets])
+    return level, *out
+
+
+def test_fingerprints_like_brute_force(spark, docs):
+    lexicon = imatch.band_lexicon(docs)
+    counts = Counter(w for _, t in ROWS for w in set(imatch.terms_of(t or "")))
+    assert len(lexicon) == sum(2 <= n <= 0.05 * len(ROWS) for n in counts.values())
+    known = imatch._Known(lexicon)
+    for _, t in ROWS:
+        assert imatch.fingerprint(t or "", known) == brute_fingerprint(t or "", set(lexicon.tolist()))
+
+
 def test_imatch(spark, docs):
     rows = [r for r in ROWS if r[0] is not None and r[0] != ROWS[3][0]]
     given = docs.where(f"doc_id is not null and doc_id <> {ROWS[3][0]}")
