@@ -106,10 +106,10 @@ def reveal_gaps(pairs: DataFrame, css_files: DataFrame) -> DataFrame:
     return open_pairs.select("site", "file", "hidden", "reveal", F.concat(a, b, F.lit(OVERRIDE)).alias("fix"))
 
 
-def audit_report(pages: DataFrame, gaps: DataFrame, palettes: DataFrame) -> DataFrame:
+def audit_report(pages: DataFrame, gaps: DataFrame, palettes: DataFrame, sitemaps: DataFrame) -> DataFrame:
     """Per site: images without alt, pages without share tags, low-contrast pairs and reveal fixes.
 
-    `pages` carries `site`, `file` and `elements`; `palettes` carries `site` and `warnings`.
+    `pages` carries `site`, `file` and `elements`; `palettes` carries `site` and `warnings`; `sitemaps` the sites that have one.
     """
     per_page = pages.select(
         "site",
@@ -119,9 +119,10 @@ def audit_report(pages: DataFrame, gaps: DataFrame, palettes: DataFrame) -> Data
     counts = per_page.groupBy("site").agg(F.count("*").alias("files"), F.sum("no_alt").alias("alt_added"), F.count_if("no_tags").alias("tags_added"))
     fixes = gaps.groupBy("site").agg(F.count("*").alias("reveal_fixes"))
     joined = counts.join(fixes, "site", "left").join(palettes.select("site", F.size("warnings").alias("contrast_warnings")), "site", "left")
+    joined = joined.join(sitemaps.select("site", F.lit(True).alias("sitemap_written")).distinct(), "site", "left")
     return joined.select(
         "site", "files", "alt_added", "tags_added", F.coalesce("reveal_fixes", F.lit(0)).alias("reveal_fixes"),
-        F.coalesce("contrast_warnings", F.lit(0)).alias("contrast_warnings"), F.lit(True).alias("sitemap_written"),
+        F.coalesce("contrast_warnings", F.lit(0)).alias("contrast_warnings"), F.coalesce("sitemap_written", F.lit(False)).alias("sitemap_written"),
     )
 
 

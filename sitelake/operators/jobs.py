@@ -186,12 +186,19 @@ def project_listing(projects: DataFrame, users: DataFrame, jobs: DataFrame) -> D
     return projects.join(owners, "user_id").join(tiers, "id", "left")
 
 
-def project_detail(projects: DataFrame, users: DataFrame, jobs: DataFrame, outputs: DataFrame, job_costs: DataFrame) -> DataFrame:
-    """One row per (project, job) with owner, output and cost; rows stay flat so a project may own any number of jobs."""
+def project_detail(
+    projects: DataFrame, users: DataFrame, jobs: DataFrame, outputs: DataFrame, job_costs: DataFrame, versions: DataFrame, paid: DataFrame
+) -> DataFrame:
+    """One row per (project, job) with owner, current blueprint, the owner's paid tiers, output and cost.
+
+    Rows stay flat so a project may own any number of jobs. `versions` is what `versions` gives, `paid` what `ledger.paid_tiers` gives.
+    """
     heads = projects.select(F.col("id").alias("project_id"), "user_id", "source_url", "status").join(
         users.select(F.col("id").alias("user_id"), "email"), "user_id"
     )
     runs = jobs.select(F.col("id").alias("job_id"), "project_id", "tier", "overall_status", F.col("created_at").alias("job_created_at"))
+    current = versions.filter("is_current").select("project_id", F.col("id").alias("blueprint_id"), F.col("version").alias("blueprint_version"))
+    heads = heads.join(current, "project_id", "left").join(paid.withColumnRenamed("tiers", "paid_tiers"), ["user_id", "project_id"], "left")
     details = runs.join(outputs.select("job_id", "template_used"), "job_id", "left").join(job_costs, "job_id", "left")
     return heads.join(details, "project_id", "left")
 

@@ -190,17 +190,21 @@ def page_batches(pages: DataFrame, size: int = 4) -> DataFrame:
     return rest.select(*columns).unionByName(home.select(*columns))
 
 
-def briefs(pages: DataFrame, images: DataFrame, part_pages: int = MAX_PAGES) -> DataFrame:
-    """One text per site, or part of a large one: file map, page list and sorted image list with a fixed line when there is none."""
+def briefs(pages: DataFrame, images: DataFrame, documents: DataFrame | None = None, part_pages: int = MAX_PAGES) -> DataFrame:
+    """One text per site, or part of a large one: file map, page list, document and sorted image list with a fixed line when there is none.
+
+    `documents` has site, part and document, the design document of those pages; a part without one has none in its brief.
+    """
     kept = with_part(pages, part_pages)
     lines = kept.groupBy("site", "part").agg(F.array_sort(F.collect_list(F.struct("page_no", "url", "file"))).alias("p"))
     names = kept.select("site").distinct().join(images.select("site", "name").distinct(), "site").groupBy("site").agg(
         F.array_sort(F.collect_list("name")).alias("names")
     )
     joined = lines.join(names, "site", "left")
+    joined = joined.withColumn("document", F.lit(None).cast("string")) if documents is None else joined.join(documents, ["site", "part"], "left")
     image_list = F.when(F.coalesce(F.size("names"), F.lit(0)) <= 0, "(no images available)").otherwise(
         F.array_join(F.transform("names", lambda n: F.concat(F.lit("- images/"), n)), "\n")
     )
     file_map = F.array_join(F.transform("p", lambda x: F.concat(x["url"], F.lit(" -> "), x["file"])), "\n")
     page_list = F.array_join(F.transform("p", lambda x: F.concat(F.lit("- "), x["file"])), "\n")
-    return joined.select("site", "part", F.concat_ws("\n\n", file_map, page_list, image_list).alias("brief"))
+    return joined.select("site", "part", F.concat_ws("\n\n", file_map, page_list, "document", image_list).alias("brief"))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sitelake.operators import analytics, costs, jobs as J
+from sitelake.operators import analytics, costs, jobs as J, ledger as L
 from sitelake.operators.skew import first_n_per_key
 from sitelake.plans.costs_and_usage import TIERS, SQL_COSTED, costed_usage
 from sitelake.plans.registry import query, table
@@ -22,7 +22,7 @@ SQL_TIERS = "(values ('basic', 1), ('pro', 2)) t(tier, sort_order)"
 SNAPSHOTS = """select cast(l_orderkey as varchar(20)) || '-' || cast(l_partkey as varchar(20)) || '-' || cast(l_linenumber as varchar(20))
       || '-' || cast(l_suppkey as varchar(20)) as id,
     l_orderkey as project_id, l_linenumber as page_count,
-    case when l_returnflag <> 'R' then cast(l_shipdate as date) end as finished_at from {lineitem} where l_quantity > 25"""
+    case when l_returnflag <> 'R' then cast(l_shipdate as date) end as finished_at from {lineitem}"""
 
 
 def jobs(spark, sf_dir):
@@ -223,16 +223,30 @@ def project_listing(spark, sf_dir):
 
 @query(
     "project_detail", "J23",
-    sql=with_standins("projects users jobs outputs usage pricing", SQL_COSTED + """, c as (select job_id, round(sum(cost_usd), 6) as cost_usd from costed group by 1)
-        select p.id as project_id, p.user_id, p.source_url, p.status, u.email, j.id as job_id, j.tier, j.overall_status, j.created_at as job_created_at,
-            o.template_used, c.cost_usd
+    sql=with_standins("projects users jobs outputs usage pricing", SQL_COSTED + """, c as (select job_id, round(sum(cost_usd), 6) as cost_usd from costed group by 1),
+        b as (select project_id, arg_max(id, (finished_at, id)) as blueprint_id, count(*) as blueprint_version from (select id, project_id, finished_at from (""" + SNAPSHOTS.replace("{lineitem}", "lineitem") + """) s where finished_at is not null) t group by 1),
+        paid as (select user_id, project_id, string_agg(distinct tier, ',' order by tier) as paid_tiers from (
+            select l_suppkey % 5 + o_custkey - o_custkey % 5 as user_id, l_orderkey as project_id, case l_linenumber % 3 when 0 then 'basic' when 1 then 'pro' else 'premium' end as tier
+            from lineitem join orders on o_orderkey = l_orderkey where l_returnflag = 'A') t group by 1, 2)
+        select p.id as project_id, p.user_id, p.source_url, p.status, u.email, b.blueprint_id, b.blueprint_version, paid.paid_tiers,
+            j.id as job_id, j.tier, j.overall_status, j.created_at as job_created_at, o.template_used, c.cost_usd
         from projects p join users u on u.id = p.user_id left join jobs j on j.project_id = p.id left join outputs o on o.job_id = j.id
-        left join c on c.job_id = j.id"""),
+        left join c on c.job_id = j.id left join b on b.project_id = p.id left join paid on paid.user_id = p.user_id and paid.project_id = p.id"""),
 )
 def project_detail(spark, sf_dir):
     per_job = costed_usage(spark, sf_dir).groupBy("job_id").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    blueprints = snapshots(spark, sf_dir).filter("finished_at is not null").select("id", "project_id", F.col("finished_at").alias("created_at"))
+    # Download charges of wallets, of which some are not the owner's: those never show.
+    bought = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    tier = F.when(F.col("l_linenumber") % 3 == 0, "basic").when(F.col("l_linenumber") % 3 == 1, "pro").otherwise("premium")
+    owner = F.col("l_suppkey") % 5 + F.col("o_custkey") - F.col("o_custkey") % 5
+    ledger = bought.select(
+        F.lit("download_spend").alias("reason"), F.concat_ws(":", F.lit("download_spend"), "l_orderkey", tier).alias("idempotency_key"),
+        F.col("l_orderkey").alias("related_project_id"), owner.alias("wallet_id"))
+    wallets = standin(spark, sf_dir, "users").select(F.col("id").alias("wallet_id"), F.col("id").alias("user_id"))
     return J.project_detail(
-        standin(spark, sf_dir, "projects"), standin(spark, sf_dir, "users"), jobs(spark, sf_dir), standin(spark, sf_dir, "outputs"), per_job
+        standin(spark, sf_dir, "projects"), standin(spark, sf_dir, "users"), jobs(spark, sf_dir), standin(spark, sf_dir, "outputs"), per_job,
+        J.versions(blueprints), L.paid_tiers(ledger, wallets),
     )
 
 

@@ -251,10 +251,14 @@ def covered_digests(spark, sf_dir):
 
 
 def site_rows(spark, sf_dir):
+    from sitelake.plans.palette_and_audit import pixels
+
     page_numbers = numbered(spark, sf_dir).select("page_id", "site", "page_no")
     joined = blueprints(spark, sf_dir).join(page_numbers, "page_id")
     css = palette.css_palettes(joined.filter("page_no = 0"), ["site"])
-    colors = palette.with_palette(page_numbers.select("site").distinct(), css, css.limit(0))
+    # Colours of the picture of the first page of a site, where its style text has none.
+    pictures = palette.image_palettes(pixels(spark, sf_dir).join(page_numbers.filter("page_no = 0"), F.col("vec_id") == F.col("page_id")), "site")
+    colors = palette.with_palette(page_numbers.select("site").distinct(), css, pictures)
     return B.site_blueprints(joined, colors)
 
 
@@ -332,10 +336,19 @@ def site_admission(spark, sf_dir):
 @query(
     "share_tags", "A20",
     sql=rf"""select page_id, x.property, x.content from (select page_id, unnest([{{'property': 'og:type', 'content': 'website'}},
-        {{'property': 'og:title', 'content': trim({unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")})}}, {{'property': 'og:url', 'content': 'page-' || page_id || '.html'}}]) as x from pages) t
+        {{'property': 'og:title', 'content': case when page_id % 3 = 0 then {SQL_HOST} else trim({unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) end}},
+        {{'property': 'og:description', 'content': case when page_id % 2 = 0 then 'About ' || {SQL_HOST} else '' end}},
+        {{'property': 'og:image', 'content': case when page_id % 5 > 0 then 'images/logo-' || page_id || '.svg' else '' end}},
+        {{'property': 'og:url', 'content': 'page-' || page_id || '.html'}}]) as x from pages) t
       where x.content <> ''""",
 )
 def share_tags(spark, sf_dir):
-    file = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html"))
-    rows = E.with_elements(pages(spark, sf_dir)).select("page_id", F.explode(audit.share_tags(file, F.lit(""), F.lit(""))).alias("t"))
+    """Share tags of pages of which some have no title, some a description and most a logo."""
+    number, site = F.col("page_id").cast("string"), urls.authority("url")
+    about = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta name="description" content="About '), site, F.lit('">'))).otherwise("")
+    untitled = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "<title>[^<]*</title>", "")).otherwise(F.col("html"))
+    rows = pages(spark, sf_dir).select("page_id", "url", F.concat(F.regexp_extract(untitled, "(?s)^(.*?<head[^>]*>)", 1), about, F.regexp_replace(untitled, "(?s)^.*?<head[^>]*>", "")).alias("html"))
+    logo = F.when(F.col("page_id") % 5 > 0, F.concat(F.lit("image/logo-"), number, F.lit(".svg"))).otherwise("")
+    tags = audit.share_tags(F.concat(F.lit("page-"), number, F.lit(".html")), site, logo)
+    rows = E.with_elements(rows).select("page_id", F.explode(tags).alias("t"))
     return rows.select("page_id", "t.property", "t.content")

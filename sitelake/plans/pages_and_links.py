@@ -196,13 +196,19 @@ def page_batches(spark, sf_dir):
       i as (select distinct site, 'img-' || page_id % 3 || '.png' as name from s where page_id % 2 = 0),
       il as (select site, string_agg('- images/' || name, chr(10) order by name) as t from i group by site)
       select s.site, s.part, string_agg(url || ' -> ' || file, chr(10) order by page_no) || chr(10) || chr(10) || string_agg('- ' || file, chr(10) order by page_no)
-        || chr(10) || chr(10) || coalesce(max(t), '(no images available)') as brief
-      from s left join il on il.site = s.site group by s.site, s.part""",
+        || chr(10) || chr(10) || coalesce('# ' || arg_min(title, page_no) filter (where page_id % 3 > 0) || chr(10) || chr(10), '')
+        || coalesce(max(t), '(no images available)') as brief
+      from s left join il on il.site = s.site join (select page_id, trim({unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) as title from pages) h using (page_id)
+      group by s.site, s.part""",
 )
 def site_briefs(spark, sf_dir):
     rows = numbered(spark, sf_dir)
     images = rows.filter("page_id % 2 = 0").select("site", F.concat(F.lit("img-"), (F.col("page_id") % 3).cast("string"), F.lit(".png")).alias("name"))
-    return G.briefs(rows, images)
+    # The title of the first page of each part that has a document.
+    titled = E.with_elements(pages(spark, sf_dir).filter("page_id % 3 > 0")).select("page_id", E.joined_text(E.first_element(F.col("elements"), E.by_tag("title"))).alias("title"))
+    titled = titled.join(rows.select("page_id", "site", "page_no"), "page_id")
+    documents = G.with_part(titled).groupBy("site", "part").agg(F.concat(F.lit("# "), F.min_by("title", "page_no")).alias("document"))
+    return G.briefs(rows, images, documents)
 
 
 @query(

@@ -10,6 +10,7 @@ from sitelake.plans.page_sections import decorated
 from sitelake.plans.pages_and_links import numbered
 from sitelake.plans.registry import query, table
 from sitelake.plans.urls_and_text import SQL_HOST
+from sitelake.sources import documents as D
 
 STYLES = """select p_brand as site, p_partkey, 'a{{color:#' || left(md5(p_name), 6) || '}} b{{color:#' || upper(left(md5(p_type), 3)) || '}} c{{background:rgb('
     || cast(p_partkey % 300 as varchar(5)) || ', ' || cast(p_size * 5 as varchar(5)) || ',' || cast(p_partkey % 90 as varchar(5)) || ')}}' as css from {part}"""
@@ -72,7 +73,7 @@ def brand_palettes(spark, sf_dir):
 
 SQL_HISTOGRAM = """hist as (select vec_id as site, printf('#%02x%02x%02x', cast(floor((least(greatest(embedding[i], -0.5), 0.5) + 0.5) * 255) as int),
       cast(floor((least(greatest(embedding[i + 1], -0.5), 0.5) + 0.5) * 255) as int), cast(floor((least(greatest(embedding[i + 2], -0.5), 0.5) + 0.5) * 255) as int)) as color,
-      1 + i * 7 % 50 as n from embeddings, (select unnest([1, 4, 7, 10, 13, 16, 19, 22, 25, 28, 31, 34]) as i) s),
+      1 + i * 7 % 50 as n from embeddings, (select unnest([1, 4, 7, 10, 13, 16, 19, 22, 25, 28, 31, 34, 37, 40, 43, 46, 49, 52, 55, 58, 61, 62]) as i) s),
   lit as (select * from hist),
   counted as (select site, color, sum(n) as n from hist group by all),
   {vivid},
@@ -83,15 +84,19 @@ SQL_HISTOGRAM = """hist as (select vec_id as site, printf('#%02x%02x%02x', cast(
 
 @query("image_palettes", "A13", sql=f'with recursive {SQL_HISTOGRAM} select site as vec_id, "primary", secondary, accent from pal')
 def image_palettes(spark, sf_dir):
-    starts = F.explode(F.array(*[F.lit(i) for i in range(1, 35, 3)])).alias("i")
+    return P.image_palettes(pixels(spark, sf_dir), "vec_id")
+
+
+def pixels(spark, sf_dir):
+    """All components of the embeddings, three at a time, read as counted colours."""
+    starts = F.explode(F.array(*[F.lit(i) for i in (*range(1, 62, 3), 62)])).alias("i")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", starts)
 
     def level(offset: int):
         v = F.element_at("embedding", F.col("i") + offset)
         return F.floor((F.least(F.greatest(v, F.lit(-0.5)), F.lit(0.5)) + 0.5) * 255)
 
-    histogram = rows.select("vec_id", level(0).alias("r"), level(1).alias("g"), level(2).alias("b"), (1 + F.col("i") * 7 % 50).alias("n"))
-    return P.image_palettes(histogram, "vec_id")
+    return rows.select("vec_id", level(0).alias("r"), level(1).alias("g"), level(2).alias("b"), (1 + F.col("i") * 7 % 50).alias("n"))
 
 
 @query(
@@ -187,7 +192,8 @@ def reveal_gaps(spark, sf_dir):
       tones as (select site, "primary" as x, secondary as y from pal union all select site, accent, secondary from pal union all select site, "primary", accent from pal),
       low as (select site, count(*) as n from tones where {sql_ratio('x', 'y')} < 4.5 group by site),
       f as (select site, count(*) as files, count(*) * 3 as alt_added, count(*) as tags_added from (select {SQL_HOST} as site from pages) t group by site)
-      select f.*, coalesce(gaps.n, 0)::int as reveal_fixes, coalesce(low.n, 0)::int as contrast_warnings, true as sitemap_written
+      select f.*, coalesce(gaps.n, 0)::int as reveal_fixes, coalesce(low.n, 0)::int as contrast_warnings,
+        f.site in (select {SQL_HOST} from pages group by 1 having count(*) > 1) as sitemap_written
       from f left join gaps on gaps.site = f.site left join low on low.site = f.site""",
 )
 def quality_report(spark, sf_dir):
@@ -198,7 +204,9 @@ def quality_report(spark, sf_dir):
     gaps = audit.reveal_gaps(audit.reveal_pairs(scripts, audit.hidden_classes(sheets)), sheets)
     pairs = P.css_palettes(styles(spark, sf_dir, part), ["site"], "css").select("site", F.explode(P.contrast_pairs(F.struct("primary", "secondary", "accent"))).alias("p"))
     warnings = pairs.filter(F.col("p.ratio") < C.CONTRAST_MINIMUM).groupBy("site").agg(F.collect_list("p.label").alias("warnings"))  # at most three
-    report = audit.audit_report(pages, gaps, warnings)
+    # Sitemaps are written for sites of several pages.
+    several = numbered(spark, sf_dir).join(files.groupBy("site").agg(F.count("*").alias("n")).filter("n > 1"), "site", "left_semi")
+    report = audit.audit_report(pages, gaps, warnings, D.sitemaps(several))
     return report.withColumns({c: F.col(c).cast("int") for c in ("reveal_fixes", "contrast_warnings")})
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitelake.operators import settings as S
+from sitelake.plans.palette_and_audit import sql_luminance, sql_ratio
 from sitelake.plans.registry import query, table
 from sitelake.plans.standins import standin, with_standins
+from sitelake.plans.urls_and_text import SQL_EMAIL, SQL_HOST, SQL_NORMAL, SQL_PHONE
 
 CATEGORY = "split_part(filename, '_', 1)"
 SQL_ACTIVE = "with_more act as (select filename from templates where filename not in (select filename from template_rows where not is_active))\n"
@@ -150,6 +152,41 @@ def column_functions(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr("p_partkey", "site_slugify(p_name) as slug", "site_to_cents(cast(p_retailprice as string)) as cents")
 
 
+@query(
+    "address_functions", "F2", "P1",
+    sql=f"""select page_id, {SQL_HOST} as authority, {SQL_NORMAL} as address from pages""",
+)
+def address_functions(spark, sf_dir):
+    from sitelake.functions.sql import register_functions
+
+    register_functions(spark)
+    return table(spark, sf_dir, "pages").selectExpr("page_id", "site_authority(url) as authority", "site_normalize_url(url) as address")
+
+
+@query(
+    "contact_functions", "F2", "P9",
+    sql=rf"""select doc_id, regexp_extract(text, '{SQL_EMAIL}', 0) as email, trim(regexp_extract(text, '{SQL_PHONE}', 0)) as phone from documents""",
+)
+def contact_functions(spark, sf_dir):
+    from sitelake.functions.sql import register_functions
+
+    register_functions(spark)
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "site_first_email(text) as email", "site_first_phone(text) as phone")
+
+
+SQL_TONES = "t as (select p_partkey, printf('#%02x%02x%02x', (p_partkey % 256)::int, (p_size * 5 % 256)::int, (p_partkey * 7 % 256)::int) as x, '#f0f4f8' as y from part)"
+
+
+@query("contrast_functions", "F2", "A21", sql=f"with {SQL_TONES} select p_partkey, round({sql_luminance('x')}, 6) as luminance, round({sql_ratio('x', 'y')}, 6) as contrast from t")
+def contrast_functions(spark, sf_dir):
+    from sitelake.functions.sql import register_functions
+
+    register_functions(spark)
+    tone = "format_string('#%02x%02x%02x', cast(p_partkey % 256 as int), cast(p_size * 5 % 256 as int), cast(p_partkey * 7 % 256 as int))"
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{tone} as x")
+    return rows.selectExpr("p_partkey", "round(site_luminance(x), 6) as luminance", "round(site_contrast(x, '#f0f4f8'), 6) as contrast")
+
+
 @query(
     "element_table_function", "F3", "X1",
     sql="""select tag, count(*) as n from (select unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'), '<([a-z][a-z0-9]*)', 1)) as tag from pages) t
