@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,18 @@ def register_widget(section: str, extract: Callable[[], Column]) -> None:
     WIDGETS.setdefault(section, []).append(extract)
 
 
+@contextmanager
+def widget(section: str, extract: Callable[[], Column]) -> Iterator[None]:
+    """A widget extractor for the blueprints that are built inside the block."""
+    register_widget(section, extract)
+    try:
+        yield
+    finally:
+        WIDGETS[section].remove(extract)
+        if not WIDGETS[section]:
+            del WIDGETS[section]
+
+
 def widget_testimonials() -> Column:
     """Testimonial widgets: quote, author and role from marked descendants."""
     prefix = "elementor-testimonial"

@@ -245,6 +245,51 @@ def page_blueprints(spark, sf_dir):
     return blueprints(spark, sf_dir).select("page_id", "url", F.to_json("sections").alias("sections"), F.size("navigation").alias("nav_links"))
 
 
+@query(
+    "blueprint_assets", "X20", "X7", "J1", "J2", "W7", "W8",
+    sql=f"""with {SQL_REFS}, found as (select page_id, {SQL_STORED} as path, url from refs
+          where asset_type in ('image', 'icon') and not contains(url, 'none.png') and (asset_type = 'icon' or page_id % 2 = 0 or contains(url, 'logo')))
+      select page_id, max(path) filter (where contains(url, 'logo-')) as logo, max(path) filter (where contains(url, 'i32.ico')) as favicon,
+        string_agg(distinct path, ' ' order by path) filter (where starts_with(path, 'image/')) as images,
+        any_value(trim({unescape("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")})) as headline
+      from found join (select page_id, html from pages) h using (page_id) group by page_id""",
+)
+def blueprint_assets(spark, sf_dir):
+    """Logo, icon, images and headline as whole blueprints have them."""
+    images = F.array_join(F.array_sort(F.transform("all_images", lambda i: i["path"])), " ")
+    return blueprints(spark, sf_dir).select("page_id", "logo", "favicon", images.alias("images"), "sections.hero.headline")
+
+
+def team_widgets():
+    """Members of a marked team box, as a plug-in would mark them."""
+
+    def part(box, name):
+        return E.joined_text(E.first_element(E.descendants(box), lambda e: E.has_class(e, f"x-team__{name}")))
+
+    boxes = F.filter("elements", lambda e: E.has_class(e, "x-team"))
+    return F.transform(boxes, lambda b: F.struct(
+        part(b, "name").alias("name"), part(b, "role").alias("role"), F.lit("").alias("bio"), F.lit(None).cast("string").alias("photo")))
+
+
+@query(
+    "widget_teams", "F1", "X18",
+    sql="select page_id, 'Ann ' || page_id || ' (lead), Bob ' || page_id % 7 || ' (cook)' as team from pages",
+)
+def widget_teams(spark, sf_dir):
+    """A second widget extractor over pages with team boxes, of which one is there twice."""
+    number, other = F.col("page_id").cast("string"), (F.col("page_id") % 7).cast("string")
+
+    def box(name, role):
+        return F.concat(F.lit('<div class="x-team"><b class="x-team__name">'), *name, F.lit(f'</b> <i class="x-team__role">{role}</i></div>'))
+
+    ann, bob = box((F.lit("Ann "), number), "lead"), box((F.lit("Bob "), other), "cook")
+    rows = pages(spark, sf_dir).select("page_id", "url", F.concat(F.regexp_extract("html", "(?s)^(.*)</body>", 1), ann, bob, ann, F.lit("</body></html>")).alias("html"))
+    with B.widget("team", team_widgets):
+        found = B.page_blueprints(rows)
+    members = F.transform("sections.team", lambda m: F.concat(m["name"], F.lit(" ("), m["role"], F.lit(")")))
+    return found.select("page_id", F.array_join(members, ", ").alias("team"))
+
+
 @query("covered_digests", "A16")
 def covered_digests(spark, sf_dir):
     return blueprints(spark, sf_dir).select("page_id", B.covered_digest().alias("digest"))

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from sitelake.operators import elements as E
+from sitelake.operators.blueprint import page_blueprints
 from sitelake.plans.costs_and_usage import SQL_COSTED
 from sitelake.plans.ledger_and_wallets import SQL_FOLD
+from sitelake.plans.pages_and_links import unescape
 from sitelake.plans.payments import SQL_OUTCOMES, provider_events
 from sitelake.operators import payments as P
 from sitelake.plans.registry import query, table
@@ -124,6 +126,23 @@ def rolling_model_cost(spark, sf_dir):
     return W.rolling_cost(costed, 7).select(F.col("start").cast("date").alias("start"), "model_name", "cost_usd")
 
 
+@query(
+    "streamed_blueprints", "R6", "X20", "X7", "X15",
+    sql=rf"""select page_id, trim({unescape("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}) as headline, {unescape("regexp_extract(html, '<a href=.([^>]*).>', 1)")} as cta_href,
+        cast(len(list_filter(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="[^"]*">([^<]*)</a>', 1), lambda l: l <> '')) as int) as links
+      from pages""",
+)
+def streamed_blueprints(spark, sf_dir):
+    """Whole blueprints of new pages, micro-batch by micro-batch."""
+    base = f"{checkpoint_folder(spark)}/blueprints-{uuid.uuid4().hex}"
+
+    def extract(batch):
+        return page_blueprints(batch).select("page_id", "sections.hero.headline", "sections.hero.cta_href", F.size("navigation").alias("links"))
+
+    run.extract_pages(run.table_stream(spark, sf_dir, "pages"), f"{base}/out", f"{base}/state", extract).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("page_id", "headline", "cta_href", "links")
+
+
 @query(
     "streamed_page_elements", "R6",
     sql="""select page_id, count(*) as elements from (select page_id, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'),
