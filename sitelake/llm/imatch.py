@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,23 +70,24 @@ def band_lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, flo
 
 
 class _Known(dict):
-    """Term -> its hash if the lexicon has it, else None; of the last used terms."""
+    """Term -> its hash if the lexicon has it, else 0; of the last used terms."""
 
     def __init__(self, lexicon: np.ndarray):
         super().__init__()
         self.lexicon = lexicon
 
-    def learn(self, terms: list[bytes]) -> None:
-        """Look up many terms at once."""
-        if len(self) > 600_000:
+    def learn(self, terms: list[bytes]) -> bool:
+        """Look up many terms at once; whether others were let go for them."""
+        if full := len(self) > 600_000:
             self.clear()
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
         if not len(self.lexicon):
-            self.update(dict.fromkeys(terms))
-            return
+            self.update(dict.fromkeys(terms, 0))
+            return full
         at = np.minimum(np.searchsorted(self.lexicon, hashes), len(self.lexicon) - 1)
         there = self.lexicon[at] == hashes
-        self.update(zip(terms, (h if has else None for h, has in zip(hashes.tolist(), there.tolist()))))
+        self.update(zip(terms, (h if has else 0 for h, has in zip(hashes.tolist(), there.tolist()))))
+        return full
 
 
 STEP, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -118,12 +120,12 @@ def fingerprint(text: str, known: _Known) -> tuple[int, list[str], list[str]]:
     told by all its terms.
     """
     found = set(terms_of(text))
-    new = found.difference(known)
-    if new:
-        known.learn(list(new))
-        if len(known) < len(found) or not all(map(known.__contains__, found)):  # the cache was emptied meanwhile
-            known.learn(list(found.difference(known)))
-    inside = [h for h in map(known.__getitem__, found) if h is not None] or list(map(xxhash.xxh3_64_intdigest, found))
+    hashes = list(map(known.get, found, repeat(-1)))
+    if -1 in hashes:
+        if known.learn([t for t, h in zip(found, hashes) if h == -1]):
+            known.learn([t for t in found if t not in known])
+        hashes = list(map(known.get, found))
+    inside = list(filter(None, hashes)) or list(map(xxhash.xxh3_64_intdigest, found))
     terms = np.sort(np.array(inside, dtype=np.uint64))
     level = max(0, round(math.log2(max(1, len(terms)) / KEPT)))
     draws = mixed(terms[None, :] ^ SALTS[:, None])
