@@ -38,13 +38,22 @@ def ready(stage: Stage) -> Stage:
 
 @ready
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose noisy-or score is below the threshold; the model learns from labelled ones of its input."""
+    """Documents whose noisy-or score is below the threshold; the model learns from labelled ones of its input.
+
+    Null and empty texts have the least score and stay; equal texts share their fate, so repeated rows stay or go together, and a score
+    equal to the threshold goes. Rows without id are scored and never learnt from. Columns are carried as they are; an empty table gives
+    an empty result.
+    """
     return harmless(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 @ready
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, a row of smallest id, of each group linked by shingles of five words at a similarity of 0.8."""
+    """One document, a row of smallest id, of each group linked by shingles of five words at a similarity of 0.8.
+
+    Rows without id, and null, empty and blank texts, are in no group and stay. Of rows with the smallest id of a group one stays, by a
+    fixed order. Columns are carried as they are; an empty table gives an empty result.
+    """
     rows = with_rows(docs, "near")
     linked = jaccard_components(rows, row_col=ROW).where("component is not null")
     first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "a", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
@@ -76,20 +85,24 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @ready
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the source mix takes them."""
+    """Whole documents as often as the source mix takes them.
+
+    Null, empty and blank texts have nothing to give and go. A null source is a source of its own; rows are told apart by number, so ids
+    may be null or repeated. Columns are carried as they are; an empty table gives an empty result.
+    """
     return mixed_documents(docs)
 
 
 @ready
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every row: doc_id, n_tokens, ids. Null and empty texts have none, equal texts have equal ids; an empty table gives an empty result."""
     return bpe_encode(docs, tokenizer_path(), build_lexicon(docs, tokenizer_path()))
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("passages", passages), ("mix", mix), ("encode", encode),
 ]
-#: Training, suffix order and token ids are beyond SQL; the stages are tested against brute force.
+#: Training, suffix order and token ids are beyond SQL; stages and run() are tested in tests/llm/test_pipeline_rows.py.
 ORACLE_SQL = None
 
 
