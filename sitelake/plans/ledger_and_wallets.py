@@ -84,6 +84,25 @@ def signed_adjustments(spark, sf_dir):
     return L.adjustment_rows(L.admit(requests), requests)
 
 
+BUSY = """select event_id as id, case when event_id % 3 = 0 then -1 else user_id end as wallet_id, ts as created_at,
+    cast(case when event_type in ('click', 'error', 'view') then -floor(value) else floor(value) end as bigint) as amount from {events}"""
+
+
+@query(
+    "busy_wallet_admission", "L2",
+    sql=f"""with recursive req as ({BUSY.replace('{events}', 'events')}),
+    seq as materialized (select *, row_number() over (partition by wallet_id order by created_at, id) as n from req),
+    fold as (select wallet_id, id, amount, n, amount >= 0 as accepted, greatest(amount, 0) as balance from seq where n = 1
+      union all select s.wallet_id, s.id, s.amount, s.n, s.amount >= 0 or f.balance + s.amount >= 0,
+        case when s.amount >= 0 or f.balance + s.amount >= 0 then f.balance + s.amount else f.balance end
+      from fold f join seq s on s.wallet_id = f.wallet_id and s.n = f.n + 1)
+    select wallet_id, id, amount, accepted, balance from fold""",
+)
+def busy_wallet_admission(spark, sf_dir):
+    """Admission where one wallet has a third of all rows, in slices of 500."""
+    return L.admit(spark.sql(BUSY, events=table(spark, sf_dir, "events")), slice_rows=500)
+
+
 @query(
     "missing_signup_grants", "L6",
     sql=with_standins("ledger users", """select id as user_id, 3 as amount, 'signup_grant:' || id as idempotency_key from users
