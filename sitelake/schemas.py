@@ -10,7 +10,7 @@ ROBOTS = "site string, status int, body string, agent string"
 FETCH_LOG = "url string, status int, error string, final_url string, html string"
 STYLE_FILES = "site string, file string, kind string, body string"
 MANIFEST = (
-    "project_id string, source_url string, page_count int, pages array<struct<url:string,http_status:int,storage_path:string>>, "
+    "project_id string, source_url string, page_count int, first_page int, pages array<struct<url:string,http_status:int,storage_path:string>>, "
     "assets array<struct<original_url:string,asset_type:string,storage_path:string,content_type:string>>, _corrupt string"
 )
 PROVIDER_EVENT = "event_id string, event_type string, resource string, ts timestamp"

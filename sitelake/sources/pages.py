@@ -30,7 +30,9 @@ def read_manifests(spark: SparkSession, path: str, multi_line: bool = True) -> D
 
 
 def manifest_pages(manifests: DataFrame) -> DataFrame:
-    return manifests.select("project_id", F.posexplode("pages").alias("page_no", "p")).select("project_id", "page_no", "p.*")
+    """Pages with their number in the site; a manifest that is one part of a site says with `first_page` where it begins."""
+    listed = manifests.select("project_id", F.coalesce("first_page", F.lit(0)).alias("first"), F.posexplode("pages").alias("at", "p"))
+    return listed.select("project_id", (F.col("first") + F.col("at")).alias("page_no"), "p.*")
 
 
 def manifest_assets(manifests: DataFrame) -> DataFrame:
