@@ -93,8 +93,9 @@ def pixels(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", starts)
 
     def level(offset: int):
-        v = F.element_at("embedding", F.col("i") + offset)
-        return F.floor((F.least(F.greatest(v, F.lit(-0.5)), F.lit(0.5)) + 0.5) * 255)
+        # In single precision, as the components are: a double would cut some products at another whole number.
+        v, half, steps = F.element_at("embedding", F.col("i") + offset), F.lit(0.5).cast("float"), F.lit(255).cast("float")
+        return F.floor((F.least(F.greatest(v, -half), half) + half) * steps)
 
     return rows.select("vec_id", level(0).alias("r"), level(1).alias("g"), level(2).alias("b"), (1 + F.col("i") * 7 % 50).alias("n"))
 
