@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,21 +41,24 @@ def idempotent(ledger: DataFrame) -> DataFrame:
     return first.select("r.*", "idempotency_key").select(*names).unionByName(ledger.filter("idempotency_key is null"))
 
 
-def transfer_pieces(amounts: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
-    """How a run of signed amounts moves any starting balance.
+_END = np.iinfo(np.int64).max
+
+
+def transfer_pieces(amounts: Iterable[int], low: int = 0, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How a run of signed amounts moves the starting balances from `low` on, `width` of them or all above.
 
     Returns `(starts, shifts)`: a balance in `[starts[i], starts[i+1])` ends at `balance + shifts[i]`.
     Credits always apply; a debit applies only where the balance covers it.
     """
-    starts, shifts = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    starts, shifts = np.full(1, low, dtype=np.int64), np.zeros(1, dtype=np.int64)
     for amount in amounts:
         if amount >= 0:
             shifts = shifts + amount
             continue
         need = -int(amount)
-        low = starts + shifts
-        high = np.append(starts[1:] + shifts[:-1], np.iinfo(np.int64).max)
-        split = np.flatnonzero((low < need) & (high > need))
+        now = starts + shifts
+        high = np.append(starts[1:] + shifts[:-1], _END if width is None else low + width + shifts[-1])
+        split = np.flatnonzero((now < need) & (high > need))
         if split.size:
             starts = np.insert(starts, split + 1, need - shifts[split])
             shifts = np.insert(shifts, split + 1, shifts[split])
@@ -65,10 +68,11 @@ def transfer_pieces(amounts: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
     return starts, shifts
 
 
-def then(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of one run of amounts followed by another."""
+def then(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of one run of amounts followed by another, over `width` starting balances or all."""
     (starts, shifts), (later, moves) = first, second
-    ends = np.append(starts[1:] + shifts[:-1], np.iinfo(np.int64).max)  # where the balances of a piece end up
+    # Where the balances of a piece end up.
+    ends = np.append(starts[1:] + shifts[:-1], _END if width is None else starts[0] + width + shifts[-1])
     low = np.searchsorted(later, starts + shifts, side="right") - 1
     counts = np.maximum(np.searchsorted(later, ends, side="left") - low, 1)
     piece = np.repeat(np.arange(len(starts)), counts)
@@ -81,14 +85,15 @@ def then(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndar
 
 #: Rows of a wallet that are summarised at a time, and summaries that are chained at a time. They set sizes of work, not results.
 SLICE_ROWS, FAN_IN = 10_000, 64
-_SLICE = "wallet_id long, part long, k long, open boolean, ids array<long>, amounts array<long>, starts array<long>, shifts array<long>"
+_SLICE = "wallet_id long, part long, k long, open boolean, ids array<long>, amounts array<long>, total long, rest long, debit long"
 
 
 def _slices(rows: DataFrame, slice_rows: int) -> DataFrame:
     """Rows in ledger order, cut where the wallet changes and after `slice_rows` rows; part and k order the slices of a wallet.
 
     Rows are dealt out by ranges of wallet and time, so a wallet with a large share of them lies in many partitions. A slice is open
-    if its wallet may have others: only those are summarised.
+    if its wallet may have others: only those are summarised. A slice tells its sum, what it leaves of a balance that is cut off at 0,
+    and its largest debit.
     """
     out = arrow_schema(_SLICE)
 
@@ -98,8 +103,8 @@ def _slices(rows: DataFrame, slice_rows: int) -> DataFrame:
         wallet, k, ids, amounts, first = None, 0, [], [], True
 
         def close(more: bool) -> None:
-            starts, shifts = transfer_pieces(amounts) if more else ((), ())
-            held.append((wallet, part, k, more, list(ids), list(amounts), list(starts), list(shifts)))
+            sums = np.cumsum(np.asarray(amounts, dtype=np.int64))
+            held.append((wallet, part, k, more, list(ids), list(amounts), int(sums[-1]), int(sums[-1] - sums.min()), max(0, -min(amounts))))
             ids.clear()
             amounts.clear()
 
@@ -130,19 +135,51 @@ def _slices(rows: DataFrame, slice_rows: int) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("wallet_id", "id", "amount").mapInArrow(cut, _SLICE)
 
 
+def _placed(slices: DataFrame) -> DataFrame:
+    """wallet_id, part, k of the open slices, `at`, their place in the wallet, and the `width` balances from `low` on they may begin with.
+
+    Cut every debit to what the balance holds: the balance is then low, the running sum above its least value, which sums over slices
+    give. The true one is never lower, as a refused debit takes nothing. It is above low by less than the largest debit: that holds at
+    first, credits and covered debits keep the distance or shorten it, and a debit is refused only by a balance below it.
+    """
+    order = Window.partitionBy("wallet_id").orderBy("part", "k")
+    before, all_of = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("wallet_id")
+    rows = slices.where("open").select("wallet_id", "part", "k", "total", "rest", "debit").withColumns(
+        {"at": F.row_number().over(order).cast("long") - 1, "upto": F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    lift = F.greatest(F.lit(0), F.coalesce(F.max(F.col("rest") - F.col("upto")).over(before), F.lit(0)))
+    return rows.select("wallet_id", "part", "k", "at", (F.col("upto") - F.col("total") + lift).alias("low"), F.greatest(F.max("debit").over(all_of), F.lit(1)).alias("width"))
+
+
+_PIECES = "wallet_id long, at long, width long, starts array<long>, shifts array<long>"
+
+
+def _summarised(placed: DataFrame) -> DataFrame:
+    """The pieces of every open slice, over the balances it may begin with: no more of them than its wallet's largest debit."""
+    out = arrow_schema(_PIECES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for wallet, at, low, width, amounts in zip(*(batch.column(c).to_pylist() for c in ("wallet_id", "at", "low", "width", "amounts"))):
+                starts, shifts = transfer_pieces(amounts, low, width)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((wallet, at, width, starts, shifts), out)], schema=out)
+
+    return placed.select("wallet_id", "at", "low", "width", "amounts").mapInArrow(run, _PIECES)
+
+
 def _composed(pieces: DataFrame) -> DataFrame:
     """One summary for each group (wallet_id, up) of summaries, in the order of `at`; a group has as many as a level holds."""
 
     def compose(group: pd.DataFrame) -> pd.DataFrame:
+        width = int(group["width"].iloc[0])
         parts = [(np.asarray(r.starts), np.asarray(r.shifts)) for r in group.sort_values("at").itertuples()]
-        starts, shifts = reduce(then, parts)
-        return pd.DataFrame({"wallet_id": group["wallet_id"][:1], "at": group["up"][:1], "starts": [starts], "shifts": [shifts]})
+        starts, shifts = reduce(lambda a, b: then(a, b, width), parts)
+        return pd.DataFrame({"wallet_id": group["wallet_id"][:1], "at": group["up"][:1], "width": [width], "starts": [starts], "shifts": [shifts]})
 
-    return pieces.groupBy("wallet_id", "up").applyInPandas(compose, "wallet_id long, at long, starts array<long>, shifts array<long>")
+    return pieces.groupBy("wallet_id", "up").applyInPandas(compose, _PIECES)
 
 
 def _opened(pieces: DataFrame, opening: DataFrame | None) -> DataFrame:
-    """Opening balance of every piece (wallet_id, up, at) from that of its group (wallet_id, up); 0 without groups above."""
+    """Opening balance of every piece (wallet_id, at) from that of its group (wallet_id, up); 0 without groups above."""
     slices = F.array_sort(F.collect_list(F.struct("at", "starts", "shifts")))
     groups = pieces.groupBy("wallet_id", "up").agg(slices.alias("slices"))
     groups = groups.withColumn("opening", F.lit(0).cast("long")) if opening is None else groups.join(
@@ -156,31 +193,29 @@ def _opened(pieces: DataFrame, opening: DataFrame | None) -> DataFrame:
         entry = F.struct(part["at"].alias("at"), balance.alias("opening"))
         return F.struct((balance + F.element_at(part["shifts"], piece)).alias("balance"), F.concat(acc["out"], F.array(entry)).alias("out"))
 
-    return groups.select("wallet_id", "up", F.inline(F.aggregate("slices", seed, step)["out"]))
+    return groups.select("wallet_id", F.inline(F.aggregate("slices", seed, step)["out"]))
 
 
 def slice_openings(slices: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """wallet_id, part, k, opening of the open slices.
 
-    Summaries are composed upwards, all slices of a part first, then `fan_in` parts at a time, until a wallet has one group; opening
-    balances then come down the same levels. The number of levels is the logarithm of the number of parts.
+    Summaries are composed upwards, `fan_in` at a time, until a wallet has one group; opening balances then come down the same levels.
+    The number of levels is the logarithm of the number of slices of a wallet.
     """
-    pieces = slices.where("open").select("wallet_id", F.col("part").alias("up"), F.col("k").alias("at"), "starts", "shifts")
-    parts = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # Spark may have joined some, never cut more
-    levels = [pieces]
-    width = 1
-    while True:
-        above = _composed(levels[-1])
-        width *= fan_in
-        levels.append(above.withColumn("up", F.floor(F.col("at") / fan_in).cast("long")))
-        if parts <= width:
-            break
+    placed = cut_lineage(_placed(slices))
+    slots = (placed.agg(F.max("at")).first()[0] or 0) + 1
+
+    def grouped(pieces: DataFrame) -> DataFrame:
+        return pieces.withColumn("up", F.floor(F.col("at") / fan_in).cast("long"))
+
+    levels = [grouped(cut_lineage(_summarised(slices.join(placed, ["wallet_id", "part", "k"]))))]
+    while slots > fan_in:
+        levels.append(grouped(cut_lineage(_composed(levels[-1]))))
+        slots = -(-slots // fan_in)
     opening = None
     for level in reversed(levels):
         opening = _opened(level, opening)
-        if level is not pieces:
-            opening = opening.select("wallet_id", "at", "opening")
-    return opening.select("wallet_id", F.col("up").alias("part"), F.col("at").alias("k"), "opening")
+    return placed.select("wallet_id", "part", "k", "at").join(opening, ["wallet_id", "at"]).select("wallet_id", "part", "k", "opening")
 
 
 _DECIDED = "wallet_id long, id long, amount long, accepted boolean, balance long"
@@ -190,8 +225,8 @@ def admit(ledger: DataFrame, slice_rows: int = SLICE_ROWS, fan_in: int = FAN_IN)
     """Decide every ledger row in time order per wallet: a debit counts only if the balance covers it.
 
     A rejected debit changes what later debits see, so this is no running sum. The ledger is cut into slices of rows; each is
-    summarised on its own as piecewise shifts of the starting balance, the summaries are chained in a tree, and every slice is then
-    decided from a known opening balance. No task or list holds a wallet.
+    summarised on its own as piecewise shifts of the starting balances that running sums leave open, the summaries are chained in a
+    tree, and every slice is then decided from a known opening balance. No task or list holds the rows of a wallet.
     """
     rows = ledger.select("wallet_id", "id", "created_at", F.col("amount").cast("long").alias("amount"))
     slices = cut_lineage(_slices(rows, slice_rows))

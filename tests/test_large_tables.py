@@ -1,10 +1,15 @@
-"""Faults that only showed on larger tables: folders of files, open references, parts of sites, single precision."""
+"""Faults that only showed on larger tables: folders of files, open references, parts of sites, single precision, long wallets."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitelake.functions.html import _flatten
+from sitelake.operators import ledger as L
 from sitelake.plans import load_all
 from sitelake.plans.palette_and_audit import pixels
 from sitelake.streaming import run
@@ -35,12 +40,38 @@ def test_manifests_in_parts_keep_the_page_numbers_of_the_site(spark, tmp_path):
 
 
 def test_colour_levels_are_cut_in_single_precision(spark, tmp_path):
-    import numpy as np
-
-    values = np.linspace(-0.6, 0.6, 64 * 400, dtype=np.float32).reshape(-1, 64)
+    near = (np.arange(256, dtype=np.float32) / np.float32(255)) - np.float32(0.5)
+    values = np.concatenate([near, np.nextafter(near, np.float32(1)), np.nextafter(near, np.float32(-1))]).reshape(-1, 64)
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    half = np.float32(0.5)
-    want = np.floor((np.clip(values, -half, half) + half) * np.float32(255)).astype(int)
-    got = {(r["vec_id"], (r["n"] - 1)): r["r"] for r in pixels(spark, str(tmp_path)).collect()}
+
+    def levels(v, half, steps):
+        return np.floor((np.clip(v, -half, half) + half) * steps).astype(int)
+
+    want = levels(values, np.float32(0.5), np.float32(255))
     starts = [*range(1, 62, 3), 62]
+    assert (want != levels(values.astype(float), 0.5, 255.0))[:, [i - 1 for i in starts]].any()
+    got = {(r["vec_id"], r["n"] - 1): r["r"] for r in pixels(spark, str(tmp_path)).collect()}
     assert got == {(v, i * 7 % 50): want[v][i - 1] for v in range(len(values)) for i in starts}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_summaries_of_a_long_wallet_hold_no_more_pieces_than_its_largest_debit(seed):
+    rng = np.random.default_rng(seed)
+    amounts = [int(a) for a in rng.integers(-40, 45, 3_000)]
+    low, runs = 0, []
+    for at in range(0, 3_000, 100):
+        run_of = amounts[at : at + 100]
+        runs.append((low, L.transfer_pieces(run_of, low, 40)))
+        for a in run_of:
+            low = max(low + a, 0)
+    whole = reduce(lambda x, y: L.then(x, y, 40), [r for _, r in runs])
+    assert all(len(starts) <= 40 for _, (starts, _) in runs) and len(whole[0]) <= 40
+    for begin in range(40):
+        balance = begin
+        for at, (first, (starts, shifts)) in enumerate(runs):
+            assert first <= balance < first + 40
+            now = balance + shifts[np.searchsorted(starts, balance, side="right") - 1]
+            for a in amounts[100 * at : 100 * at + 100]:
+                balance += a if a >= 0 or balance + a >= 0 else 0
+            assert balance == now
+        assert balance == begin + whole[1][np.searchsorted(whole[0], begin, side="right") - 1]
