@@ -12,7 +12,7 @@ from sitelake.functions.html import _flatten
 from sitelake.operators import ledger as L
 from sitelake.plans import load_all
 from sitelake.plans.palette_and_audit import pixels
-from sitelake.streaming import run
+from sitelake.streaming import run, state
 
 PAGE = '<html><head><title>A &amp; B&amp</title></head><body><nav><a href="/x">X</a></nav><h1>A &amp; B&amp</h1></body></html>'
 
@@ -75,3 +75,16 @@ def test_summaries_of_a_long_wallet_hold_no_more_pieces_than_its_largest_debit(s
                 balance += a if a >= 0 or balance + a >= 0 else 0
             assert balance == now
         assert balance == begin + whole[1][np.searchsorted(whole[0], begin, side="right") - 1]
+
+
+def test_lifecycle_and_stale_purchases_of_a_stream_call_no_python_for_each(spark, tmp_path):
+    rows = [(p, 10 * p + i, i * hours, effect) for p, hours, effects in ((1, 1, "none pending"), (2, 1, "failed completed"), (3, 1, "completed refund_event"), (4, 40, "none none"))
+            for i, effect in enumerate(effects.split())]
+    events = spark.createDataFrame(rows, "purchase_id long, event_id long, h long, effect string").select(
+        "purchase_id", "event_id", F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "effect", F.lit(7).cast("long").alias("credits_granted"))
+    updates = state.lifecycle_updates(run.landed(events, 2, F.col("event_id")))
+    assert "transformWithState" not in updates._jdf.queryExecution().analyzed().toString()
+    found = run.drain_updates(updates, ["purchase_id"])
+    assert sorted(tuple(r) for r in found.select("purchase_id", "status", "credits_granted", "events").collect()) == [
+        (1, "pending", 0, 2), (2, "completed", 7, 2), (3, "refunded", 7, 2), (4, "pending", 0, 2)]
+    assert sorted(r["purchase_id"] for r in state.stale(found).collect()) == [1, 4]
