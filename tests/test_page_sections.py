@@ -98,3 +98,24 @@ def test_repeated_single_sections_are_kept_on_request(spark):
     kept = page_blueprints(df, keep_repeats=True).first()["sections"]
     assert [a["title"] for a in plain["additional_sections"]] == ["Map"] and plain["about"]["body"] == "first"
     assert [a["title"] for a in kept["additional_sections"]] == ["Map", "Our story"] and kept["about"]["body"] == "first"
+
+
+def test_flattened_pages_are_held_piece_by_piece():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sitelake.functions.html import FLAT_PAGE, _flatten, flatten_html
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    page = "<main>" + "<p class='x'>one <b>two</b></p>" * 50 + "<p hidden>last"
+    html = pa.array([page, None, ""] * 200)
+    expected = pa.array([_flatten(h) for h in html.to_pylist()], type=to_arrow_type(FLAT_PAGE))
+    peaks = []
+    for n in (60, 600):
+        tracemalloc.start()
+        found = flatten_html.func(html.slice(0, n))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found.equals(expected.slice(0, n))
+    assert peaks[1] < 2 * peaks[0]  # Python objects of a few pages, however many there are
