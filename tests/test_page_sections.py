@@ -119,3 +119,16 @@ def test_flattened_pages_are_held_piece_by_piece():
         tracemalloc.stop()
         assert found.equals(expected.slice(0, n))
     assert peaks[1] < 2 * peaks[0]  # Python objects of a few pages, however many there are
+
+
+def test_blueprint_steps_leave_elements_behind(spark):
+    from sitelake.operators.blueprint import page_blueprints
+
+    pages = spark.createDataFrame([(1, "http://a.b/", "<h1>x</h1>")], "page_id bigint, url string, html string")
+    node, carried, steps = page_blueprints(pages)._jdf.queryExecution().optimizedPlan(), 0, 0
+    while node.children().size():  # a plan without joins
+        node = node.children().head()
+        if node.nodeName() == "Generate":
+            steps += 1
+            carried += "elements#" in node.output().mkString(" ")
+    assert steps > 15 and carried <= 12
