@@ -76,6 +76,12 @@ def versions(blueprints: DataFrame, seconds: int = 30 * 86_400) -> DataFrame:
     return numbered.join(newest, "project_id").withColumn("is_current", F.col("version") == F.col("_last")).drop("_last")
 
 
+def current_versions(blueprints: DataFrame) -> DataFrame:
+    """The newest rows of `versions` alone: their number is the count of the project's rows, so nothing is numbered or sorted."""
+    newest = blueprints.groupBy("project_id").agg(F.max(F.struct("created_at", "id")).alias("_newest"), F.count("*").alias("version"))
+    return newest.select("project_id", "_newest.id", "_newest.created_at", "version", F.lit(True).alias("is_current"))
+
+
 def project_status(projects: DataFrame, jobs: DataFrame, tiers: Sequence[Tier]) -> DataFrame:
     """Status from the newest preview of each enabled tier; disabled tiers never count.
 
@@ -191,7 +197,7 @@ def project_detail(
 ) -> DataFrame:
     """One row per (project, job) with owner, current blueprint, the owner's paid tiers, output and cost.
 
-    Rows stay flat so a project may own any number of jobs. `versions` is what `versions` gives, `paid` what `ledger.paid_tiers` gives.
+    Rows stay flat so a project may own any number of jobs. `versions` is what `versions` or `current_versions` gives, `paid` what `ledger.paid_tiers` gives.
     """
     heads = projects.select(F.col("id").alias("project_id"), "user_id", "source_url", "status").join(
         users.select(F.col("id").alias("user_id"), "email"), "user_id"

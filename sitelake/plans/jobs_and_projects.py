@@ -246,7 +246,7 @@ def project_detail(spark, sf_dir):
     wallets = standin(spark, sf_dir, "users").select(F.col("id").alias("wallet_id"), F.col("id").alias("user_id"))
     return J.project_detail(
         standin(spark, sf_dir, "projects"), standin(spark, sf_dir, "users"), jobs(spark, sf_dir), standin(spark, sf_dir, "outputs"), per_job,
-        J.versions(blueprints), L.paid_tiers(ledger, wallets),
+        J.current_versions(blueprints), L.paid_tiers(ledger, wallets),
     )
 
 
