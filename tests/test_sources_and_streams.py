@@ -86,3 +86,25 @@ def test_invented_content_is_dropped(spark):
 
 def test_tables_have_schemas():
     assert {"users", "ledger", "purchases", "usage", "queued_jobs"} <= set(schemas.APP_TABLES)
+
+
+def test_landed_rows_use_all_cores(spark):
+    from sitelake.streaming import run
+
+    stream = run.landed(spark.range(10_000), 3, F.xxhash64("id"))
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda batch, _: seen.append((batch.count(), batch.select(F.input_file_name()).distinct().count()))).trigger(availableNow=True)
+    query.start().awaitTermination()
+    assert len(seen) <= 3 and sum(n for n, _ in seen) == 10_000
+    assert max(files for _, files in seen) > 1 or spark.sparkContext.defaultParallelism == 1
+
+
+def test_current_versions(spark):
+    from sitelake.operators import jobs as J
+
+    rows = [(1, "a", "2020-01-01"), (1, "c", "2020-03-01"), (1, "b", "2020-03-01"), (2, "z", "2021-01-01"), (3, "n", None)]
+    blueprints = spark.createDataFrame(rows, "project_id bigint, id string, created_at string").selectExpr("project_id", "id", "to_date(created_at) as created_at").where("project_id < 3")
+    columns = ["project_id", "id", "created_at", "version", "is_current"]
+    current = J.current_versions(blueprints)
+    assert sorted(current.select(*columns).collect()) == sorted(J.versions(blueprints).where("is_current").select(*columns).collect())
+    assert "Window" not in current._jdf.queryExecution().optimizedPlan().toString()
