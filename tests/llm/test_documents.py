@@ -411,3 +411,64 @@ def test_imatch(spark, docs):
     assert imatch.edited_fingerprints(docs, lexicon).count() == len(ROWS)
     one = imatch.edited_fingerprints(docs.limit(1), lexicon).first()
     assert one.near_next == 1 and imatch.edited_fingerprints(empty(spark), lexicon).count() == 0
+
+
+def brute_katz_orders(rows, order):
+    """Scores by (id, text) from a plain recursion over orders; histories begin with the mark before a text."""
+    train = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
+    counts = [Counter() for _ in range(order + 1)]
+    after = [defaultdict(dict) for _ in range(order + 1)]
+    texts = [(i, t, [b" B", *words_of(t), b" E"]) for i, t in rows]
+    for i, _, w in texts:
+        if train(i):
+            for k in range(1, order + 1):
+                counts[k].update(tuple(w[j - k + 1 : j + 1]) for j in range(max(1, k - 1), len(w)))
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            after[k][g[:-1]][g[-1]] = c
+    d = [None] + [katz.discounts([sum(v == r for v in counts[k].values()) for r in range(1, 7)]) for k in range(1, order + 1)]
+    off = lambda k, c: d[k][c - 1] * c if c <= 5 else c
+    total = sum(counts[1].values())
+    left = sum(c - off(1, c) for c in counts[1].values())
+    weights = {}
+
+    def p(h, w):
+        if not h:
+            return off(1, counts[1][w,]) / total if (w,) in counts[1] else left / total
+        k = len(h) + 1
+        seen = after[k].get(h)
+        if not seen:
+            return p(h[1:], w)
+        if h not in weights:
+            mass = sum(c - off(k, c) for c in seen.values())
+            scale = sum(seen.values()) + (not mass)
+            weights[h] = scale, (mass or 1) / scale / (1 - sum(p(h[1:], v) for v in seen))
+        scale, weight = weights[h]
+        return off(k, seen[w]) / scale if w in seen else weight * p(h[1:], w)
+
+    words = [g[0] for g in counts[1]]
+    for h in list(after[order])[:20]:
+        assert math.isclose(sum(p(h, w) for w in words) + p(h, b"not a word"), 1, rel_tol=1e-9)
+    return Counter((i, round(sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w))), 6)) for i, _, w in texts)
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_katz_orders(spark, docs, order, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(katz, "BUCKET_BYTES", 20_000)  # frequent histories go to several buckets
+    found = katz.katz_scores(docs, order=order).collect()
+    assert Counter((r[0], round(r[6], 6)) for r in found) == brute_katz_orders(ROWS, order)
+
+
+def test_katz_query_keeps_its_tables(spark, docs, tmp_path, monkeypatch):
+    """The query scores from a stored table of pairs."""
+    kept = []
+    write = katz.Steps.write
+    monkeypatch.setattr(katz.Steps, "write", lambda self, name, df: kept.append((name, write(self, name, df))) or kept[-1][1])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    from sitelake.llm import queries
+
+    rows = queries.QUERIES["op3_katz_backoff"](spark, str(tmp_path))
+    tables = {name: table for name, table in kept if name.startswith("grams")}
+    assert sorted(tables) == ["grams2"] and all(t.where("h is null").count() > 0 for t in tables.values())
+    assert Counter((r[0], round(r[6], 6)) for r in rows.collect()) == brute_katz_orders(ROWS, 2)
