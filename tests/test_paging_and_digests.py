@@ -58,6 +58,21 @@ def test_digest_of_all_other_pages(spark, part_pages):
             assert found[f"{s}{i}"] == ("\n\n".join(others) if others else "(single-page site, no other pages)")
 
 
+@pytest.mark.parametrize("part_pages", [3, 1_000])
+def test_digests_of_a_large_site_are_dealt_over_tasks(spark, part_pages):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        texts = [f"ü{i}" for i in range(200)]
+        rows = spark.createDataFrame([(i, "s", i, t) for i, t in enumerate(texts)], "page_id long, site string, page_no int, summary string")
+        found = G.site_digest(rows, part_pages, **({"slice_pages": 10} if "slice_pages" in G.site_digest.__code__.co_varnames else {}))
+        held = found.select("page_id", "digest", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert {r.page_id: r.digest for r in held} == {i: "\n\n".join(texts[:i] + texts[i + 1 :]) for i in range(200)}
+    assert len({r.task for r in held}) > 3
+
+
 def test_page_bodies_stay_in_their_buckets(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
