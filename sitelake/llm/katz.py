@@ -1,14 +1,14 @@
 """Katz backoff language model: Good-Turing discounted n-gram counts with exactly normalised backoff weights, kept in tables.
 
 The corpus is cut in blocks of texts. Words get numbers and training counts from ranges of word hashes. Then, order by order from the
-pairs on, every block sends the distinct n-grams of its training texts as one row for each history (the words it was followed by, their
-counts, and the counts of their shorter n-grams); Spark deals and sorts the rows by history, and the counts are added up to a table of
-n-grams by history with what the history's backoff weight is made from. The distinct n-grams of all texts of a block meet that table by
-history in the same form and come back with their counts and weights. Each order stands on the counts that came back for the order
-below, and a token's probability is worked out in the same recursion: n-gram, else backoff weight times the next lower order, down to
-words and the mass of unknown words.
-
-Histories with a large part of all tokens are dealt by their next word; their sums, a few numbers each, are put together by a groupBy.
+pairs on, every block sends the distinct n-grams of its training texts by history (the words it was followed by, their counts, and the
+counts of their shorter n-grams) to buckets of histories, packed by block and bucket. A bucket adds the counts up to a table of n-grams by
+history with what the history's backoff weight is made from. The distinct n-grams of all texts of a block meet that table in the same
+buckets and come back with their counts and weights. Each order stands on the counts that came back for the order below, and a token's
+probability is worked out in the same recursion: n-gram, else backoff weight times the next lower order, down to words and the mass of
+unknown words.
+
+Histories with a large part of all tokens are dealt to buckets by their next word; their sums are put together by a groupBy.
 
 P(w|h) = d c(h,w) / c(h) for n-grams seen in training, else a(h) P(w|h') with h' the history without its first word; P(w) = d c(w) / N
 for known words, else the left mass of P. a(h) is the mass that discounts leave at h over the mass of P(.|h') outside the words seen
