@@ -139,7 +139,7 @@ def op1_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelake.llm.suffixes import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, texts=False)
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, texts=False, report=200)
 
 
 @query("op3_katz_backoff")

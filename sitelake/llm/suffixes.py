@@ -240,6 +240,36 @@ def repeated_spans(docs: DataFrame, steps: Steps, length: int = 400, keep_first:
     return touched, spans
 
 
+def covered(spans: DataFrame) -> DataFrame:
+    return spans.groupBy(F.col("row").alias("r")).agg(F.collect_set(F.struct("lo", "hi")).alias("covered"))
+
+
+def reported(docs: DataFrame, steps: Steps, report: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that may repeat a string of `length` bytes, and (r, n_repeated) for each row that repeats one of `report` bytes.
+
+    What a longer string covers is covered by shorter ones too, so rows without `length` bytes in one stretch repeat none of them.
+    """
+    touched, spans = repeated_spans(docs, steps, report)
+    ddl = "r bigint, n_repeated bigint, longest bigint"
+    out = arrow_schema(ddl)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row, spans in zip(batch.column("r").to_pylist(), batch.column("covered").to_pylist()):
+                sizes = [hi - lo for lo, hi in merged([(c["lo"], c["hi"]) for c in spans])]
+                found.append((row, sum(sizes), max(sizes)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=out)
+
+    measured = steps.write("measured", covered(spans).mapInArrow(measure, ddl))
+    steps.drop("met", "kinds", "hits")
+    long = measured.where(F.col("longest") >= length)
+    rows = steps.write("long", touched.join(long, F.col("row") == F.col("r"), "left_semi"))
+    steps.drop("touched")
+    return rows, measured.drop("longest")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(spans):
@@ -265,7 +295,7 @@ def whole_letters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_first: bool = True, texts: bool = True,
-    carry: Sequence[str] = (),
+    carry: Sequence[str] = (), report: int | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes) and, with `texts`, kept_text.
 
@@ -274,15 +304,23 @@ def remove_repeats(
     letters. Null and empty texts have no bytes; texts shorter than `length` lose none. A null id comes after all others. Rows with
     equal id and text are other places of their strings and lose alike, but count as one place for `keep_first`. Other columns are
     left out but those named in `carry`, which follow under their own names; an empty table gives an empty result.
+
+    With `report` (16 to `length`), n_repeated follows spans: the bytes covered by strings of `report` bytes found elsewhere, all places
+    counted, which tells of passages too short to be removed.
     """
+    if report is not None and not 16 <= report <= length:
+        raise ValueError("report must be from 16 to length")
     steps = Steps(docs.sparkSession, "suffixes")
     held = {f"carried_{i}": name for i, name in enumerate(carry)}
     given = slim(docs, doc_id=id_col, text=text_col, **held).select(
         "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *held
     )
     rows = given.select("doc_id", "row", "text")
+    if report is not None:
+        before = Steps(docs.sparkSession, "reported")
+        rows, repeated = reported(rows, before, report, length)
     touched, spans = repeated_spans(rows, steps, length, keep_first)
-    by_row = spans.groupBy(F.col("row").alias("r")).agg(F.collect_set(F.struct("lo", "hi")).alias("covered"))  # of one text
+    by_row = covered(spans)  # of one text
     ddl = "row bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept_text string"
     out = arrow_schema(ddl)
 
@@ -310,8 +348,12 @@ def remove_repeats(
     whole = given.select(
         *held, "doc_id", "row", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *([F.col("text")] if texts else [])
     )
+    if report is not None:
+        before.drop("long")
+        whole = whole.join(repeated.withColumnRenamed("r", "row"), "row", "left")
+    told = [F.coalesce("n_repeated", F.lit(0)).alias("n_repeated")] if report is not None else []
     return whole.join(removed, "row", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), *text,
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), *told, *text,
         *(F.col(new).alias(old) for new, old in held.items()),
     )

@@ -149,6 +149,34 @@ def test_repeats_as_texts(spark, docs):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
 
+def brute_report(rows, length):
+    return Counter({(i, n): c for (i, _, n, _, _), c in brute_repeats(rows, length, False).items()})
+
+
+def test_repeats_too_short_to_go_are_reported(spark, docs):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    passage = words(55)  # 274 bytes
+    rows = [(1, f"{words(80)} {passage} {words(80)}"), (2, f"{words(30)} {passage}"), (3, words(200)), (4, words(5)), (5, None), (6, words(120))]
+    rows += [(7, f"{words(9)} {rows[5][1]}"), (8, f"{passage[:150]} {words(60)}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in suffixes.remove_repeats(df, keep_first=False, texts=False, report=200).collect()}
+    assert [found[i].n_removed > 0 for i in range(1, 9)] == [i in (6, 7) for i in range(1, 9)]
+    assert [found[i].n_repeated > 0 for i in range(1, 9)] == [i in (1, 2, 6, 7) for i in range(1, 9)]
+    assert found[1].n_repeated >= 274 and found[7].n_repeated >= found[7].n_removed
+    assert Counter((i, r.n_repeated) for i, r in found.items()) == brute_report(rows, 200)
+
+    rows = [r for r in ROWS if r[0] is not None]
+    got = suffixes.remove_repeats(docs.where("doc_id is not null"), keep_first=True, texts=False, report=200)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = got.select(*columns, "n_repeated").collect()
+    assert Counter(tuple(r)[:5] for r in got) == brute_repeats(rows, 400, True)
+    assert Counter((r.doc_id, r.n_repeated) for r in got) == brute_report(rows, 200)
+    with pytest.raises(ValueError):
+        suffixes.remove_repeats(docs, report=401)
+    assert suffixes.remove_repeats(empty(spark), report=200).count() == 0
+
+
 def brute_katz(rows):
     train = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
     tokens = [(i, [*words_of(t), b" E"]) for i, t in rows]
