@@ -6,7 +6,8 @@ counted with one bincount over the tile's cells, all others as sorted coordinate
 are the first numbers of the next length, until the longest. A phrase can only be frequent if both phrases one word shorter are, so
 nothing is lost by leaving the rest out.
 
-Blocks never meet a table of all words: each lists its own words, the lists join the ranks, and what they found goes back to the block.
+Blocks never meet a table of all words: each lists its own words, the lists join the ranks, and what they found goes back to the block
+as sorted rows, one block at a time. Written blocks lie in small groups of rows, so no task holds more than a few.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from sitelake.llm.tables import Steps, runtime_filters
 
 #: Bytes of text in a block; it only sets the size of the pieces of work.
 BLOCK_BYTES = 4_000_000
+#: Bytes of written blocks that a task holds at a time.
+GROUP_BYTES = 8_000_000
 #: Side of a tile, and the pairs from which its cells are counted directly.
 TILE, DENSE = 256, 256 * 256 // 8
 BREAK = b"\xff"
@@ -148,26 +151,26 @@ def pair_places(heads: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.nda
 def word_numbers(blocks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """block, lang, ids: the blocks in ranks of words, -1 for breaks and words that are not in the lexicon."""
     places = blocks.select("block", "lang", F.posexplode("words").alias("place", "word"))
-    found = places.join(lexicon.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+    found = places.join(lexicon.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("owner"), "place", "id")
     ddl = "block bigint, lang string, ids binary"
     out = arrow_schema(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = []
-            for codes, known, n in zip(batch.column("codes"), batch.column("known"), batch.column("n").to_pylist()):
-                table = np.full(n + 1, -1, np.int32)  # the last entry is for breaks
-                pairs = known.values
-                table[pairs.field("place").to_numpy(zero_copy_only=False)] = narrow(pairs.field("id").to_numpy(zero_copy_only=False))
-                ids.append(table[np.frombuffer(codes.as_py(), np.int32)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("lang"), pa.array(ids, pa.binary())], schema=out)
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        if not (block.num_rows and known.num_rows):
+            return out.empty_table()
+        table = np.full(block.column("n")[0].as_py() + 1, -1, np.int32)  # the last entry is for breaks
+        table[known.column("place").to_numpy()] = narrow(known.column("id").to_numpy())
+        ids = table[np.frombuffer(block.column("codes")[0].as_py(), np.int32)]
+        return pa.Table.from_arrays([block.column("block"), block.column("lang"), pa.array([ids.tobytes()], pa.binary())], schema=out)
 
-    return blocks.select("block", "lang", "codes", F.size("words").alias("n")).join(found, "block").mapInArrow(run, ddl)
+    whole = blocks.select("block", "lang", "codes", F.size("words").alias("n"))
+    return whole.groupBy("block").cogroup(found.groupBy("owner")).applyInArrow(run, ddl)
 
 
 def pair_cells(coded: DataFrame, length: int) -> DataFrame:
-    """block, lang, a, b, n: pairs in each block. `coded` has block, lang, ids and, beyond two words, heads."""
-    ddl = "block bigint, lang string, a bigint, b bigint, n bigint"
+    """block, lang, pair, n: pairs in each block, as `a` and `b` in 32 bits each: joins sort and filter by one number. `coded` has block, lang,
+    ids and, beyond two words, heads."""
+    ddl = "block bigint, lang string, pair bigint, n bigint"
     out = arrow_schema(ddl)
     heads_in = "heads" if length > 2 else "ids"
 
@@ -178,7 +181,7 @@ def pair_cells(coded: DataFrame, length: int) -> DataFrame:
                 a, b, n = count_pairs(a, b)
                 if len(a):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(block, len(a)), pa.repeat(lang, len(a)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=out
+                        [pa.repeat(block, len(a)), pa.repeat(lang, len(a)), pa.array((a << 32) | b, pa.int64()), pa.array(n, pa.int64())], schema=out
                     )
 
     return coded.mapInArrow(run, ddl)
@@ -186,32 +189,28 @@ def pair_cells(coded: DataFrame, length: int) -> DataFrame:
 
 def phrase_numbers(coded: DataFrame, cells: DataFrame, phrases: DataFrame, length: int) -> DataFrame:
     """The blocks with `heads`: at each place the rank of the frequent phrase of `length` words that begins there, or -1."""
-    found = cells.drop("n").join(phrases.select("lang", "a", "b", "id"), ["lang", "a", "b"])
-    found = found.groupBy("block").agg(F.collect_list(F.struct("a", "b", "id")).alias("known"))
+    named = phrases.where("f > 0").select("pair", "lang", "id")  # the condition holds for all; Spark filters cells only by a side that has one
+    found = cells.drop("n").join(named, ["pair", "lang"]).select(F.col("block").alias("owner"), "pair", "id")
     ddl = "block bigint, lang string, ids binary, heads binary"
     out = arrow_schema(ddl)
     heads_in = "heads" if length > 2 else "ids"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for heads, ids, known in zip(*(batch.column(c) for c in (heads_in, "ids", "known"))):
-                heads, ids = np.frombuffer(heads.as_py(), np.int32), np.frombuffer(ids.as_py(), np.int32)
-                pairs = known.values
-                first, last, number = (pairs.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "id"))
-                codes = (first << 32) | last
-                order = np.argsort(codes)
-                codes, number = codes[order], number[order]
-                at, a, b = pair_places(heads, ids, length)
-                wanted = (a << 32) | b
-                spot = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-                hit = codes[spot] == wanted
-                longer = np.full(len(ids), -1, np.int32)
-                longer[at[hit]] = narrow(number[spot[hit]])
-                made.append(longer.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("block", "lang", "ids")] + [pa.array(made, pa.binary())], schema=out)
-
-    return coded.join(found, "block").mapInArrow(run, ddl)
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        if not (block.num_rows and known.num_rows):
+            return out.empty_table()
+        heads, ids = (np.frombuffer(block.column(c)[0].as_py(), np.int32) for c in (heads_in, "ids"))
+        codes, number = (known.column(c).to_numpy() for c in ("pair", "id"))
+        order = np.argsort(codes)
+        codes, number = codes[order], number[order]
+        at, a, b = pair_places(heads, ids, length)
+        wanted = (a << 32) | b
+        spot = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        hit = codes[spot] == wanted
+        longer = np.full(len(ids), -1, np.int32)
+        longer[at[hit]] = narrow(number[spot[hit]])
+        return pa.Table.from_arrays([block.column(c) for c in ("block", "lang", "ids")] + [pa.array([longer.tobytes()], pa.binary())], schema=out)
+
+    return coded.groupBy("block").cogroup(found.groupBy("owner")).applyInArrow(run, ddl)
 
 
 def cut_score(a: Column, left: Column, right: Column) -> Column:
@@ -234,12 +233,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """
     spark = docs.sparkSession
     steps = Steps(spark, "collocations")
-    blocks = steps.write("blocks", token_blocks(slim(docs, lang=lang_col, text=text_col)))
+    blocks = steps.write("blocks", token_blocks(slim(docs, lang=lang_col, text=text_col)), GROUP_BYTES)
     total = blocks.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     total = steps.write("total", total)
     words = blocks.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f"))
     lexicon = ranked(words.where(F.col("f") >= least), steps, "lexicon", ["word"])
-    coded = steps.write("coded", word_numbers(blocks, lexicon))
+    coded = steps.write("coded", word_numbers(blocks, lexicon), GROUP_BYTES)
     steps.drop("blocks")
 
     none = F.array().cast("array<bigint>")
@@ -249,11 +248,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         cells = pair_cells(coded, length)
         if length < longest:
             cells = steps.write(f"cells-{length}", cells)
-        frequent = cells.groupBy("lang", "a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        frequent = ranked(frequent, steps, f"pairs-{length}", ["a", "b"])
+        frequent = cells.groupBy("pair", "lang").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        frequent = ranked(frequent, steps, f"pairs-{length}", ["pair"])
         if length < longest:
             with runtime_filters(spark):
-                following = steps.write(f"coded-{length}", phrase_numbers(coded, cells, frequent, length))
+                following = steps.write(f"coded-{length}", phrase_numbers(coded, cells, frequent, length), GROUP_BYTES)
             steps.drop("coded" if length == 2 else f"coded-{length - 1}", f"cells-{length}")
             coded = following
         phrases = steps.write(f"phrases-{length}", described(frequent, shorter, lexicon, length))
@@ -281,7 +280,8 @@ def described(frequent: DataFrame, shorter: DataFrame, lexicon: DataFrame, lengt
     """Phrases with their words, the occurrences of what lies before and after each cut, and `rest`, the phrase without its first word."""
     head = shorter.select("lang", F.col("id").alias("a"), F.col("f").alias("head_f"), F.col("words").alias("head_words"), F.col("before").alias("head_before"), F.col("rest").alias("head_rest"))
     last = lexicon.select("lang", F.col("id").alias("b"), "word")
-    rows = frequent.join(head, ["lang", "a"]).join(last, ["lang", "b"])
+    parts = frequent.select("lang", "id", "f", F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"))
+    rows = parts.join(head, ["lang", "a"]).join(last, ["lang", "b"])
     if length == 2:
         tail = shorter.select("lang", "b", F.col("id").alias("rest"), F.col("f").alias("rest_f"), F.col("after").alias("rest_after"))
         rows = rows.join(tail, ["lang", "b"])

@@ -7,9 +7,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from sitelake.llm import collocations as module
 from sitelake.llm.collocations import collocations, count_pairs
+from sitelake.llm.tables import Steps
 
 SCHEMA = "doc_id bigint, text string, lang string, id bigint, f bigint, words string, a bigint, block int"
 
@@ -81,3 +83,26 @@ def test_blocks_are_cut_at_breaks(monkeypatch):
     monkeypatch.setattr(module, "BLOCK_BYTES", 10)
     data = b"aaaa bb cc dd\xffee\xff" + b"f" * 40
     assert list(module.chunks(data)) == [b"aaaa bb cc dd", b"ee\xff" + b"f" * 40] and list(module.chunks(b"")) == [b""]
+
+
+def test_tasks_hold_few_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(module, "GROUP_BYTES", 60_000, raising=False)
+    rng, plans = random.Random(4), {}
+    rows = [(i, " ".join(f"w{int(3_000 * rng.random() ** 4)}" for _ in range(3_000)), "en", 1, 2, "w", 3, 4) for i in range(40)]
+    written = Steps.write
+
+    def write(self, name, df, *more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        self.folder = str(tmp_path / "steps")
+        return written(self, name, df, *more)
+
+    monkeypatch.setattr(Steps, "write", write)
+    monkeypatch.setattr(Steps, "drop", lambda *_: None)
+    found = collocations(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    assert Counter(map(tuple, found.collect())) == brute([(r[1], r[2]) for r in rows])
+    # The lists of many blocks are never gathered at once, and a group of written rows ends by bytes, not after 100 rows.
+    assert all("collect_list" not in plans[name] for name in ("coded", "coded-2"))
+    for name in ("blocks", "coded", "coded-2"):
+        groups = [m.row_group(i) for m in map(pq.read_metadata, (tmp_path / "steps" / name).glob("*.parquet")) for i in range(m.num_row_groups)]
+        assert sum(g.num_rows for g in groups) > 15 and max(g.num_rows for g in groups) < 5
