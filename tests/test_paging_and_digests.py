@@ -73,6 +73,26 @@ def test_digests_of_a_large_site_are_dealt_over_tasks(spark, part_pages):
     assert len({r.task for r in held}) > 3
 
 
+def test_texts_of_large_sites_are_copied_a_bounded_number_of_times(spark):
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(500).selectExpr("id as page_id", "if(id < 480, 'large', 'small') as site", "cast(if(id < 480, id, id - 480) as int) as page_no", "concat('ü', id) as summary")
+        digests = G.site_digest(rows, 100, slice_pages=2)
+        found = {r.page_id: r.digest for r in digests.collect()}
+        made = [n.metrics().apply("numOutputRows").value() for n in nodes(digests._jdf.queryExecution().executedPlan()) if n.nodeName() == "Generate"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    for part in (range(480), range(480, 500)):
+        assert all(found[i] == "\n\n".join(f"ü{j}" for j in part if j != i) for i in part)
+    assert made == [64 + 10]  # 250 before: one for every two pages
+
+
 def test_page_bodies_stay_in_their_buckets(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
