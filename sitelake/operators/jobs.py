@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.operators.costs import Tier, enabled, tier_array
 from sitelake.operators.skew import newest_per_key, position_per_key, time_segment
+from sitelake.session import Steps
 
 RECENCY = ["created_at", "id"]
 
@@ -193,19 +195,30 @@ def project_listing(projects: DataFrame, users: DataFrame, jobs: DataFrame) -> D
 
 
 def project_detail(
-    projects: DataFrame, users: DataFrame, jobs: DataFrame, outputs: DataFrame, job_costs: DataFrame, versions: DataFrame, paid: DataFrame
+    projects: DataFrame, users: DataFrame, jobs: DataFrame, outputs: DataFrame, job_costs: DataFrame, versions: DataFrame, paid: DataFrame, passes: int = 2
 ) -> DataFrame:
     """One row per (project, job) with owner, current blueprint, the owner's paid tiers, output and cost.
 
     Rows stay flat so a project may own any number of jobs. `versions` is what `versions` or `current_versions` gives, `paid` what `ledger.paid_tiers` gives.
+    Jobs with output and cost are written first, by `passes` shares of the jobs, then projects with what they have once, so that the disk
+    holds little of what was moved by job, by owner and by project at a time.
     """
+    steps = Steps(projects.sparkSession, "project-detail")
+    runs = jobs.select(F.col("id").alias("job_id"), "project_id", "tier", "overall_status", F.col("created_at").alias("job_created_at"))
+    shares = []
+    for i in range(passes):
+        share = F.pmod(F.hash("job_id"), F.lit(passes)) == i
+        joined = runs.filter(share).join(outputs.select("job_id", "template_used").filter(share), "job_id", "left").join(job_costs.filter(share), "job_id", "left")
+        shares.append(steps.write(f"details-{i}", joined))
+        del joined  # what a share was moved by is let go before the next
+    details = reduce(DataFrame.unionByName, shares)
     heads = projects.select(F.col("id").alias("project_id"), "user_id", "source_url", "status").join(
         users.select(F.col("id").alias("user_id"), "email"), "user_id"
     )
-    runs = jobs.select(F.col("id").alias("job_id"), "project_id", "tier", "overall_status", F.col("created_at").alias("job_created_at"))
     current = versions.filter("is_current").select("project_id", F.col("id").alias("blueprint_id"), F.col("version").alias("blueprint_version"))
-    heads = heads.join(current, "project_id", "left").join(paid.withColumnRenamed("tiers", "paid_tiers"), ["user_id", "project_id"], "left")
-    details = runs.join(outputs.select("job_id", "template_used"), "job_id", "left").join(job_costs, "job_id", "left")
+    # By owner and project first: what follows then moves heads by project once.
+    heads = heads.join(paid.withColumnRenamed("tiers", "paid_tiers"), ["user_id", "project_id"], "left").join(current, "project_id", "left")
+    heads = steps.write("heads", heads)
     return heads.join(details, "project_id", "left")
 
 

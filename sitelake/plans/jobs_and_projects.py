@@ -13,7 +13,7 @@ from sitelake.operators.skew import first_n_per_key
 from sitelake.plans.costs_and_usage import TIERS, SQL_COSTED, costed_usage
 from sitelake.plans.registry import query, table
 from sitelake.plans.standins import standin, with_standins
-from sitelake.session import checkpoint_folder
+from sitelake.session import Steps, checkpoint_folder
 
 SQL_NEWEST = """with_more newest as (select * from jobs where scope = 'preview'
     qualify row_number() over (partition by project_id, tier order by created_at desc, id desc) = 1)
@@ -234,7 +234,9 @@ def project_listing(spark, sf_dir):
         left join c on c.job_id = j.id left join b on b.project_id = p.id left join paid on paid.user_id = p.user_id and paid.project_id = p.id"""),
 )
 def project_detail(spark, sf_dir):
-    per_job = costed_usage(spark, sf_dir).groupBy("job_id").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    steps = Steps(spark, "job-costs")  # written, so that the disk does not hold what usage was moved by beside what jobs are moved by
+    costs = steps.write("costs", costed_usage(spark, sf_dir).select("job_id", "cost_usd"))
+    per_job = costs.groupBy("job_id").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
     blueprints = snapshots(spark, sf_dir).filter("finished_at is not null").select("id", "project_id", F.col("finished_at").alias("created_at"))
     # Download charges of wallets, of which some are not the owner's: those never show.
     bought = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -244,10 +246,12 @@ def project_detail(spark, sf_dir):
         F.lit("download_spend").alias("reason"), F.concat_ws(":", F.lit("download_spend"), "l_orderkey", tier).alias("idempotency_key"),
         F.col("l_orderkey").alias("related_project_id"), owner.alias("wallet_id"))
     wallets = standin(spark, sf_dir, "users").select(F.col("id").alias("wallet_id"), F.col("id").alias("user_id"))
-    return J.project_detail(
+    detail = J.project_detail(
         standin(spark, sf_dir, "projects"), standin(spark, sf_dir, "users"), jobs(spark, sf_dir), standin(spark, sf_dir, "outputs"), per_job,
         J.current_versions(blueprints), L.paid_tiers(ledger, wallets),
     )
+    steps.drop("costs")
+    return detail
 
 
 @query(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelake.functions.html import _flatten
-from sitelake.operators import ledger as L
+from sitelake.operators import jobs as J, ledger as L
 from sitelake.plans import load_all
 from sitelake.plans.palette_and_audit import pixels
 from sitelake.streaming import run, state
@@ -88,3 +88,22 @@ def test_lifecycle_and_stale_purchases_of_a_stream_call_no_python_for_each(spark
     assert sorted(tuple(r) for r in found.select("purchase_id", "status", "credits_granted", "events").collect()) == [
         (1, "pending", 0, 2), (2, "completed", 7, 2), (3, "refunded", 7, 2), (4, "pending", 0, 2)]
     assert sorted(r["purchase_id"] for r in state.stale(found).collect()) == [1, 4]
+
+
+def test_project_detail_keeps_what_moves_by_job_and_by_project_apart(spark):
+    projects = spark.createDataFrame([(1, 7, "u1", "ready"), (2, 7, "u2", "failed"), (3, 8, "u3", "ready"), (4, 9, "u4", "ready")], "id long, user_id long, source_url string, status string")
+    users = spark.createDataFrame([(7, "a@x"), (8, "b@x")], "id long, email string")
+    jobs = spark.createDataFrame([("j1", 1, "pro", "succeeded", "d1"), ("j2", 1, "basic", "failed", "d2"), ("j3", 3, "pro", "running", "d3"), ("j4", 5, "pro", "failed", "d4")],
+        "id string, project_id long, tier string, overall_status string, created_at string")
+    outputs = spark.createDataFrame([("j1", "t1"), ("j1", "t2"), ("j4", "t3"), ("j9", "t4")], "job_id string, template_used string")
+    costs = spark.createDataFrame([("j1", 0.5), ("j3", 0.25)], "job_id string, cost_usd double")
+    blueprints = spark.createDataFrame([("b1", 1, 1), ("b2", 1, 2), ("b3", 4, 1)], "id string, project_id long, created_at int")
+    paid = spark.createDataFrame([(7, 1, "basic,pro"), (8, 1, "premium")], "user_id long, project_id long, tiers string")
+    found = J.project_detail(projects, users, jobs, outputs, costs, J.current_versions(blueprints), paid)
+    columns = "project_id user_id source_url status email blueprint_id blueprint_version paid_tiers job_id tier overall_status job_created_at template_used cost_usd".split()
+    first = (1, 7, "u1", "ready", "a@x", "b2", 2, "basic,pro")
+    assert sorted(map(tuple, found.select(*columns).collect()), key=str) == sorted([
+        (*first, "j1", "pro", "succeeded", "d1", "t1", 0.5), (*first, "j1", "pro", "succeeded", "d1", "t2", 0.5), (*first, "j2", "basic", "failed", "d2", None, None),
+        (2, 7, "u2", "failed", "a@x", None, None, None, *[None] * 6), (3, 8, "u3", "ready", "b@x", None, None, None, "j3", "pro", "running", "d3", None, 0.25)], key=str)
+    # Only projects and jobs are left to meet; what each has was joined in steps that are over.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
