@@ -13,7 +13,7 @@ as sorted rows, one block at a time. Written blocks lie in small groups of rows,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from sitelake.llm.tables import Steps, runtime_filters
 BLOCK_BYTES = 4_000_000
 #: Bytes of written blocks that a task holds at a time.
 GROUP_BYTES = 8_000_000
+#: Blocks that a task meets with what was found for them: it sorts both sides, and a sort that has spilled keeps what it holds from the other.
+MET = 4
 #: Side of a tile, and the pairs from which its cells are counted directly.
 TILE, DENSE = 256, 256 * 256 // 8
 BREAK = b"\xff"
@@ -164,7 +166,13 @@ def word_numbers(blocks: DataFrame, lexicon: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([block.column("block"), block.column("lang"), pa.array([ids.tobytes()], pa.binary())], schema=out)
 
     whole = blocks.select("block", "lang", "codes", F.size("words").alias("n"))
-    return whole.groupBy("block").cogroup(found.groupBy("owner")).applyInArrow(run, ddl)
+    return met(whole, found, run, ddl)
+
+
+def met(blocks: DataFrame, found: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], ddl: str) -> DataFrame:
+    """`run` for each block and the rows found for it (by `owner`), a few blocks in a task whatever their number."""
+    tasks = blocks.count() // MET + 1
+    return blocks.repartition(tasks, "block").groupBy("block").cogroup(found.repartition(tasks, "owner").groupBy("owner")).applyInArrow(run, ddl)
 
 
 def pair_cells(coded: DataFrame, length: int) -> DataFrame:
@@ -210,7 +218,7 @@ def phrase_numbers(coded: DataFrame, cells: DataFrame, phrases: DataFrame, lengt
         longer[at[hit]] = narrow(number[spot[hit]])
         return pa.Table.from_arrays([block.column(c) for c in ("block", "lang", "ids")] + [pa.array([longer.tobytes()], pa.binary())], schema=out)
 
-    return coded.groupBy("block").cogroup(found.groupBy("owner")).applyInArrow(run, ddl)
+    return met(coded, found, run, ddl)
 
 
 def cut_score(a: Column, left: Column, right: Column) -> Column:
